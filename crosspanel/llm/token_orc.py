@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of
 
 END_ID = 0
-#: Parts remembered by a worker before it starts afresh.
-MOST_PARTS = 200_000
+DOUBLE = re.compile(r"\s\s")
+#: Parts remembered by a worker in one generation; the one before it stays at hand.
+MOST_PARTS = 250_000
+#: Parts joined for one call of the library.
+GROUP = 1000
+#: Marks after which the pattern always cuts between the letter before and the mark.
+MARKS = frozenset("!,.:;?")
 #: Options of the ORC writer.
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
@@ -44,7 +50,9 @@ def tokenizer(path: str):
 
 
 def parts_of(text: str) -> list[str]:
-    """Parts that join to the text; each after the first begins with the space before a non-space."""
+    """Parts that join to the text; each after the first begins with the white space before a non-space."""
+    if "\0" not in text and not DOUBLE.search(text):
+        return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if p]
     out = text.split(" ")
     parts = [out[0]]
     for x in out[1:]:
@@ -57,19 +65,46 @@ def parts_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts by their parts; each part goes through the library once while it is remembered."""
+    """Encodes texts by their parts; each part goes through the library once while one of two generations remembers it."""
 
     def __init__(self, path: str):
-        self.library, self.known = tokenizer(path), {}
+        self.library, self.known, self.old = tokenizer(path), {}, {}
+        sizes = {i: len(token) for token, i in self.library.get_vocab().items()}  # one character stands for one byte
+        self.n_bytes = np.zeros(max(sizes) + 1, np.int64)
+        self.n_bytes[list(sizes)] = list(sizes.values())
+
+    def _encode_new(self, new: list[str]) -> None:
+        """Parts between spaces are joined for the library; the bytes that each id stands for show where a part ends."""
+        known = self.known
+        joined = [p for p in new if p[0] in " \n" and len(p) > 1 and not p[-1].isspace()]
+        single = [p for p in new if p[0] not in " \n" or len(p) == 1 or p[-1].isspace()]
+        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(single, self.library.encode_batch_fast(single, add_special_tokens=False)))
+        groups = [joined[k : k + GROUP] for k in range(0, len(joined), GROUP)]
+        for parts, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(parts, (4 * ends).tolist()):
+                known[p] = raw[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [parts_of(t) for t in texts]
         if len(self.known) > MOST_PARTS:
-            self.known.clear()
-        known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        if new:
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new, marked = set(), []
+        for p in {p for parts in split for p in parts if p not in known}:
+            if p in old:
+                known[p] = old[p]
+            elif len(p) > 2 and p[-1] in MARKS and p[-2].isalpha():
+                marked.append(p)
+                new.update(x for x in (p[:-1], p[-1]) if x not in known)
+            else:
+                new.add(p)
+        self._encode_new(list(new))
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1]]
         return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in split]
 
 
@@ -96,7 +131,7 @@ def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFram
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts_of(docs).repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(run, "doc_id long, part int, start_in_part long, ids array<int>"), "tokens", "orc", **ORC_OPTIONS)
 
 
