@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import arrow_rows, bounded_batches, texts_of
+from crosspanel.llm.common import arrow_rows, bounded_batches, map_texts, texts_of
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -213,3 +213,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def digest(items: set[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) -> DataFrame:
+    """`docs` with its columns, without spans of hit words and without documents whose hit share exceeds most_share."""
+    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks_of(benchmark)]
+
+    def decide(texts):
+        out = []
+        for text in texts:
+            words = words_of(text)
+            hit = np.zeros(len(words), bool)
+            for a in automata:
+                hit |= a.value.hits(words)[0]
+            n = int(hit.sum())
+            out.append(None if n > most_share * len(words) else without(text, hit) if n else text)
+        return out
+
+    return map_texts(docs, decide)

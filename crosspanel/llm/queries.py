@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import bpe, decontaminate, html_text, quality_rules, secrets, token_orc
+from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, quality_rules, secrets, token_orc
 from crosspanel.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.train_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -33,5 +41,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_quality_rules, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import arrow_rows, bounded_batches, texts_of
+from crosspanel.llm.common import arrow_rows, bounded_batches, map_texts, texts_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -179,3 +179,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with its columns, each run of secret spans replaced by `mark`."""
+    return map_texts(docs, lambda texts: [redact(t, spans, mark) if (spans := base_spans(t) + confirmed_spans(t)) else t for t in texts])
