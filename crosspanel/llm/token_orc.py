@@ -52,7 +52,8 @@ def tokenizer(path: str):
 def parts_of(text: str) -> list[str]:
     """Parts that join to the text; each after the first begins with the white space before a non-space."""
     if "\0" not in text and not DOUBLE.search(text):
-        return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if p]
+        out = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return out if out[0] else out[1:]
     out = text.split(" ")
     parts = [out[0]]
     for x in out[1:]:
@@ -76,13 +77,14 @@ class Encoder:
     def _encode_new(self, new: list[str]) -> None:
         """Parts between spaces are joined for the library; the bytes that each id stands for show where a part ends."""
         known = self.known
-        joined = [p for p in new if p[0] in " \n" and len(p) > 1 and not p[-1].isspace()]
-        single = [p for p in new if p[0] not in " \n" or len(p) == 1 or p[-1].isspace()]
+        joined, single = [], []
+        for p in new:
+            (joined if p[0] in " \n" and len(p) > 1 and not p[-1].isspace() else single).append(p)
         known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(single, self.library.encode_batch_fast(single, add_special_tokens=False)))
         groups = [joined[k : k + GROUP] for k in range(0, len(joined), GROUP)]
         for parts, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(list(map(len, map(str.encode, parts))))) + 1
             raw, at = ids.tobytes(), 0
             for p, end in zip(parts, (4 * ends).tolist()):
                 known[p] = raw[at:end]
@@ -94,7 +96,7 @@ class Encoder:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         new, marked = set(), []
-        for p in {p for parts in split for p in parts if p not in known}:
+        for p in set().union(*split).difference(known):
             if p in old:
                 known[p] = old[p]
             elif len(p) > 2 and p[-1] in MARKS and p[-2].isalpha():
@@ -108,6 +110,12 @@ class Encoder:
         return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in split]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """What a worker remembers holds for all its tasks."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Writes doc_id, part, start_in_part and ids as ORC in the shared folder, in ascending doc_id order; returns the table as read back."""
     types = {"doc_id": pa.int64(), "part": pa.int32(), "start_in_part": pa.int64(), "ids": pa.list_(pa.int32())}
@@ -115,7 +123,7 @@ def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFram
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, start, part = Encoder(path), 0, TaskContext.get().partitionId()
+        encoder, start, part = worker_encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4")
         for b in batches:
             for k in range(0, b.num_rows, 200):
