@@ -8,9 +8,10 @@ likelihood of every similarity; pairs whose best one is far below the limit go,
 full sets. Confirmed links make components.
 
 A bucket (documents that agree in one band) of up to SMALL_BUCKET sets gives all its pairs. A larger one never does: its
-sets meet a pivot, in a few rounds with another pivot each, as long as the bucket holds more than one component; after
-these, what is outside the bucket's largest component meets all the rest, so no candidate pair across components is left
-out. Buckets are joined on their band value, which Spark splits where it is skewed, and are never collected.
+sets meet only its pivot, the set that agrees with most others over all bands. Buckets of one pivot make a group. Where a
+group still holds more than one component, the shingles that no other member of such groups has bound what two members
+can have in common, and only pairs outside the group's largest component whose bound reaches the limit are tested, so no
+link is left out. Groups are joined on their pivot, which Spark splits where it is skewed, and are never collected.
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; a text of fewer
 words than a shingle has one shingle; equal texts always link; repeated rows give repeated rows; null ids are left out
@@ -32,7 +33,7 @@ from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of
 SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
-SMALL_BUCKET, PIVOT_ROUNDS = 16, 3
+SMALL_BUCKET = 16
 #: A pair goes without a look at its sets if its likeliest similarity is this far below the limit (over 5 deviations).
 SLACK = 0.2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +145,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, by their full sets."""
 
     def run(batches):
@@ -157,12 +158,23 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> Da
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets(docs, wanted, size), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _shared_sizes(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """id, n (its shingles) and m (those that another of the members has too)."""
+
+    def run(batches):
+        for t in batches:
+            yield arrow_rows({"id": t.column(0), "h": [np.frombuffer(x.as_py(), np.int64) for x in t.column(1)]}, {"id": pa.int64(), "h": pa.list_(pa.int64())})
+
+    rows = sets.join(members, "id", "left_semi").mapInArrow(run, "id long, h array<long>").select("id", F.explode("h").alias("h"))
+    owners = rows.groupBy("h").agg(F.min("id").alias("id"), (F.count("*") == 1).cast("long").alias("alone"))
+    alone = owners.where("alone = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.join(members, "id", "left_semi").select("id", (F.length("shingles") / 8).cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and label, the smallest id reachable over the links: labels spread to neighbours and then jump to their label's label."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -180,36 +192,37 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     rows = stored(nodes.select(F.explode("bands").alias("band"), "id"), "bands")
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    members = stored(rows.join(sizes, "band").select("band", "id", "n", "pivot"), "members")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(rows.join(sizes, "band").select("band", "id", "n"), "members")
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
     gathered = small.groupBy("band").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # SMALL_BUCKET ids at most
     pairs = gathered.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    stars = large.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-
-    def test(candidates: DataFrame) -> DataFrame:
-        some = stored(_estimated(candidates.distinct(), nodes, percent), "pairs")
-        return stored(_confirmed(docs, some, percent, size), "confirmed")
+    ranked = large.join(large.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+    pivots = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    groups = stored(large.join(pivots, "band").select("pivot", "id").distinct(), "groups")
+    stars = groups.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
 
-    links = test(pairs.union(stars))
-    for k in range(PIVOT_ROUNDS + 1):
-        if large.isEmpty():
-            break
-        labelled = large.join(components(nodes, links), "id").select("band", "id", "label")
-        split = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("pivot")).where("x != y")
-        open_ = stored(labelled.join(split, "band").select("band", "id", "label", "pivot"), "open")
-        if open_.isEmpty():
-            break
-        if k < PIVOT_ROUNDS:
-            pivots = open_.where("id = pivot").select("band", F.col("label").alias("its"))
-            pairs = open_.join(pivots, "band").where("label != its").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        else:
-            counts = open_.groupBy("band", "label").agg(F.count("*").alias("n"))
-            most = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-            rest = open_.join(most, "band").where("label != most").select("band", F.col("id").alias("other"), F.col("label").alias("its"))
-            pairs = open_.join(rest, "band").where("label != its").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        links = links.union(test(pairs))
-    return links
+    some = stored(_estimated(pairs.union(stars).distinct(), nodes, percent), "pairs")
+    wanted = some.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
+    sets = stored(_sets(docs, wanted, size), "sets")
+    links = stored(_confirmed(sets, some, percent), "confirmed")
+
+    labelled = groups.join(components(groups.select("id").distinct(), links), "id")
+    split = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pivot")
+    open_ = stored(labelled.join(split, "pivot").select("pivot", "id", "label"), "open")
+    if open_.isEmpty():
+        return links
+    # a member links with another only if what others have too is large enough a part of it
+    able = _shared_sizes(sets, open_.select("id").distinct()).where(100 * F.col("m") >= percent * F.col("n"))
+    able = stored(open_.join(able, "id"), "able")
+    counts = open_.groupBy("pivot", "label").agg(F.count("*").alias("k"))
+    most = counts.groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
+    rest = able.join(most, "pivot").where("label != most").select("pivot", F.col("id").alias("other"), F.col("label").alias("its"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    common = F.least("m", "m2")
+    within = 100 * common >= percent * (F.col("n") + F.col("n2") - common)
+    pairs = able.join(rest, (able["pivot"] == rest["pivot"]) & (F.col("label") != F.col("its")) & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    more = stored(_estimated(pairs.distinct(), nodes, percent), "pairs")
+    return links.union(stored(_confirmed(sets, more, percent), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
