@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "slice0_factor_ic"
+from crosspanel.plans import factor_queries
+
+QUERIES: dict = {**factor_queries.QUERIES}
+ORACLE_SQL: dict = {**factor_queries.SQL}
+FLAGSHIP = "w4_mean"
