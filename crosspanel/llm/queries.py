@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, token_orc
+from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, suffix_dedup, token_orc
 from crosspanel.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.train_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}

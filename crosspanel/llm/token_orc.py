@@ -29,13 +29,13 @@ from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of
 END_ID = 0
 DOUBLE = re.compile(r"\s\s")
 #: Parts remembered by a worker in one generation; the one before it stays at hand.
-MOST_PARTS = 250_000
+MOST_PARTS = 400_000
 #: Parts joined for one call of the library.
 GROUP = 1000
 #: Marks after which the pattern always cuts between the letter before and the mark.
 MARKS = frozenset("!,.:;?")
 #: Options of the ORC writer.
-ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "snappy"}
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,8 +117,8 @@ def worker_encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Writes doc_id, part, start_in_part and ids as ORC in the shared folder, in ascending doc_id order; returns the table as read back."""
-    types = {"doc_id": pa.int64(), "part": pa.int32(), "start_in_part": pa.int64(), "ids": pa.list_(pa.int32())}
+    """Writes doc_id, part, start_in_part, n_ids and ids as ORC in the shared folder, in ascending doc_id order; returns the table as read back."""
+    types = {"doc_id": pa.int64(), "part": pa.int32(), "start_in_part": pa.int64(), "n_ids": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches):
         from pyspark import TaskContext
@@ -126,13 +126,13 @@ def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFram
         encoder, start, part = worker_encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4")
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                some = b.slice(k, 200)
+            for k in range(0, b.num_rows, 500):
+                some = b.slice(k, 500)
                 ids = [np.concatenate((x, end)) for x in encoder.encode(some.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(start + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))], names=list(types)
+                    [some.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(start + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))], names=list(types)
                 )
                 start += int(offsets[-1])
 
@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, partitions: int | None = None) -> DataFram
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, "doc_id long, part int, start_in_part long, ids array<int>"), "tokens", "orc", **ORC_OPTIONS)
+    return stored(ordered.mapInArrow(run, "doc_id long, part int, start_in_part long, n_ids long, ids array<int>"), "tokens", "orc", **ORC_OPTIONS)
 
 
 def read(tokens: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def read(tokens: DataFrame) -> DataFrame:
             yield arrow_rows({"doc_id": b.column(0), "part": b.column(1), "start_in_part": b.column(2), "n_tokens": np.diff(offsets).astype(np.int64), "ids_crc32": crc}, types)
 
     bounded_batches(tokens.sparkSession)
-    sizes = tokens.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    sizes = tokens.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_ids")).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     each = tokens.select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     # one row for each written part, so the broadcast side is bounded by the number of tasks
