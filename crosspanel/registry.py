@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from crosspanel.plans import factor_queries
+from crosspanel.plans import factor_queries, table_queries
 
-QUERIES: dict = {**factor_queries.QUERIES}
-ORACLE_SQL: dict = {**factor_queries.SQL}
-FLAGSHIP = "w4_mean"
+QUERIES: dict = {**factor_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict = {**factor_queries.SQL, **table_queries.SQL}
+FLAGSHIP = "a14_quantile_spread"
