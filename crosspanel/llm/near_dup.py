@@ -80,8 +80,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
-def bands(regs: np.ndarray) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(regs[k : k + ROWS].tobytes(), seed=k) - (1 << 63) for k in range(0, REGISTERS, ROWS)]
+def bands(regs: np.ndarray) -> np.ndarray:
+    """For each row of registers one hash a band, which tells the band's place too."""
+    parts = regs.reshape(len(regs), -1, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * MIX, parts.shape[:2])
+    for k in range(ROWS):
+        h = mixed(h + MIX) ^ parts[:, :, k]
+    return mixed(h).view(np.int64)
 
 
 def likeliest(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smaller: np.ndarray) -> np.ndarray:
@@ -98,8 +103,8 @@ def likeliest(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smaller: np.nd
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set, null if empty), registers and bands."""
-    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.binary(), "registers": pa.binary(), "bands": pa.list_(pa.int64())}
+    """doc_id, n_shingles, set_id (a digest of the set, null if empty) and registers."""
+    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.binary(), "registers": pa.binary()}
 
     def run(batches):
         for b in batches:
@@ -107,14 +112,25 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             out["doc_id"] = b.column(0)
             for text in b.column(1):
                 h = shingle_hashes(text.as_py(), size)
-                regs = registers(h) if len(h) else None
                 out["n_shingles"].append(len(h))
                 out["set_id"].append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                out["registers"].append(regs.tobytes() if len(h) else None)
-                out["bands"].append(bands(regs) if len(h) else None)
+                out["registers"].append(registers(h).tobytes() if len(h) else None)
             yield arrow_rows(out, types)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary, bands array<long>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary")
+
+
+def _bands_of(nodes: DataFrame) -> DataFrame:
+    """band, id and n_shingles: one row for each band of each node. Cheaper made again than stored."""
+    types = {"band": pa.int64(), "id": pa.int64(), "n_shingles": pa.int64()}
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                made = bands(np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, REGISTERS))
+                yield arrow_rows({"band": made.ravel(), "id": b.column(0).to_numpy().repeat(made.shape[1]), "n_shingles": b.column(1).to_numpy().repeat(made.shape[1])}, types)
+
+    return nodes.select("id", "n_shingles", "registers").mapInArrow(run, "band long, id long, n_shingles long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -191,12 +207,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    rows = stored(nodes.select(F.explode("bands").alias("band"), "id"), "bands")
+    rows = _bands_of(nodes)
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(rows.join(sizes, "band").select("band", "id", "n"), "members")
+    members = stored(rows.join(sizes, "band").select("band", "id", "n", "n_shingles"), "members")
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    gathered = small.groupBy("band").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # SMALL_BUCKET ids at most
-    pairs = gathered.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    gathered = small.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("id", "n_shingles"))).alias("ids"))  # SMALL_BUCKET ids at most
+    fits = f"y -> 100 * x.n_shingles >= {percent} * y.n_shingles and 100 * y.n_shingles >= {percent} * x.n_shingles"
+    pairs = gathered.select(F.explode(F.expr(f"flatten(transform(ids, (x, i) -> transform(filter(slice(ids, i + 2, size(ids)), {fits}), y -> struct(x.id as a, y.id as b))))")).alias("p")).select("p.a", "p.b")
     ranked = large.join(large.groupBy("id").agg(F.sum("n").alias("degree")), "id")
     pivots = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
     groups = stored(large.join(pivots, "band").select("pivot", "id").distinct(), "groups")
@@ -229,8 +246,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id)."""
     bounded_batches(docs.sparkSession)
     base = stored(sketches(docs, size), "sketches")
-    # equal sets count once; bands and registers are functions of the set, so any of them will do
-    nodes = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    # equal sets count once; registers are a function of the set, so any of them will do
+    nodes = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     nodes = stored(nodes, "nodes")
     labels = components(nodes, _links(docs, nodes, percent, size))
     classes = nodes.select("set_id", "id").join(labels, "id").select("set_id", "label")
