@@ -10,8 +10,9 @@ full sets. Confirmed links make components.
 A bucket (documents that agree in one band) of up to SMALL_BUCKET sets gives all its pairs. A larger one never does: its
 sets meet only its pivot, the set that agrees with most others over all bands. Buckets of one pivot make a group. Where a
 group still holds more than one component, the shingles that no other member of such groups has bound what two members
-can have in common, and only pairs outside the group's largest component whose bound reaches the limit are tested, so no
-link is left out. Groups are joined on their pivot, which Spark splits where it is skewed, and are never collected.
+can have in common. So do the differences between members and their pivot: two members differ at least in these, less what
+other members share of them. Only pairs outside the group's largest component whose bounds reach the limit are tested,
+so no link is left out. Groups are joined on their pivot, which Spark splits where it is skewed, and are never collected.
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; a text of fewer
 words than a shingle has one shingle; equal texts always link; repeated rows give repeated rows; null ids are left out
@@ -191,6 +192,25 @@ def _shared_sizes(sets: DataFrame, members: DataFrame) -> DataFrame:
     return sets.join(members, "id", "left_semi").select("id", (F.length("shingles") / 8).cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
 
 
+def _from_pivots(sets: DataFrame, able: DataFrame) -> DataFrame:
+    """`able` with d (hashes that only one of the member and its pivot has) and s (those of them that are so for another member of the group too)."""
+
+    def run(batches):
+        for t in batches:
+            x, p = (([np.frombuffer(v.as_py(), np.int64) for v in t.column(k)]) for k in (2, 3))
+            apart = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(x, p)]
+            yield arrow_rows({"pivot": t.column(0), "id": t.column(1), "h": apart}, {"pivot": pa.int64(), "id": pa.int64(), "h": pa.list_(pa.int64())})
+
+    both = able.select("pivot", "id").join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    rows = both.select("pivot", "id", "x", "p").mapInArrow(run, "pivot long, id long, h array<long>").select("pivot", "id", F.explode("h").alias("h"))
+    owners = rows.groupBy("pivot", "h").agg(F.min("id").alias("id"), F.count("*").alias("k"))
+    alone = owners.where("k = 1").groupBy("pivot", "id").agg(F.count("*").alias("alone"))
+    sizes = rows.groupBy("pivot", "id").agg(F.count("*").alias("d"))
+    zero = F.lit(0).cast("long")
+    d, lone = F.coalesce("d", zero), F.coalesce("alone", zero)
+    return able.join(sizes, ["pivot", "id"], "left").join(alone, ["pivot", "id"], "left").select(*able.columns, d.alias("d"), (d - lone).alias("s"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and label, the smallest id reachable over the links: labels spread to neighbours and then jump to their label's label."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -231,12 +251,15 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
         return links
     # a member links with another only if what others have too is large enough a part of it
     able = _shared_sizes(sets, open_.select("id").distinct()).where(100 * F.col("m") >= percent * F.col("n"))
-    able = stored(open_.join(able, "id"), "able")
+    able = open_.join(able, "id")
     counts = open_.groupBy("pivot", "label").agg(F.count("*").alias("k"))
     most = counts.groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
-    rest = able.join(most, "pivot").where("label != most").select("pivot", F.col("id").alias("other"), F.col("label").alias("its"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    common = F.least("m", "m2")
-    within = 100 * common >= percent * (F.col("n") + F.col("n2") - common)
+    # and two members differ in all in which both differ from the pivot, but for what they have in common there
+    able = stored(_from_pivots(sets, stored(able, "able")), "able")
+    rest = able.join(most, "pivot").where("label != most").select("pivot", F.col("id").alias("other"), F.col("label").alias("its"), *(F.col(c).alias(c + "2") for c in "nmds"))
+    common, apart = F.least("m", "m2"), F.col("d") + F.col("d2") - 2 * F.least("s", "s2")
+    n = F.col("n") + F.col("n2")
+    within = (100 * common >= percent * (n - common)) & ((100 + percent) * apart <= (100 - percent) * n)
     pairs = able.join(rest, (able["pivot"] == rest["pivot"]) & (F.col("label") != F.col("its")) & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     more = stored(_estimated(pairs.distinct(), nodes, percent), "pairs")
     return links.union(stored(_confirmed(sets, more, percent), "confirmed"))
