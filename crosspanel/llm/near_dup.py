@@ -35,6 +35,7 @@ SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SMALL_BUCKET = 16
+BLOOM_BITS = 1 << 26
 #: A pair goes without a look at its sets if its likeliest similarity is this far below the limit (over 5 deviations).
 SLACK = 0.2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,6 +135,15 @@ def _bands_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "n_shingles", "registers").mapInArrow(run, "band long, id long, n_shingles long")
 
 
+def _perhaps(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id may be among the ids, by a Bloom filter of one hash, so that few other texts are shuffled. It is broadcast: 2,048 bitmaps of 4 KB at most, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)) + 1
+    bitmaps = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = texts.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)}).join(F.broadcast(bitmaps), "bucket")
+    return marked.withColumn("byte", byte).where("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1").select(*texts.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """id and the sorted shingle hashes of the wanted documents."""
 
@@ -141,7 +151,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield arrow_rows({"id": b.column(0), "shingles": [shingle_hashes(t.as_py(), size).tobytes() for t in b.column(1)]}, {"id": pa.int64(), "shingles": pa.binary()})
 
-    some = texts_of(docs).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = wanted.select(F.col("id").alias("doc_id"))
+    some = _perhaps(texts_of(docs), ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.mapInArrow(run, "id long, shingles binary")
 
 
