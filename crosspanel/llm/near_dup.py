@@ -203,6 +203,13 @@ def _shared_sizes(sets: DataFrame, members: DataFrame) -> DataFrame:
     return sets.join(members, "id", "left_semi").select("id", (F.length("shingles") / 8).cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
 
 
+def _by_hub(labelled: DataFrame) -> DataFrame:
+    """Groups whose pivots are linked become one, under the pivot with most members."""
+    homes = labelled.where("id = pivot").select("pivot", F.col("label").alias("home"))
+    hubs = labelled.groupBy("pivot").agg(F.count("*").alias("k")).join(homes, "pivot").groupBy("home").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("hub"))
+    return labelled.join(homes, "pivot").join(hubs, "home").select(F.col("hub").alias("pivot"), "id", "label").distinct()
+
+
 def _from_pivots(sets: DataFrame, able: DataFrame) -> DataFrame:
     """`able` with d (hashes that only one of the member and its pivot has) and s (those of them that are so for another member of the group too)."""
 
@@ -255,7 +262,8 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     sets = stored(_sets(docs, wanted, size), "sets")
     links = stored(_confirmed(sets, some, percent), "confirmed")
 
-    labelled = groups.join(components(groups.select("id").distinct(), links), "id")
+    labelled = _by_hub(stored(groups.join(components(groups.select("id").distinct(), links), "id"), "labelled"))
+    labelled = stored(labelled, "labelled")
     split = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pivot")
     open_ = stored(labelled.join(split, "pivot").select("pivot", "id", "label"), "open")
     if open_.isEmpty():
