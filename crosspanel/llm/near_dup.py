@@ -151,8 +151,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield arrow_rows({"id": b.column(0), "shingles": [shingle_hashes(t.as_py(), size).tobytes() for t in b.column(1)]}, {"id": pa.int64(), "shingles": pa.binary()})
 
-    ids = wanted.select(F.col("id").alias("doc_id"))
-    some = _perhaps(texts_of(docs), ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    # an inner join: a semi-join would be moved below the filter's join, and all texts shuffled again
+    some = _perhaps(texts_of(docs), ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
     return some.mapInArrow(run, "id long, shingles binary")
 
 
