@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -17,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a new one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a new one for the application."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFrame:
