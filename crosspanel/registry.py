@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from crosspanel.plans import factor_queries, panel_queries, research_queries, table_queries
+from crosspanel.plans import factor_queries, file_queries, panel_queries, research_queries, table_queries
 
-QUERIES: dict = {**factor_queries.QUERIES, **table_queries.QUERIES, **panel_queries.QUERIES, **research_queries.QUERIES}
-ORACLE_SQL: dict = {**factor_queries.SQL, **table_queries.SQL, **panel_queries.SQL, **research_queries.SQL}
+QUERIES: dict = {**factor_queries.QUERIES, **table_queries.QUERIES, **panel_queries.QUERIES, **research_queries.QUERIES, **file_queries.QUERIES}
+ORACLE_SQL: dict = {**factor_queries.SQL, **table_queries.SQL, **panel_queries.SQL, **research_queries.SQL, **file_queries.SQL}
 FLAGSHIP = "a14_quantile_spread"
