@@ -3,7 +3,7 @@
 Words and pairs of words fall into BUCKETS by hash. One pass counts the buckets over all documents (the raw corpus),
 another over trusted documents (the target): those labelled good, at most TRUSTED of them, in the order of their hash.
 A document's score is the mean log ratio of the two smoothed multinomials over its words and pairs. The threshold is a
-low percentile of the trusted documents' own scores, less a margin, and every document is held against it.
+low percentile of the trusted documents' own scores, and every document is held against it.
 
 The counts are added up before the shuffle, so at most BUCKETS rows leave a task, and the ratios come to BUCKETS
 numbers however large the corpus is.
@@ -25,7 +25,6 @@ BUCKETS = 4096
 TRUSTED = 10_000
 SMOOTHING = 1.0
 PERCENTILE = 0.005
-MARGIN = 0.25
 #: White space between words, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -57,7 +56,7 @@ def _ratios(target: dict[int, int], raw: dict[int, int]) -> list[float]:
 def _score(ratios: list[float]) -> Column:
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     total = F.aggregate(_buckets("w"), F.lit(0.0), lambda s, b: s + F.get(table, b))
-    return F.when(F.size("w") > 0, total / (2 * F.size("w")))
+    return F.when(F.size("w") > 0, F.round(total / (2 * F.size("w")), 6))
 
 
 def _repeat_words() -> list[tuple[str, Column]]:
@@ -100,8 +99,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = plain.join(F.broadcast(trusted_ids(labels)), "doc_id", "left_semi")
     ratios = _ratios(_counts(trusted), _counts(plain))
     low = trusted.select(F.percentile(_score(ratios), PERCENTILE).alias("p")).first().p
-    threshold = (low if low is not None else 0.0) - MARGIN
-    df = features(docs).withColumn("llr", F.round(_score(ratios), 6))
+    threshold = low if low is not None else 0.0
+    df = features(docs).withColumn("llr", _score(ratios))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("w")
 
 

@@ -97,6 +97,13 @@ def test_op3_verdicts(spark):
     assert sum(good) / len(good) > 0.97
 
 
+def test_op3_rejects_labelled_junk(spark):
+    labels = {r.doc_id: r.quality for r in data(spark, "/root/testdata/sf0.01", "labels").collect()}
+    got = rows(queries.op3_quality_rules(spark, "/root/testdata/sf0.01"))
+    junk = [r["kept"] for r in got if not r["base_failed"] and labels.get(r["doc_id"]) == 0]
+    assert len(junk) > 20 and sum(junk) / len(junk) < 0.05
+
+
 def test_op3_without_trusted(spark, sf_dir):
     got = rows(quality_rules.report(documents(spark), data(spark, sf_dir, "labels").limit(0)))
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
