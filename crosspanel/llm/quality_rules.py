@@ -1,12 +1,14 @@
 """Quality rules from hashed n-gram likelihood ratios, with DataFrame functions only (operator 3).
 
 Words and pairs of words fall into BUCKETS by hash. One pass counts the buckets over all documents (the raw corpus),
-another over trusted documents (the target): those labelled good, at most TRUSTED of them, in the order of their hash.
+another over all trusted documents (the target): those labelled good.
 A document's score is the mean log ratio of the two smoothed multinomials over its words and pairs. The threshold is a
 low percentile of the trusted documents' own scores, and every document is held against it.
 
 The counts are added up before the shuffle, so at most BUCKETS rows leave a task, and the ratios come to BUCKETS
-numbers however large the corpus is.
+numbers however large the corpus is. Spark chooses how trusted ids meet the documents. The judged rows, without their
+texts, are stored once in the shared folder; the percentile is exact, over scores rounded to six digits, so its state
+grows with the different scores only.
 
 Defined cases: a null text has no words; a document without words has score null and fails the base rules; equal
 scores have equal verdicts; repeated rows count and return as often as they stand; without trusted documents the ratio
@@ -21,8 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosspanel.llm.common import stored
+
 BUCKETS = 4096
-TRUSTED = 10_000
 SMOOTHING = 1.0
 PERCENTILE = 0.005
 #: White space between words, and the characters that count as symbols.
@@ -86,22 +89,20 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "w")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most `most` ids of documents labelled good, in the order of their hash."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good."""
+    return labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w"))
-    trusted = plain.join(F.broadcast(trusted_ids(labels)), "doc_id", "left_semi")
-    ratios = _ratios(_counts(trusted), _counts(plain))
-    low = trusted.select(F.percentile(_score(ratios), PERCENTILE).alias("p")).first().p
-    threshold = low if low is not None else 0.0
-    df = features(docs).withColumn("llr", _score(ratios))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("w")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    good = trusted_ids(labels)
+    trusted = plain.join(good, "doc_id", "left_semi")
+    ratios = _ratios(_counts(trusted.select(words(F.col("text")).alias("w"))), _counts(plain.select(words(F.col("text")).alias("w"))))
+    df = stored(features(docs).withColumn("llr", _score(ratios)).drop("w"), "judged")
+    low = df.join(good, "doc_id", "left_semi").select(F.percentile("llr", PERCENTILE).alias("p")).first().p
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(low if low is not None else 0.0)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

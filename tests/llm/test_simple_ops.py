@@ -104,6 +104,11 @@ def test_op3_rejects_labelled_junk(spark):
     assert len(junk) > 20 and sum(junk) / len(junk) < 0.05
 
 
+def test_op3_trusts_all_good_ids(spark):
+    labels = spark.range(12_000).selectExpr("id as doc_id", "1 as quality")
+    assert quality_rules.trusted_ids(labels).count() == 12_000
+
+
 def test_op3_without_trusted(spark, sf_dir):
     got = rows(quality_rules.report(documents(spark), data(spark, sf_dir, "labels").limit(0)))
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
