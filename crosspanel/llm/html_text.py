@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution (operator 7).
 
-Markup goes first: comments, scripts, styles and elements that are boilerplate by their tag or by a word of their class,
-id or role. What is left becomes lines, one for each block element. Sums of text length over sliding windows of lines
-then show where the text surges and where it dives, and the lines between are the main text; a main element or an
-article pins the surge and the dive to its own first and last line.
-
-Defined cases: null or empty html gives the empty text; html without markup is one block; unclosed tags end with the
-page; repeated pages give repeated rows; an empty table gives an empty table; other columns play no part.
+Markup goes first: comments, scripts, styles and elements that are boilerplate by their tag or by a whole token of their
+class, id or role. An element that holds most of the page's text, or is an article, does not go by such tokens. What is
+left becomes lines, one for each block element. Sums of text length over sliding windows of lines then show where the
+text surges and where it dives; the lines between are the main text, with the unlinked lines that adjoin them up to a
+link-heavy or dropped block. Articles and main elements with half of the text or more bound the lines looked at.
+
+Defined cases: null or empty html gives the empty text; html without markup is one block; unclosed tags end with
+their parent, p, li, dt, dd, tr, td, th and option also at the next sibling; repeated pages give repeated rows; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,83 +35,128 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = frozenset(
     "ad ads advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+PARTS = frozenset("area articles bar block bottom box button buttons container fixed inner item items left links list outer panel posts right section stories top wrap wrapper".split())
+#: Elements that a sibling ends, and where the search for it ends.
+SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("datalist",)),
+}
 CORE = frozenset(("article", "main"))
 WINDOW, SURGE = 3, 120
 
 
 def _hinted(attributes: str) -> set[str]:
-    words = " ".join(x for m in ATTRIBUTE.finditer(attributes) for x in m.groups() if x)
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower())) & HINTS
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """For each block with text: the text, its characters outside links, and whether it stands in an article or main."""
-    lines: list[tuple[str, int, bool]] = []
+    """The hints of the tokens of class, id and role that consist of hints and words for parts of a page only."""
+    out: set[str] = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+            if words <= HINTS | PARTS:
+                out |= words & HINTS
+    return out
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """For each block with text: the text, its characters outside links, whether it stands in an article or main, and whether something dropped stands before it."""
+    made: list[tuple[str, int, bool, tuple[int, ...]]] = []
     parts: list[tuple[str, bool]] = []
-    skip, depth, core, links, at = "", 0, 0, 0, 0
+    stack: list[tuple[str, int]] = []
+    at = n_drops = 0
+    hard: set[int] = set()
+    by_tag: set[int] = set()
 
     def end_line() -> None:
         text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(p) for p, in_link in parts if in_link)
-            lines.append((text, max(0, len(text) - linked), core > 0))
+            drops: list[int] = []
+            for tag, drop in stack:
+                if tag in CORE:
+                    drops = [d for d in drops if d not in hard]
+                if drop:
+                    drops.append(drop)
+            made.append((text, max(0, len(text) - linked), any(t in CORE for t, _ in stack), tuple(drops)))
         parts.clear()
 
     for m in MARKUP.finditer(page):
-        if m.start() > at and not skip:
-            parts.append((page[at : m.start()], links > 0))
+        if m.start() > at:
+            parts.append((page[at : m.start()], any(t == "a" for t, _ in stack)))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
         closing = bool(m[2])
         hints = _hinted(m[4]) if not closing and ("=" in m[4]) else set()
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-            if depth <= 0:
-                skip = ""
-                continue
-            if not closing and tag in CORE and not hints and skip not in ("aside", "form"):
-                skip = ""
-            else:
-                continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in DROPPED or hints:
             end_line()
         elif tag == "br":
             parts.append((" ", False))
         if closing:
-            core -= tag in CORE and core > 0
-            links -= tag == "a" and links > 0
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if stack[k][1]:
+                        end_line()
+                    del stack[k:]
+                    break
+                if tag not in BLOCKS and tag not in DROPPED and stack[k][0] in BLOCKS:
+                    break
+            continue
+        if tag in VOID:
             continue
-        drop = tag in DROPPED or bool(hints) and tag not in ("html", "body", "main") and tag not in VOID
-        if drop and core and (tag == "header" or hints == {"header"}):
+        ended, within = SIBLINGS.get(tag, ((), ()))
+        for k in range(len(stack) - 1, -1, -1):
+            t = stack[k][0]
+            if t in ended or t == "p" and tag in BLOCKS:
+                del stack[k:]
+            elif t in within or not ended and t in BLOCKS:
+                break
+        drop = tag in DROPPED or bool(hints) and tag not in ("html", "body", "main", "article")
+        if drop and (tag == "header" or hints == {"header"}) and any(t in CORE for t, _ in stack):
             drop = False
-        if drop:
-            end_line()
-            skip, depth = tag, 1
-        else:
-            core += tag in CORE
-            links += tag == "a"
-    if at < len(page) and not skip:
-        parts.append((page[at:], links > 0))
+        if drop or tag in BLOCKS or tag == "a":
+            n_drops += drop
+            stack.append((tag, n_drops if drop else 0))
+            if drop and tag in DROPPED:
+                by_tag.add(n_drops)
+                if tag not in ("aside", "form"):
+                    hard.add(n_drops)
+    if at < len(page):
+        parts.append((page[at:], any(t == "a" for t, _ in stack)))
     end_line()
+    held: dict[int, int] = {}
+    for text, _, _, drops in made:
+        for d in drops:
+            held[d] = held.get(d, 0) + len(text)
+    whole = sum(len(x[0]) for x in made)
+    gone = {d for d, n in held.items() if d in by_tag or 2 * n <= whole}
+    lines, gap = [], False
+    for text, size, core, drops in made:
+        if gone.intersection(drops):
+            gap = True
+        else:
+            lines.append((text, size, core, gap))
+            gap = False
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines from the surge to the dive of the windowed text length; without a surge, all lines."""
     inside = [i for i, x in enumerate(lines) if x[2]]
     if inside:
-        return [text for text, _, core in lines if core]
-    sizes = [n for _, n, _ in lines]
+        return [text for text, _, core, _ in lines if core]
+    sizes = [x[1] for x in lines]
     sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     high = [i for i, s in enumerate(sums) if s >= surge and sizes[i] > 0]
     if not high:
-        return [text for text, _, _ in lines]
+        return [text for text, _, _, _ in lines]
     first = max(high[0], next((i for i in range(high[0], len(sizes)) if 2 * sizes[i] >= sums[i] or sizes[i] >= surge // 2), high[0]))
     last = max(i for i, s in enumerate(sizes) if s and sum(sizes[max(0, i - window + 1) : i + 1]) >= surge)
-    return [text for text, _, _ in lines[first : last + 1]]
+    return [text for text, _, _, _ in lines[first : last + 1]]
 
 
 def main_text(page: str | None) -> str:

@@ -132,6 +132,19 @@ def test_op7_without_article():
     assert got[:3] == [long.strip(), "Short.", long.strip()] and "One" not in got and "y" not in got
 
 
+LONG = ("This sentence belongs to the body of the page and is long enough. " * 3).strip()
+
+
+@pytest.mark.parametrize("tag", ['article class="post has-comments"', 'div id="page" class="no-sidebar"', 'section class="social-science"', 'div class="related-work"', 'div class="widget"'])
+def test_op7_hints_are_whole_tokens(tag):
+    name = tag.split()[0]
+    assert html_text.main_text(f"<{tag}><p>{LONG}</p></{name}><p>Other</p>").startswith(LONG)
+
+
+def test_op7_unclosed_hinted_elements():
+    assert html_text.main_text(f"<article><p class=ad>Buy<p>{LONG}<p>{LONG}<ul><li class=share>Share<li>Item</ul></article>") == f"{LONG}\n{LONG}\nItem"
+
+
 def test_op7_table(spark, sf_dir):
     got = rows(queries.op7_html_text(spark, sf_dir))
     assert len(got) == data(spark, sf_dir, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in got)
