@@ -145,18 +145,36 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines from the surge to the dive of the windowed text length; without a surge, all lines."""
-    inside = [i for i, x in enumerate(lines) if x[2]]
+    """The lines from the surge to the dive of the windowed text length and the text around them; without a surge, all lines. An article or main with half of the text or more bounds them."""
+    total, inside = sum(x[1] for x in lines), [x for x in lines if x[2]]
     if inside:
-        return [text for text, _, core, _ in lines if core]
+        return [x[0] for x in inside]
+    pinned = bool(inside) and 2 * sum(x[1] for x in inside) >= total
+    if pinned:
+        lines = inside
     sizes = [x[1] for x in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    high = [i for i, s in enumerate(sums) if s >= surge and sizes[i] > 0]
+    high = [i for i in range(len(sizes)) if sizes[i] and sum(sizes[i : i + window]) >= surge]
     if not high:
-        return [text for text, _, _, _ in lines]
-    first = max(high[0], next((i for i in range(high[0], len(sizes)) if 2 * sizes[i] >= sums[i] or sizes[i] >= surge // 2), high[0]))
-    last = max(i for i, s in enumerate(sizes) if s and sum(sizes[max(0, i - window + 1) : i + 1]) >= surge)
-    return [text for text, _, _, _ in lines[first : last + 1]]
+        return [x[0] for x in lines]
+    linked = [2 * x[1] < len(x[0]) for x in lines]
+    # Surge and dive stand at lines of the body; what adjoins them goes along up to a link-heavy or dropped block.
+    first = next((i for i in range(high[0], len(sizes)) if not linked[i]), high[0])
+    last = max(i for i, n in enumerate(sizes) if n and not linked[i] and sum(sizes[max(0, i - window + 1) : i + 1]) >= surge or i == first)
+    return [x[0] for x in lines[_reach(lines, linked, first, -1, pinned) : _reach(lines, linked, last, 1, pinned) + 1]]
+
+
+def _reach(lines: list, linked: list[bool], at: int, step: int, pinned: bool) -> int:
+    """The outermost unlinked line from `at` on. In an article, dropped blocks and single link-heavy lines, as bylines, do not end it."""
+    k = at + step
+    while 0 <= k < len(lines):
+        if not pinned and (linked[k] or lines[max(k, k - step)][3]):
+            break
+        if linked[k] and linked[k - step]:
+            break
+        if not linked[k]:
+            at = k
+        k += step
+    return at
 
 
 def main_text(page: str | None) -> str:

@@ -145,6 +145,13 @@ def test_op7_unclosed_hinted_elements():
     assert html_text.main_text(f"<article><p class=ad>Buy<p>{LONG}<p>{LONG}<ul><li class=share>Share<li>Item</ul></article>") == f"{LONG}\n{LONG}\nItem"
 
 
+def test_op7_short_heads_leads_and_ends():
+    for sizes in ([25, 400, 300, 8, 350, 10, 12, 9, 11], [25, 30, 500, 300, 20, 40, 30, 25, 60]):
+        true = [chr(97 + i) * n for i, n in enumerate(sizes)]
+        page = "<div><a href=a>One</a></div>" + "".join(f"<p>{t}</p>" for t in true) + "<div><a href=b>Two</a></div><div>c</div>"
+        assert html_text.main_text(page).split("\n") == true
+
+
 def test_op7_table(spark, sf_dir):
     got = rows(queries.op7_html_text(spark, sf_dir))
     assert len(got) == data(spark, sf_dir, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in got)
