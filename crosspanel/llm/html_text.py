@@ -147,8 +147,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines from the surge to the dive of the windowed text length and the text around them; without a surge, all lines. An article or main with half of the text or more bounds them."""
     total, inside = sum(x[1] for x in lines), [x for x in lines if x[2]]
-    if inside:
-        return [x[0] for x in inside]
     pinned = bool(inside) and 2 * sum(x[1] for x in inside) >= total
     if pinned:
         lines = inside

@@ -135,6 +135,13 @@ def test_op7_without_article():
 LONG = ("This sentence belongs to the body of the page and is long enough. " * 3).strip()
 
 
+def test_op7_windows_beside_article_and_in_main():
+    cards = "".join(f"<article><a href=c{k}>Card {k} leads to another page</a></article>" for k in range(4))
+    assert html_text.main_text(f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div>{cards}</div>") == f"Head\n{LONG}\n{LONG}"
+    menu = "".join(f"<div><a href={k}>Menu {k}</a></div>" for k in range(4))
+    assert html_text.main_text(f"<main>{menu}<h1>Head</h1><p>{LONG}</p><p>End.</p>{menu}</main>") == f"Head\n{LONG}\nEnd."
+
+
 @pytest.mark.parametrize("tag", ['article class="post has-comments"', 'div id="page" class="no-sidebar"', 'section class="social-science"', 'div class="related-work"', 'div class="widget"'])
 def test_op7_hints_are_whole_tokens(tag):
     name = tag.split()[0]
