@@ -2,7 +2,8 @@
 
 Plain patterns (kinds assign, access, hex) always report. Further candidates, which are runs of base64, of base64url
 parts joined by dots and of hex, report only if what they decode to has the structure of a secret: a PEM or bare DER
-private key whose nested lengths add up, an OpenSSH key whose length-prefixed fields add up, or a signed token whose
+private key whose nested lengths add up (line breaks may be escaped, RFC 1421 header lines may come first, and
+bare base64 may go over lines; a legacy encrypted key has whole cipher blocks), an OpenSSH key whose length-prefixed fields add up, or a signed token whose
 header is JSON that names an algorithm.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows; an empty table gives an empty
@@ -25,7 +26,17 @@ from crosspanel.llm.common import arrow_rows, bounded_batches, map_texts, texts_
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----)){16,})-----END \1-----")
+#: A line break as it stands in text, in JSON and in code, there also with the end of one string and the start of the next.
+BREAK = r"""(?:(?:[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n))(?:["'][\x20\t]*[+.,]?\s*["'])?[\x20\t]*|["'][\x20\t]*[+.,]?\s*["'][\x20\t]*)"""
+BREAKS = re.compile(BREAK)
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:.*")
+DEK = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})$")
+#: Base64 over several lines, from where a DER sequence or the OpenSSH magic may begin.
+START = re.compile(r"(?:(?<![A-Za-z0-9+/=])|(?<=\\n))(?:M[A-Za-z0-9+/]{15}|b3BlbnNzaC1rZXktdjE)")
+WRAPPED = re.compile(r"[A-Za-z0-9+/]+(?:" + BREAK + r"[A-Za-z0-9+/]+)+={0,2}")
+#: How a sequence begins whose first element is a version number.
+VERSION = re.compile(rb"0(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....)\x02\x01[\x00-\x03]", re.S)
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
@@ -100,6 +111,69 @@ def openssh_key(data: bytes | None) -> bool:
     return bool(fields) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
 
 
+def pem_key(label: str, body: str) -> bool:
+    """RFC 1421 header lines may stand first. With them, encrypted content has whole blocks of the size of its start vector."""
+    lines, headers = [x.strip() for x in BREAKS.split(body)], []
+    while lines and (not lines[0] or HEADER.match(lines[0])):
+        if lines[0]:
+            headers.append(lines[0])
+        del lines[0]
+    data = from_base64("".join(lines))
+    if not data:
+        return False
+    if any(re.match(r"Proc-Type:\s*4\s*,\s*ENCRYPTED$", x) for x in headers):
+        vector = next((m[1] for x in headers if (m := DEK.match(x))), None)
+        return vector is not None and len(data) % (len(vector) // 2) == 0
+    return der_key(data) or openssh_key(data) or "ENCRYPTED" in label and bool(der_fields(data))
+
+
+def key_size(data: bytes) -> int | None:
+    """The bytes that a DER sequence or an OpenSSH private key at the start of `data` takes by its own lengths."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3
+        while left:
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+            if at + 4 > len(data):
+                return None
+        left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+        while left and at + 4 <= len(data):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+        return at if not left and at <= len(data) else None
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return None
+    size = 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+    return size if size <= len(data) else None
+
+
+def wrapped_key(m: re.Match) -> tuple[str, int, int] | None:
+    """The key that starts at a run of base64 lines; it ends where its own lengths say, as text may follow on the next line."""
+    runs, at = [], m.start()
+    for b in BREAKS.finditer(m.string, m.start(), m.end()):
+        runs.append((at, b.start()))
+        at = b.end()
+    runs.append((at, m.end()))
+    joined = "".join(m.string[a:b] for a, b in runs).rstrip("=")
+    data = from_base64(joined[: len(joined) // 4 * 4]) or b""
+    data += (from_base64(joined[len(joined) // 4 * 4 :]) or b"") if len(joined) % 4 > 1 else b""
+    size = key_size(data)
+    if size is None or not (der_key(data[:size]) or openssh_key(data[:size])):
+        return None
+    left = -(-size * 4 // 3)
+    for a, b in runs:
+        if left <= b - a:
+            end = a + left
+            break
+        left -= b - a
+    while end < len(m.string) and m.string[end] == "=" and end - a - left < 2:
+        end += 1
+    return "openssh" if data.startswith(b"openssh") else "der", m.start(), end
+
+
 def signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -118,8 +192,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out, taken = [], []
     for m in PEM.finditer(text):
-        data = from_base64(m[2])
-        if der_key(data) or openssh_key(data) or "ENCRYPTED" in m[1] and bool(data and der_fields(data)):
+        if pem_key(m[1], m[2]):
             out.append(("pem", *m.span()))
             taken.append(m.span())
     if "eyJ" in text:
@@ -127,6 +200,14 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if signed_token(m[0]):
                 out.append(("token", *m.span()))
                 taken.append(m.span())
+    at = 0
+    while m := START.search(text, at):
+        at = m.end()
+        if (m[0][0] == "b" or VERSION.match(from_base64(m[0]) or b"")) and (run := WRAPPED.match(text, m.start())):
+            if not any(a <= m.start() < b for a, b in taken) and (key := wrapped_key(run)):
+                out.append(key)
+                taken.append(key[1:])
+                at = key[2]
     for m in BASE64.finditer(text):
         if any(a < m.end() and m.start() < b for a, b in taken):
             continue

@@ -242,6 +242,35 @@ def test_op10_structure():
     assert secrets.redact("ab cd ef", [("hex", 3, 5)]) == "ab [SECRET] ef"
 
 
+def test_op10_wrapped_keys():
+    number = der(2, b"\x01" * 64)
+    for key in (der(0x30, der(2, b"\0") + number * 8), der(0x30, der(2, b"\0") + number * 8 + b"\x02\x01\x05"), der(0x30, der(2, b"\0") + number * 8 + b"\x02\x02\x05\x05")):
+        lines = [b64(key)[i : i + 64] for i in range(0, len(b64(key)), 64)]
+        pem = ["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----", ""]
+        for text in (json.dumps({"private_key": "\n".join(pem)}), json.dumps(json.dumps("\r\n".join(pem))), 'k = "' + '\\n" +\n    "'.join(pem) + '"'):
+            (kind, a, b), = secrets.confirmed_spans(text)
+            assert kind == "pem" and text[a:b].startswith("-----BEGIN") and text[a:b].endswith("KEY-----")
+        for brk in ("\n", "\r\n", "\\n"):
+            text = f"see: {brk.join(lines)}\nHello world"
+            assert secrets.redact(text, secrets.confirmed_spans(text)) == "see: [SECRET]\nHello world"
+        assert secrets.confirmed_spans("\n".join([*lines[:-2], "Hello"])) == []
+        assert secrets.redact("\n".join(["M" * 64, *lines]), secrets.confirmed_spans("\n".join(["M" * 64, *lines]))) == "M" * 64 + "\n[SECRET]"
+
+
+def test_op10_legacy_encrypted():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n%s\n-----END RSA PRIVATE KEY-----"
+    kinds = lambda t: [k for k, _, _ in secrets.confirmed_spans(t)]
+    assert kinds(pem % b64(b"\x8f" * 64)) == ["pem"] and kinds(json.dumps(pem % b64(b"\x8f" * 64))) == ["pem"]
+    assert kinds(pem % b64(b"\x8f" * 61)) == [] and kinds(pem % "no key, just words") == []
+
+
+def test_op10_wrapped_openssh():
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    key = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"k" * 51) + part(b"p" * 136)
+    text = "\n".join(b64(key)[i : i + 70] for i in range(0, len(b64(key)), 70)) + "\nHello"
+    assert secrets.redact(text, secrets.confirmed_spans(text)) == "[SECRET]\nHello"
+
+
 def test_op10_base(spark, sf_dir):
     patterns = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
