@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts into one Arrow batch for a Python worker. A batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark puts into one Arrow batch for a Python worker at most; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,9 @@ def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFr
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """The same two bounds for all operators, so that none changes what another has set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

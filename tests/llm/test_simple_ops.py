@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.orc  # noqa: F401
 import pytest
 
 from crosspanel.llm import bpe, decontaminate, html_text, quality_rules, queries, secrets, token_orc
@@ -46,9 +49,36 @@ def test_op1_is_the_library(spark, sf_dir):
             start += len(ids)
 
 
-def test_op1_parts_join():
-    for text in ("", " a", "a  b c\n d ", "a b", "  ", "x y  z"):
-        assert "".join(token_orc.parts_of(text)) == text
+#: Pieces with white space of one to three bytes, marks, contractions and the library's special token.
+PIECES = ["a", "b", "é", "—", "漢", "\u3000", "\u00a0", " ", "  ", "\n", "\t", ",", ".", "!", "'s", "1", "<|endoftext|>", "\U0001f600", "\x1c", "\u2009", " bar", "_", "ß", "\x85", "’"]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_op1_random_texts_are_the_library(special_as_text):
+    rng, path = random.Random(5), P.path("byte_bpe_50k.json")
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["a <|endoftext|> b", "", "x" * 30000]
+    library = token_orc.tokenizer(path, special_as_text)
+    encoder = token_orc.Encoder(path, special_as_text)
+    for k in range(0, len(texts), 700):
+        some = texts[k : k + 700]
+        offsets, ids = encoder.encode(pa.array(["", *some]).slice(1))
+        for a, b, text in zip(offsets, offsets[1:], some):
+            assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_op1_lookup_skips_row_groups(spark):
+    docs = spark.range(12000).selectExpr("id * 7 as doc_id", "concat('word ', id) as text")
+    tokens = token_orc.write(docs, P.path("byte_bpe_50k.json"), partitions=2)
+    read = {}
+    for ids in ([35, 70_000], [36]):  # the second id stands in no document; only the Bloom filter can tell
+        found = token_orc.find(tokens, ids)
+        assert [r.doc_id for r in found.collect()] == [i for i in ids if i % 7 == 0]
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read[len(ids)] = scan.metrics().apply("numOutputRows").value()
+    assert read[2] <= 2000 and read[1] == 0
+    files = [pa.orc.ORCFile(f.removeprefix("file:").removeprefix("//")) for f in tokens.inputFiles()]
+    assert [f.nrows for f in files if f.nrows] == [6000, 6000] or sum(f.nrows for f in files) == 12000
+    assert all(f.row_index_stride == 1000 and str(f.compression) == "SNAPPY" for f in files if f.nrows)
 
 
 def test_op1_empty(spark):
