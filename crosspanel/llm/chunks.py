@@ -3,8 +3,9 @@
 Some operators must know, for millions of short keys of each document, what the whole corpus says of them. Here a chunk
 (some MB of text) sends each of its distinct keys once, packed and sorted, to the bucket that owns the key's hash range;
 the bucket answers in the order of the keys; and the answers of all buckets come back to the chunk. A key that a third
-of all documents hold reaches its bucket once from each chunk, like any other, so no key makes a hot task. The buckets
-grow in number with the chunks, so a bucket's memory stays the same at every size.
+of all documents hold reaches its bucket once from each chunk, like any other, so no key makes a hot task. There are PER_PARTITION
+buckets for each shuffle partition of the session, whatever the number of chunks: messages grow in proportion to the
+corpus, and a bucket's share of the keys is set by spark.sql.shuffle.partitions, as that of any shuffle.
 
 The chunks are a table in the shared folder, bucketed by chunk, so that answers join them without moving texts again.
 """
@@ -16,12 +17,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import BATCH_ROWS, bounded_batches, shared_dir, texts_of
+from crosspanel.llm.common import bounded_batches, shared_dir, texts_of
 
-CHUNK_BYTES = 3 << 20
+PER_PARTITION = 4
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,16 +53,26 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
-def chunked(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """A stored table of chunk and texts (compressed), bucketed by chunk, and the number of chunks. Rows in a chunk are sorted by doc_id."""
+def cuts_of(sizes: list[int], most: int) -> list[int]:
+    """Where new chunks begin so that none but those of one text exceeds `most`."""
+    out, held = [], 0
+    for k, n in enumerate(sizes):
+        if k and held + n > most:
+            out.append(k)
+            held = 0
+        held += n
+    return out
+
+
+def chunked(docs: DataFrame, label: str, chunk_bytes: int) -> DataFrame:
+    """A stored table of chunk and texts (compressed), bucketed by chunk. Rows in a chunk are sorted by doc_id; a chunk of more than `chunk_bytes` has one text."""
 
     def run(batches):
         from pyspark import TaskContext
 
         at, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         for b in batches:
-            sizes = np.cumsum([len(t.as_buffer() or b"") for t in b.column(1)]) // CHUNK_BYTES
-            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
+            for part in np.split(np.arange(b.num_rows), cuts_of([len(t.as_buffer() or b"") for t in b.column(1)], chunk_bytes)):
                 if len(part):
                     some = pa.Table.from_batches([b.slice(part[0], len(part))]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
                     sink = pa.BufferOutputStream()
@@ -75,8 +86,7 @@ def chunked(docs: DataFrame, label: str) -> tuple[DataFrame, int]:
     name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = texts_of(docs).mapInArrow(run, "chunk long, texts binary")
     made.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").bucketBy(n, "chunk").format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    return table, table.count()
+    return spark.table(name)
 
 
 def texts_in(data: bytes) -> tuple[list, list[bytes]]:
@@ -85,8 +95,8 @@ def texts_in(data: bytes) -> tuple[list, list[bytes]]:
     return table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist()
 
 
-def buckets_for(chunks: int) -> int:
-    return max(1, chunks // 2)
+def buckets_for(spark: SparkSession) -> int:
+    return PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
@@ -95,7 +105,3 @@ def with_answers(table: DataFrame, answers: DataFrame) -> DataFrame:
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias("answers"))
     return table.join(gathered, "chunk", "left").select("chunk", "texts", "answers")
 
-
-def one_chunk_at_a_time(spark) -> None:
-    """A chunk is some MB, so few of them go into one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, 8)))

@@ -33,6 +33,8 @@ from crosspanel.llm.common import arrow_rows, stored
 from crosspanel.llm.near_dup import MIX, mixed
 
 SPAN, K = 50, 20
+#: Text in a chunk; hashes of all its positions are some 20 times as large.
+CHUNK_BYTES = 3 << 20
 KEEP, GONE, OPEN = 0, 1, 2
 
 
@@ -88,7 +90,7 @@ class Chunk:
         self.last = starts[np.append(cut[1:], len(starts)) - 1] if len(starts) else starts
         at = place[self.first]
         self.doc = doc[self.first]
-        self.samples = small[at]
+        self.samples = mixed(small[at] + MIX)  # least hashes crowd at the low end; mixed again they fill all buckets alike
         self.around = mixed(mixed(self.windows[self.first] + MIX) ^ self.windows[self.last]) ^ mixed(((at - self.first) * 64 + self.last - self.first).astype(np.uint64) + MIX)
 
     def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,9 +189,8 @@ def _in_order(got) -> list[dict]:
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept bytes and the spans [begin, end)."""
     spark = docs.sparkSession
-    table, n = C.chunked(docs, "suffix_chunks")
-    C.one_chunk_at_a_time(spark)
-    buckets = C.buckets_for(n)
+    table = C.chunked(docs, "suffix_chunks", CHUNK_BYTES)
+    buckets = C.buckets_for(spark)
 
     def ask_samples(batches):
         for b in batches:
