@@ -42,10 +42,23 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+#: Numbers mixed at once, so that they stay in the cache.
+BLOCK = 1 << 15
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    if h.ndim == 1 and len(h) > BLOCK:
+        out = np.empty_like(h)
+        for k in range(0, len(h), BLOCK):
+            out[k : k + BLOCK] = mixed(h[k : k + BLOCK])
+        return out
+    x = h >> np.uint64(30)
+    x ^= h
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:

@@ -38,17 +38,28 @@ CHUNK_BYTES = 3 << 20
 KEEP, GONE, OPEN = 0, 1, 2
 
 
+#: A number for each byte, and for each doubling an odd factor of the left half, which has remainder 3 by 4.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
+FACTORS = mixed(np.arange(1001, 1065, dtype=np.uint64) * MIX) | np.uint64(3)
+
+
 def rolling(a: np.ndarray, size: int, have: dict[int, np.ndarray]) -> np.ndarray:
-    """Hashes of all strings of `size` bytes from those of half the size; `have` keeps powers of two."""
-    n, power = len(a) - size + 1, 1
-    have.setdefault(1, mixed(a.astype(np.uint64) + MIX))
+    """Hashes of all strings of `size` bytes: sums of the bytes' numbers times factors by place, mixed once at the end.
+    They come from those of half the size; `have` keeps powers of two."""
+    n, power, level = len(a) - size + 1, 1, 0
+    if 1 not in have:
+        have[1] = BYTES[a]
     while 2 * power <= size:
         h = have[power]
         if 2 * power not in have:
-            have[2 * power] = mixed(h[: len(h) - power] + MIX) ^ h[power:]
-        power *= 2
+            made = h[: len(h) - power] * FACTORS[level]
+            made += h[power:]
+            have[2 * power] = made
+        power, level = 2 * power, level + 1
     h = have[power]
-    return mixed(mixed(h[:n] + MIX) ^ h[size - power : size - power + n]) + np.uint64(size)
+    made = h[:n] * FACTORS[level + 16]
+    made += h[size - power : size - power + n]
+    return mixed(made) + np.uint64(size)
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
