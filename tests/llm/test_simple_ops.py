@@ -189,6 +189,65 @@ def test_op7_short_heads_leads_and_ends():
         assert html_text.main_text(page).split("\n") == true
 
 
+def plain_main_lines(lines, window=html_text.WINDOW, surge=html_text.SURGE):
+    """The rule of the docstring line by line: every window is added up anew, and the region grows one line at a time."""
+    held = sum(size for _, size, _, _ in lines)
+    core = [x for x in lines if x[2]]
+    bound = bool(core) and 2 * sum(x[1] for x in core) >= held
+    lines = core if bound else lines
+    n = len(lines)
+    text = [x[0] for x in lines]
+    heavy = [2 * x[1] < len(x[0]) for x in lines]
+    ahead = lambda i: sum(lines[k][1] for k in range(i, min(n, i + window)))
+    behind = lambda i: sum(lines[k][1] for k in range(max(0, i - window + 1), i + 1))
+    surges = [i for i in range(n) if lines[i][1] > 0 and ahead(i) >= surge]
+    if not surges:
+        return text
+    begin = surges[0]
+    for i in range(surges[0], n):
+        if not heavy[i]:
+            begin = i
+            break
+    end = max([begin, *(i for i in range(n) if lines[i][1] > 0 and not heavy[i] and behind(i) >= surge)])
+    for step in (-1, 1):
+        edge = at = begin if step < 0 else end
+        while 0 <= at + step < n:
+            new = at + step
+            dropped_between = lines[at][3] if step < 0 else lines[new][3]
+            if not bound and (heavy[new] or dropped_between) or heavy[new] and heavy[at]:
+                break
+            at = new
+            edge = edge if heavy[new] else new
+        begin, end = (edge, end) if step < 0 else (begin, edge)
+    return text[begin : end + 1]
+
+
+def test_op7_windows_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(4000):
+        lines, tagged = [], rng.random() < 0.5
+        for k in range(rng.randrange(25)):
+            size = rng.choice([0, 5, 20, 40, 60, 130, 400])
+            linked = rng.choice([0, 0, 0, size, 30])
+            lines.append((f"{k}".ljust(max(1, size + linked), "x"), size, tagged and 4 < k < 18, rng.random() < 0.15))
+        assert html_text.main_lines(lines) == plain_main_lines(lines), lines
+
+
+def test_op7_same_text_without_article_tags(spark, sf_dir):
+    """Surge and dive find the text of nearly all pages with neither article nor main to bound it."""
+    pages = [r["html"] or "" for r in rows(data(spark, sf_dir, "pages"))]
+    same = sum(html_text.main_text(p) == html_text.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) for p in pages)
+    assert same >= 0.96 * len(pages)
+
+
+def test_op7_long_and_repeated_pages_and_empty_table(spark):
+    long = "<div><h1>Head</h1>" + f"<p>{LONG}</p>" * 20_000 + "</div>"
+    kind = "page_id long, url string, html string, n_chars string"
+    got = rows(html_text.extract(spark.createDataFrame([(1, "u", long, "x"), (2, "v", f"<p>{LONG}", "x"), (2, "v", f"<p>{LONG}", "x")], kind)))
+    assert [(r["page_id"], r["n_chars"]) for r in sorted(got, key=lambda r: r["page_id"])] == [(1, 4 + 20_000 * (len(LONG) + 1)), (2, len(LONG)), (2, len(LONG))]
+    assert rows(html_text.extract(spark.createDataFrame([], kind))) == []
+
+
 def test_op7_table(spark, sf_dir):
     got = rows(queries.op7_html_text(spark, sf_dir))
     assert len(got) == data(spark, sf_dir, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in got)
