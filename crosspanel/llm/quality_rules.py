@@ -1,7 +1,7 @@
 """Quality rules from hashed n-gram likelihood ratios, with DataFrame functions only (operator 3).
 
-Words and pairs of words fall into BUCKETS by hash. One pass counts the buckets over all documents (the raw corpus),
-another over all trusted documents (the target): those labelled good.
+Words and pairs of words fall into BUCKETS by hash. One pass counts the buckets over all documents (the raw corpus)
+and over all trusted documents (the target): those labelled good.
 A document's score is the mean log ratio of the two smoothed multinomials over its words and pairs. The threshold is a
 low percentile of the trusted documents' own scores, and every document is held against it.
 
@@ -34,19 +34,21 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def hashes(text: Column) -> Column:
+    """The 64-bit hashes of the words of a text, each made once."""
+    return F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _buckets(w: str = "w") -> Column:
-    """The buckets of all words and all pairs of neighbours in the column `w`."""
-    return F.expr(f"concat(transform({w}, x -> int(pmod(xxhash64(x), {BUCKETS}))), transform({w}, (x, i) -> int(pmod(xxhash64(if(i = 0, '', {w}[i - 1]), x), {BUCKETS}))))")
+def _bucket(*hashes: str) -> str:
+    """The bucket of a word's hash, or of the pair of a word's hash and that of the word before it."""
+    return f"int(pmod({hashes[0] if len(hashes) == 1 else 'xxhash64(' + ', '.join(hashes) + ')'}, {BUCKETS}))"
 
 
-def _counts(docs: DataFrame) -> dict[int, int]:
-    """At most BUCKETS rows reach the driver."""
-    b = docs.select(F.explode(_buckets("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    return {r.b: r.n for r in b.collect()}
+def _counts(docs: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """How often each bucket is met in trusted documents and in all, in one pass. At most BUCKETS rows reach the driver."""
+    both = F.expr(f"concat(transform(h, x -> {_bucket('x')}), transform(h, (x, i) -> {_bucket('if(i = 0, 0L, h[i - 1])', 'x')}))")
+    b = docs.select("trusted", F.explode(both).alias("b")).groupBy("b").agg(F.count_if("trusted").alias("t"), F.count("*").alias("n")).collect()
+    return {r.b: r.t for r in b if r.t}, {r.b: r.n for r in b}
 
 
 def _ratios(target: dict[int, int], raw: dict[int, int]) -> list[float]:
@@ -56,37 +58,38 @@ def _ratios(target: dict[int, int], raw: dict[int, int]) -> list[float]:
     return [round(math.log((target.get(b, 0) + SMOOTHING) / nt) - math.log((raw.get(b, 0) + SMOOTHING) / nr), 6) for b in range(BUCKETS)]
 
 
-def _score(ratios: list[float]) -> Column:
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    total = F.aggregate(_buckets("w"), F.lit(0.0), lambda s, b: s + F.get(table, b))
-    return F.when(F.size("w") > 0, F.round(total / (2 * F.size("w")), 6))
+def _score() -> Column:
+    """The mean ratio over the words and pairs, in one walk over the hashes of the words; `r` holds the ratios of the buckets."""
+    step = f"(a, x) -> struct(a.s + get(r, {_bucket('x')}) + get(r, {_bucket('a.p', 'x')}) as s, x as p)"
+    total = F.expr(f"aggregate(h, struct(double(0) as s, 0L as p), {step}, a -> a.s)")
+    return F.when(F.size("h") > 0, F.round(total / (2 * F.size("h")), 6))
 
 
-def _repeat_words() -> list[tuple[str, Column]]:
-    """Steps to the number of words in 3-word windows found twice or more: sort windows by hash, keep equal neighbours, add up what their places cover."""
-    return [
-        ("g", F.expr("if(size(w) < 4, array(), array_sort(transform(sequence(0, greatest(size(w) - 3, 0)), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i))))")),
-        ("g", F.expr("array_sort(transform(filter(g, (x, k) -> (k > 0 and g[greatest(k - 1, 0)].h = x.h) or (k < size(g) - 1 and get(g, k + 1).h = x.h)), x -> x.i))")),
-        ("n_repeat_words", F.expr("aggregate(transform(g, (x, k) -> if(k = size(g) - 1, 3, least(3, get(g, k + 1) - x))), 0L, (s, x) -> s + x)")),
-    ]
+#: The number of words in 3-word windows found twice or more. Where no two windows have the same hash it is 0. Else windows
+#: are sorted by hash, those with an equal neighbour stay, and what their places cover is added up.
+_WINDOWS = "transform(sequence(0, greatest(size(h) - 3, 0)), i -> xxhash64(h[i], get(h, i + 1), get(h, i + 2)))"
+_SORTED = "sort_array(transform(g, (x, i) -> struct(x as h, i as i)))"
+_REPEATED = "sort_array(transform(filter(s, (x, k) -> get(s, k - 1).h = x.h or get(s, k + 1).h = x.h), x -> x.i))"
+_COVERED = "aggregate(transform(p, (x, k) -> if(k = size(p) - 1, 3, least(3, get(p, k + 1) - x))), 0L, (s, x) -> s + x)"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words as `w`."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the hashes of the words as `h`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), words(text).alias("w"), F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), hashes(text).alias("h"), F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"))
     df = df.withColumns(
         {
-            "n_words": F.size("w").cast("long"),
+            "n_words": F.size("h").cast("long"),
             "n_symbols": (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long"),
             "l": lines,
+            "g": F.when(F.size("h") > 3, F.expr(_WINDOWS)),
         }
-    ).withColumn("n_dup_lines", (F.size("l") - F.size(F.array_distinct("l"))).cast("long"))
-    for name, step in _repeat_words():
-        df = df.withColumn(name, step)
+    )
+    df = df.withColumns({"n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"), "s": F.when(F.size(F.array_distinct("g")) < F.size("g"), F.expr(_SORTED))})
+    df = df.withColumn("p", F.when(F.col("s").isNotNull(), F.expr(_REPEATED))).withColumn("n_repeat_words", F.when(F.col("p").isNotNull(), F.expr(_COVERED)).otherwise(F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "w")
+    return df.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "h")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -96,11 +99,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
     good = trusted_ids(labels)
-    trusted = plain.join(good, "doc_id", "left_semi")
-    ratios = _ratios(_counts(trusted.select(words(F.col("text")).alias("w"))), _counts(plain.select(words(F.col("text")).alias("w"))))
-    df = stored(features(docs).withColumn("llr", _score(ratios)).drop("w"), "judged")
+    marked = plain.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    ratios = F.from_json(F.lit(json.dumps(_ratios(*_counts(marked)))), "array<double>")
+    scored = features(docs).withColumn("r", ratios).withColumn("llr", _score())
+    df = stored(scored.drop("h", "r"), "judged")
     low = df.join(good, "doc_id", "left_semi").select(F.percentile("llr", PERCENTILE).alias("p")).first().p
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(low if low is not None else 0.0)))
 
