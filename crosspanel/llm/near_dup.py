@@ -16,12 +16,14 @@ so no link is left out. Groups are joined on their pivot, which Spark splits whe
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; a text of fewer
 words than a shingle has one shingle; equal texts always link; repeated rows give repeated rows; null ids are left out
-of linking and keep component null; an empty table gives an empty table; other columns play no part.
+of linking, keep component null and stay in a deduplicated table; a doc_id on several texts links as each of them, row by
+row; an empty table gives an empty table; a very long text has as many shingles as it has; other columns play no part.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,11 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def set_number(hashes: np.ndarray) -> int:
+    """The number of a set among the nodes: it depends on the set alone, so that a doc_id may stand on several texts."""
+    return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "big", signed=True)
+
+
 @functools.lru_cache(maxsize=1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     s = mixed(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * MIX)
@@ -118,8 +125,8 @@ def likeliest(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smaller: np.nd
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_id (a digest of the set, null if empty) and registers."""
-    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.binary(), "registers": pa.binary()}
+    """doc_id, n_shingles, set_id (a digest of the set, null if empty), id (64 bits of it) and registers."""
+    types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.binary(), "id": pa.int64(), "registers": pa.binary()}
 
     def run(batches):
         for b in batches:
@@ -129,10 +136,11 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 h = shingle_hashes(text.as_py(), size)
                 out["n_shingles"].append(len(h))
                 out["set_id"].append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                out["id"].append(set_number(h) if len(h) else None)
                 out["registers"].append(registers(h).tobytes() if len(h) else None)
             yield arrow_rows(out, types)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, id long, registers binary")
 
 
 def _bands_of(nodes: DataFrame) -> DataFrame:
@@ -157,17 +165,19 @@ def _perhaps(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.withColumn("byte", byte).where("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1").select(*texts.columns)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and the sorted shingle hashes of the wanted documents."""
+def _sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """id and the sorted shingle hashes of the wanted nodes, made from the text of the smallest doc_id of each."""
 
     def run(batches):
         for b in batches:
-            yield arrow_rows({"id": b.column(0), "shingles": [shingle_hashes(t.as_py(), size).tobytes() for t in b.column(1)]}, {"id": pa.int64(), "shingles": pa.binary()})
+            made = [shingle_hashes(t.as_py(), size) for t in b.column(0)]
+            yield arrow_rows({"id": [set_number(h) if len(h) else None for h in made], "shingles": [h.tobytes() for h in made]}, {"id": pa.int64(), "shingles": pa.binary()})
 
-    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    ids = nodes.join(wanted.select("id"), "id", "left_semi").select("doc_id").distinct()
     # an inner join: a semi-join would be moved below the filter's join, and all texts shuffled again
-    some = _perhaps(texts_of(docs), ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    return some.mapInArrow(run, "id long, shingles binary")
+    some = _perhaps(texts_of(docs), ids).join(ids, "doc_id").select("text")
+    # other texts under the same doc_ids go by the number of their set
+    return some.mapInArrow(run, "id long, shingles binary").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +283,7 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
 
     some = stored(_estimated(pairs.union(stars).distinct(), nodes, percent), "pairs")
     wanted = some.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
-    sets = stored(_sets(docs, wanted, size), "sets")
+    sets = stored(_sets(docs, wanted, nodes, size), "sets")
     links = stored(_confirmed(sets, some, percent), "confirmed")
 
     labelled = _by_hub(stored(groups.join(components(groups.select("id").distinct(), links), "id"), "labelled"))
@@ -293,7 +303,11 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     common, apart = F.least("m", "m2"), F.col("d") + F.col("d2") - 2 * F.least("s", "s2")
     n = F.col("n") + F.col("n2")
     within = (100 * common >= percent * (n - common)) & ((100 + percent) * apart <= (100 - percent) * n)
-    pairs = able.join(rest, (able["pivot"] == rest["pivot"]) & (F.col("label") != F.col("its")) & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    # sizes of linked sets differ by less than a step of the bands, so a pair stands in the same or the next band
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    able = able.withColumn("size_band", step)
+    rest = rest.withColumn("band2", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.log(F.col("n2").cast("double")) / math.log(100 / percent) + 1e-9) + k)))
+    pairs = able.join(rest, (able["pivot"] == rest["pivot"]) & (F.col("size_band") == F.col("band2")) & (F.col("label") != F.col("its")) & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     more = stored(_estimated(pairs.distinct(), nodes, percent), "pairs")
     return links.union(stored(_confirmed(sets, more, percent), "confirmed"))
 
@@ -303,17 +317,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     bounded_batches(docs.sparkSession)
     base = stored(sketches(docs, size), "sketches")
     # equal sets count once; registers are a function of the set, so any of them will do
-    nodes = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    nodes = base.where("set_id is not null and doc_id is not null").groupBy("set_id", "id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     nodes = stored(nodes, "nodes")
     labels = components(nodes, _links(docs, nodes, percent, size))
-    classes = nodes.select("set_id", "id").join(labels, "id").select("set_id", "label")
-    out = base.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    classes = nodes.select("set_id", "id", "doc_id").join(labels, "id")
+    least = classes.groupBy("label").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(least, "label").select("set_id", "least")
+    linkable = base.where("set_id is not null and doc_id is not null").select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    # rows without words or without an id link with nothing
+    alone = base.where("set_id is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linkable.select("doc_id", "n_shingles", F.col("least").alias("component_id")).union(alone)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """`docs` with its columns, of each component the document with the smallest doc_id."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = docs["doc_id"].cast("long") == F.col("kept_id")
-    return docs.join(kept, same, "left_semi")
+    """`docs` with its columns, of each component the document with the smallest doc_id; rows without a doc_id stay, as do those with a doc_id that stands for a component by another of its texts."""
+    judged = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept"))
+    gone = judged.where("not kept").select("gone_id")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

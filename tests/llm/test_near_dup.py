@@ -61,6 +61,19 @@ def test_op2_large_bucket(spark, monkeypatch):
     check(spark, spark.createDataFrame(made, "doc_id long, text string"))
 
 
+def test_op2_one_id_on_several_texts(spark):
+    """Whatever the order of the rows, each row links as its own text."""
+    z, w = " ".join(f"z{k}" for k in range(60)), " ".join(f"w{k}" for k in range(60))
+    made = [(5, z), (5, w), (7, z + " more"), (1, w), (None, z), (None, None)]
+    for seed in range(4):
+        random.Random(seed).shuffle(made)
+        docs = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+        got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows(near_dup.near_duplicates(docs, 4)))
+        assert got == [(0, 0, 0), (0, 57, 0), (1, 57, 1), (5, 57, 1), (5, 57, 5), (7, 58, 5)]
+        left = [(r["doc_id"], r["text"]) for r in rows(near_dup.deduplicated(docs, 4))]
+        assert sorted(left, key=str) == sorted([(1, w), (5, z), (5, w), (None, z), (None, None)], key=str)
+
+
 def test_op2_likelihood_and_merge():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
