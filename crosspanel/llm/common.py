@@ -51,23 +51,28 @@ def arrow_rows(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], types[k]) for k in types], names=list(types))
 
 
-def map_texts(docs: DataFrame, decide, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """`docs` with its own columns after `decide`, which gets a list of texts (null: empty) and gives for each the text to go on with, or None to drop the row. A row whose text stays is left as it is; else the length column, if any, follows."""
-    names = docs.columns
+def with_texts(b: pa.RecordBatch, new: list, text: str = "text", length: str = "n_chars") -> pa.RecordBatch:
+    """A batch of documents with new texts, without the rows whose new text is None. A row whose text stays (null: empty) is left as it is; else the length column, if any, follows."""
+    names = b.schema.names
     at = names.index(text)
+    old = b.column(at).to_pylist()
+    changed = [n is not None and n != (t or "") for t, n in zip(old, new)]
+    columns = list(b.columns)
+    if any(changed):
+        columns[at] = pa.array([n if c else t for t, n, c in zip(old, new, changed)], columns[at].type)
+        if length in names:
+            k = names.index(length)
+            columns[k] = pa.array([len(n) if c else x for x, n, c in zip(columns[k].to_pylist(), new, changed)], columns[k].type)
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([n is not None for n in new], pa.bool_()))
+
+
+def map_texts(docs: DataFrame, decide, text: str = "text") -> DataFrame:
+    """`docs` with its own columns after `decide`, which gets a list of texts (null: empty) and gives for each the text to go on with, or None to drop the row."""
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            old = b.column(at).to_pylist()
-            new = decide([t or "" for t in old])
-            changed = [n is not None and n != (t or "") for t, n in zip(old, new)]
-            columns = list(b.columns)
-            if any(changed):
-                columns[at] = pa.array([n if c else t for t, n, c in zip(old, new, changed)], columns[at].type)
-                if length in names:
-                    k = names.index(length)
-                    columns[k] = pa.array([len(n) if c else x for x, n, c in zip(columns[k].to_pylist(), new, changed)], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([n is not None for n in new], pa.bool_()))
+            yield with_texts(b, decide([t or "" for t in b.column(at).to_pylist()]), text)
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -5,11 +5,13 @@ by word and carries the length of the longest match that ends there. A match of
 shorter item) marks its words as hit. Spans of hit words go from the text, and a document whose hit share exceeds a
 limit goes as a whole.
 
-The automaton of one block has at most 2 * BLOCK_WORDS states, so the broadcast has a proven bound; a larger benchmark
-makes more blocks, which run one after another over the same documents.
+The automaton of one block has at most 2 * BLOCK_WORDS states, so what is broadcast has a proven bound, and so has what
+a worker holds. A larger benchmark makes more blocks, which run one after another over the same documents: the marks of
+the blocks so far are stored with the documents in the shared folder, and the block's broadcast is given up before the next.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; an empty benchmark hits nothing;
-null items have no words; repeated items count by item_id; repeated document rows give repeated rows.
+null items have no words; repeated items count by item_id; repeated document rows give repeated rows; an empty table of
+documents gives an empty table; extra columns stay or play no part; a very long text is streamed like any other.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from crosspanel.llm.common import arrow_rows, bounded_batches, map_texts, texts_of
+from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of, with_texts
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
@@ -161,6 +164,51 @@ def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int
     yield Automaton(block, window)
 
 
+def _through(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Documents through the automata of all blocks, one block in memory at a time. `finish` gets a batch of `docs` and for
+    each text its words, which of them are hit, and the items found, and gives the rows of `schema`."""
+    spark, names = docs.sparkSession, docs.columns
+    bounded_batches(spark)
+    at, n = names.index(text), len(names)
+    # the marks go along as two more columns, named unlike any other
+    marks = ["hits", "items"]
+    while set(marks) & set(names):
+        marks = ["_" + m for m in marks]
+    kept_schema = StructType([*docs.schema.fields, StructField(marks[0], BinaryType()), StructField(marks[1], ArrayType(LongType()))])
+
+    def marker(broadcast, first: bool, last: bool):
+        def run(batches):
+            automaton = broadcast.value
+            for b in batches:
+                words = [words_of(t) for t in b.column(at).to_pylist()]
+                old = [None] * b.num_rows if first else b.column(n).to_pylist()
+                items = [()] * b.num_rows if first else b.column(n + 1).to_pylist()
+                hits, found = [], []
+                for w, bits, known in zip(words, old, items):
+                    hit, new = automaton.hits(w)
+                    hits.append(hit if not bits else hit | np.unpackbits(np.frombuffer(bits, np.uint8), count=len(w)).astype(bool))
+                    found.append(new | set(known or ()))
+                plain = pa.RecordBatch.from_arrays(b.columns[:n], names=names)
+                if last:
+                    yield finish(plain, words, hits, found)
+                else:
+                    packed = pa.array([np.packbits(h).tobytes() if h.any() else None for h in hits], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*plain.columns, packed, pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], names=[*names, *marks])
+
+        return run
+
+    automata = blocks_of(benchmark, block_words)
+    current, first = next(automata), True
+    while True:
+        following = next(automata, None)
+        broadcast = spark.sparkContext.broadcast(current)
+        made = docs.mapInArrow(marker(broadcast, first, following is None), schema if following is None else kept_schema)
+        if following is None:
+            return made
+        docs, current, first = stored(made, "marked"), following, False
+        broadcast.unpersist()
+
+
 def without(text: str, hit: np.ndarray) -> str:
     """The text without its runs of hit words and what stands between them."""
     raw = text.encode()
@@ -175,34 +223,24 @@ def without(text: str, hit: np.ndarray) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), clean_text, kept (false if the hit share exceeds most_share)."""
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in blocks_of(benchmark, block_words)]
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "item_ids": pa.list_(pa.string()), "clean_text": pa.string(), "kept": pa.bool_()}
 
-    def run(batches):
-        for b in batches:
-            out = {k: [] for k in types}
-            out["doc_id"] = b.column(0)
-            texts = b.column(1).to_pylist()
-            words = [words_of(t) for t in texts]
-            marks = [(np.zeros(len(w), bool), set()) for w in words]
-            for automaton in automata:
-                value = automaton.value
-                for (hit, found), w in zip(marks, words):
-                    more, items = value.hits(w)
-                    hit |= more
-                    found |= items
-            for text, w, (hit, found) in zip(texts, words, marks):
-                n = int(hit.sum())
-                out["n_words"].append(len(w))
-                out["n_hit"].append(n)
-                out["item_ids"].append(sorted(map(str, found)))
-                out["clean_text"].append(without(text, hit) if n else text)
-                out["kept"].append(n <= most_share * len(w))
-            yield arrow_rows(out, types)
+    def finish(b, words, hits, found):
+        texts, counts = b.column(1).to_pylist(), [int(h.sum()) for h in hits]
+        return arrow_rows(
+            {
+                "doc_id": b.column(0),
+                "n_words": [len(w) for w in words],
+                "n_hit": counts,
+                "item_ids": [sorted(map(str, f)) for f in found],
+                "clean_text": [without(t, h) if n else t for t, h, n in zip(texts, hits, counts)],
+                "kept": [n <= most_share * len(w) for w, n in zip(words, counts)],
+            },
+            types,
+        )
 
-    bounded_batches(spark)
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<string>, clean_text string, kept boolean")
+    schema = "doc_id long, n_words long, n_hit long, item_ids array<string>, clean_text string, kept boolean"
+    return _through(texts_of(docs), benchmark, "text", finish, schema, block_words)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,19 +253,12 @@ def digest(items: set[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with its columns, without spans of hit words and without documents whose hit share exceeds most_share."""
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks_of(benchmark)]
-
-    def decide(texts):
-        out = []
-        for text in texts:
-            words = words_of(text)
-            hit = np.zeros(len(words), bool)
-            for a in automata:
-                hit |= a.value.hits(words)[0]
-            n = int(hit.sum())
-            out.append(None if n > most_share * len(words) else without(text, hit) if n else text)
-        return out
+    at = docs.columns.index("text")
+
+    def finish(b, words, hits, found):
+        texts, counts = b.column(at).to_pylist(), [int(h.sum()) for h in hits]
+        return with_texts(b, [None if n > most_share * len(w) else without(t, h) if n else t or "" for t, w, h, n in zip(texts, words, hits, counts)])
 
-    return map_texts(docs, decide)
+    return _through(docs, benchmark, "text", finish, docs.schema, block_words)

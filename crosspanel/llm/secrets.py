@@ -3,11 +3,11 @@
 Plain patterns (kinds assign, access, hex) always report. Further candidates, which are runs of base64, of base64url
 parts joined by dots and of hex, report only if what they decode to has the structure of a secret: a PEM or bare DER
 private key whose nested lengths add up (line breaks may be escaped, RFC 1421 header lines may come first, and
-bare base64 may go over lines; a legacy encrypted key has whole cipher blocks), an OpenSSH key whose length-prefixed fields add up, or a signed token whose
+bare base64 may go over lines; a legacy encrypted key has whole cipher blocks), an OpenSSH private key whose length-prefixed fields add up, or a signed token whose
 header is JSON that names an algorithm.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows; an empty table gives an empty
-table; other columns of the input play no part. Offsets are code points, the end exclusive.
+table; other columns of the input play no part; whole texts are searched, however long. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -37,8 +37,11 @@ START = re.compile(r"(?:(?<![A-Za-z0-9+/=])|(?<=\\n))(?:M[A-Za-z0-9+/]{15}|b3Blb
 WRAPPED = re.compile(r"[A-Za-z0-9+/]+(?:" + BREAK + r"[A-Za-z0-9+/]+)+={0,2}")
 #: How a sequence begins whose first element is a version number.
 VERSION = re.compile(rb"0(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....)\x02\x01[\x00-\x03]", re.S)
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Signed tokens: the header is an object, so it begins with a brace and a quote, maybe with white space between.
+TOKEN = re.compile(r"(?:eyJ|eyA|ew[0ko])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+#: Base64url of a DER sequence, with one of the two characters that plain base64 lacks.
+URL64 = re.compile(r"(?<![A-Za-z0-9_-])M(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{39,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "token", "openssh", "der")
@@ -86,29 +89,9 @@ def der_key(data: bytes | None) -> bool:
     return numbers or wrapped or curve
 
 
-def ssh_fields(data: bytes) -> list[bytes] | None:
-    out, at = [], 0
-    while at < len(data):
-        if at + 4 > len(data) or at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) > len(data):
-            return None
-        out.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
-
-
 def openssh_key(data: bytes | None) -> bool:
-    """The private-key magic with cipher, derivation and options, or a public blob, whose fields fill the data."""
-    if not data:
-        return False
-    if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data)
-    fields = ssh_fields(data)
-    return bool(fields) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+    """The private-key magic with cipher, derivation, options and key blobs whose lengths stay within the data. A public key is no secret."""
+    return bool(data) and data.startswith(b"openssh-key-v1\0") and key_size(data) is not None
 
 
 def pem_key(label: str, body: str) -> bool:
@@ -195,11 +178,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if pem_key(m[1], m[2]):
             out.append(("pem", *m.span()))
             taken.append(m.span())
-    if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if signed_token(m[0]):
-                out.append(("token", *m.span()))
-                taken.append(m.span())
+    for m in TOKEN.finditer(text):
+        if signed_token(m[0]):
+            out.append(("token", *m.span()))
+            taken.append(m.span())
     at = 0
     while m := START.search(text, at):
         at = m.end()
@@ -216,6 +198,9 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("openssh", *m.span()))
         elif der_key(data):
             out.append(("der", *m.span()))
+    for m in URL64.finditer(text):
+        if not any(a < m.end() and m.start() < b for a, b in taken) and der_key(from_base64(m[0])):
+            out.append(("der", *m.span()))
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
             out.append(("der", *m.span()))
