@@ -53,15 +53,15 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
-def cuts_of(sizes: list[int], most: int) -> list[int]:
-    """Where new chunks begin so that none but those of one text exceeds `most`."""
-    out, held = [], 0
+def cuts_of(sizes: list[int], most: int, held: int = 0) -> tuple[list[int], int]:
+    """Where new chunks begin so that none but those of one text exceeds `most`, if `held` bytes wait already; and the bytes that wait then."""
+    out = []
     for k, n in enumerate(sizes):
-        if k and held + n > most:
+        if held and held + n > most:
             out.append(k)
             held = 0
         held += n
-    return out
+    return out, held
 
 
 def chunked(docs: DataFrame, label: str, chunk_bytes: int) -> DataFrame:
@@ -71,15 +71,26 @@ def chunked(docs: DataFrame, label: str, chunk_bytes: int) -> DataFrame:
         from pyspark import TaskContext
 
         at, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
+
+        def packed(waiting):
+            some = pa.Table.from_batches(waiting).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema) as out:
+                out.write_table(some)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "texts"])
+
+        waiting, held = [], 0
         for b in batches:
-            for part in np.split(np.arange(b.num_rows), cuts_of([len(t.as_buffer() or b"") for t in b.column(1)], chunk_bytes)):
-                if len(part):
-                    some = pa.Table.from_batches([b.slice(part[0], len(part))]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, some.schema) as out:
-                        out.write_table(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "texts"])
-                    at += 1
+            cuts, held = cuts_of([len(t.as_buffer() or b"") for t in b.column(1)], chunk_bytes, held)
+            for begin, end in zip([0, *cuts], [*cuts, None]):
+                if begin or begin in cuts:
+                    yield packed(waiting)
+                    waiting, at = [], at + 1
+                piece = b.slice(begin, end - begin if end is not None else None)
+                if piece.num_rows:
+                    waiting.append(piece)
+        if waiting:
+            yield packed(waiting)
 
     spark = docs.sparkSession
     bounded_batches(spark)

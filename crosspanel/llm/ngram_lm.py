@@ -16,7 +16,7 @@ an arc for the token, adds up the logarithms of all arcs taken, and goes on in t
 
 No task holds the whole automaton, which grows with the corpus: counts are summed in hash buckets of words and of pairs,
 where all words after one pair meet, and each chunk of documents gets back the states and arcs that its own texts can take.
-Words and pairs have 64-bit keys; words after a pair are told apart by 32 bits.
+Words have 64-bit keys and pairs 56-bit ones; words after a pair are told apart by 32 bits.
 
 Defined cases: a null or empty text is scored as the end alone; documents with null ids are learnt from and scored, not
 held out; without training documents N and V are 0 and every token has the probability of an unknown one; repeated rows
@@ -40,7 +40,9 @@ from crosspanel.llm.near_dup import LOWER, MIX, mixed
 
 MU, D = 5.0, 0.75
 END = b"\n"  # no word holds a line break
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
+#: Pairs have 56-bit keys, at the top of 64, as their bytes make up most of what is sent.
+PAIR_KEY = np.uint64((1 << 64) - (1 << 8))
 #: What a chunk sends to a bucket, and what it gets back: counts of words, of pairs and of words after pairs, and t.
 SENT = ("words", "word_counts", "pairs", "pair_counts", "followers", "marks", "mark_counts")
 BACK = ("words", "pairs", "kinds", "triples")
@@ -50,6 +52,14 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and each key's place in it."""
+    order = np.argsort(keys)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return order, place
+
+
 class Chunk:
     """Tokens of a chunk's texts as numbers, with its distinct words and pairs under sorted keys, and the words after each pair."""
 
@@ -59,35 +69,30 @@ class Chunk:
         tokens, sizes = [], []
         for t in texts:
             words = t.translate(LOWER).split()
-            tokens += [known.setdefault(w, len(known)) for w in words]
-            tokens.append(0)
+            tokens.append(np.array([known.setdefault(w, len(known)) for w in words] + [0], np.int32))
             sizes.append(len(words) + 1)
         self.sizes = np.array(sizes, np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.held = np.array([is_held_out(i) for i in self.ids], bool)
         hashes = mixed(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)))
-        order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        order, place = _ranked(hashes)
         self.words = hashes[order]
         self.end = place[0]
-        self.token = place[np.array(tokens, np.int64)]
+        self.token = place[np.concatenate(tokens)]
         # the word before each token; a text begins after an end, so that the end's count is that of the beginnings too
-        self.before = np.concatenate(([0], self.token[:-1]))
+        self.before = np.concatenate((self.token[:1], self.token[:-1]))
         self.before[self.begin] = self.end
-        pair, number = np.unique(self.before * len(order) + self.token, return_inverse=True)
-        keys = mixed(mixed(self.words[pair // len(order)] + MIX) ^ self.words[pair % len(order)])
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        pair, number = np.unique(self.before.astype(np.int64) * len(order) + self.token, return_inverse=True)
+        keys = mixed(mixed(self.words[pair // len(order)] + MIX) ^ self.words[pair % len(order)]) & PAIR_KEY
+        order, place = _ranked(keys)
         self.pairs, self.pair = keys[order], place[number]
         # the pair before each token but the first of a text, and the token, told by 32 bits
         self.inner = np.ones(len(self.token), bool)
         self.inner[self.begin] = False
-        history = np.concatenate(([0], self.pair[:-1]))[self.inner]
+        history = np.concatenate((self.pair[:1], self.pair[:-1]))[self.inner]
         mark = mixed(self.words + MIX)[self.token[self.inner]] >> np.uint64(32)
-        triples, self.triple = np.unique(history.astype(np.uint64) << np.uint64(32) | mark, return_inverse=True)
-        self.history = history
+        triples, triple = np.unique(history.astype(np.uint64) << np.uint64(32) | mark, return_inverse=True)
+        self.history, self.triple = history, triple.astype(np.int32)
         self.owner = (triples >> np.uint64(32)).astype(np.int64)
         self.marks = triples.astype(np.uint32)
         self.learnt = np.repeat(~self.held, self.sizes)
