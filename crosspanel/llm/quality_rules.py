@@ -6,7 +6,7 @@ A document's score is the mean log ratio of the two smoothed multinomials over i
 low percentile of the trusted documents' own scores, and every document is held against it.
 
 The counts are added up before the shuffle, so at most BUCKETS rows leave a task, and the ratios come to BUCKETS
-numbers however large the corpus is. Spark chooses how trusted ids meet the documents. The judged rows, without their
+numbers however large the corpus is. Trusted ids meet the documents as exact bitmaps, so that texts are not shuffled. The judged rows, without their
 texts, are stored once in the shared folder; the percentile is exact, over scores rounded to six digits, so its state
 grows with the different scores only.
 
@@ -28,6 +28,8 @@ from crosspanel.llm.common import stored
 BUCKETS = 4096
 SMOOTHING = 1.0
 PERCENTILE = 0.005
+#: Bitmaps of trusted ids that are broadcast at most: 32 MB.
+MOST_BITMAPS = 8_000
 #: White space between words, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -97,15 +99,29 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
 
 
+def bitmaps(ids: DataFrame) -> DataFrame:
+    """Exact bitmaps of ids: one row of some 4 KB for each 32,768 neighbouring ids of which any is there."""
+    made = ids.select(F.bitmap_bucket_number("doc_id").alias("bucket"), F.bitmap_bit_position("doc_id").alias("bit"))
+    return stored(made.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "trusted")
+
+
+def with_trusted(docs: DataFrame, marks: DataFrame, small: bool) -> DataFrame:
+    """`docs` with trusted. The bitmaps are broadcast where their number, which was counted, is small; else rows meet them by a shuffle."""
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(doc_id) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(bitmap_bit_position(doc_id) % 8 as int)")
+    met = docs.join(F.broadcast(marks) if small else marks, F.bitmap_bucket_number("doc_id") == F.col("bucket"), "left")
+    return met.withColumn("trusted", F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(1) == 1, F.lit(False))).drop("bucket", "bitmap")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
-    good = trusted_ids(labels)
-    marked = plain.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    ratios = F.from_json(F.lit(json.dumps(_ratios(*_counts(marked)))), "array<double>")
+    marks = bitmaps(trusted_ids(labels))
+    small = marks.count() <= MOST_BITMAPS
+    ratios = F.from_json(F.lit(json.dumps(_ratios(*_counts(with_trusted(plain, marks, small))))), "array<double>")
     scored = features(docs).withColumn("r", ratios).withColumn("llr", _score())
     df = stored(scored.drop("h", "r"), "judged")
-    low = df.join(good, "doc_id", "left_semi").select(F.percentile("llr", PERCENTILE).alias("p")).first().p
+    low = with_trusted(df, marks, small).where("trusted").select(F.percentile("llr", PERCENTILE).alias("p")).first().p
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(low if low is not None else 0.0)))
 
 

@@ -139,6 +139,15 @@ def test_op3_trusts_all_good_ids(spark):
     assert quality_rules.trusted_ids(labels).count() == 12_000
 
 
+def test_op3_bitmaps_are_exact(spark):
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 10**12, -1, -5, -32768, -32769]
+    docs = spark.createDataFrame([(i,) for i in range(-40000, 70000)] + [(10**12,), (10**12 + 1,), (None,)], "doc_id long")
+    for small in (True, False):
+        marks = quality_rules.bitmaps(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        got = quality_rules.with_trusted(docs, marks, small)
+        assert got.count() == docs.count() and sorted(r.doc_id for r in got.where("trusted").collect()) == sorted(ids)
+
+
 def test_op3_without_trusted(spark, sf_dir):
     got = rows(quality_rules.report(documents(spark), data(spark, sf_dir, "labels").limit(0)))
     assert all(r["kept"] == (not r["base_failed"]) for r in got)
