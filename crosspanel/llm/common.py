@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that Spark puts into one Arrow batch for a Python worker at most; a longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def larger_batches(batches, most_bytes: int = BATCH_BYTES):
+    """The batches of a task put together up to `most_bytes`, for operators that gain from many rows at once."""
+    waiting, held = [], 0
+    for b in batches:
+        if waiting and held + b.nbytes > most_bytes:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, held = [], 0
+        if b.num_rows:
+            waiting.append(b)
+            held += b.nbytes
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text only; a null text is the empty text. Columns of other names, and clashing ones, play no part."""
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))

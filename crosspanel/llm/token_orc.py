@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of
+from crosspanel.llm.common import arrow_rows, bounded_batches, larger_batches, stored, texts_of
 
 END_ID = 0
 END = np.array([END_ID], "<u4").tobytes()
@@ -169,7 +169,7 @@ def write(docs: DataFrame, path: str, partitions: int | None = None, special_as_
         from pyspark import TaskContext
 
         encoder, start, part = worker_encoder(path, special_as_text), 0, TaskContext.get().partitionId()
-        for b in batches:
+        for b in larger_batches(batches):
             offsets, ids = encoder.encode(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=names
