@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from crosspanel.plans import factor_queries, file_queries, panel_queries, research_queries, table_queries
+from crosspanel.plans import book_queries, factor_queries, file_queries, health_queries, ledger_queries, panel_queries, price_queries, research_queries, table_queries
 
-QUERIES: dict = {**factor_queries.QUERIES, **table_queries.QUERIES, **panel_queries.QUERIES, **research_queries.QUERIES, **file_queries.QUERIES}
-ORACLE_SQL: dict = {**factor_queries.SQL, **table_queries.SQL, **panel_queries.SQL, **research_queries.SQL, **file_queries.SQL}
+MODULES = (factor_queries, table_queries, panel_queries, research_queries, file_queries, price_queries, book_queries, health_queries, ledger_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "a14_quantile_spread"
