@@ -162,12 +162,29 @@ def cs_demean(x: Column) -> Column:
     return x - F.avg(x).over(by_date())
 
 
+def ema(x: Column, d: int) -> Column:
+    """Exponential mean of span d, from d values on. Gaps let the old weight decay. The frame of 20 d rows holds all but a share of e**-40 of the weights."""
+    alpha = 2 / (d + 1)
+    rows = F.collect_list(F.struct(x.alias("x"))).over(by_code(20 * d + 1))
+    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
+
+    def step(a: Column, s: Column) -> Column:
+        old = a["w"] * (1 - alpha)
+        mixed = (old * a["m"] + alpha * s["x"]) / (old + alpha)
+        m = F.when(a["m"].isNull(), s["x"]).when(s["x"].isNull(), a["m"]).otherwise(mixed)
+        w = F.when(a["m"].isNotNull() & s["x"].isNull(), old).otherwise(1.0)
+        return F.struct(m.alias("m"), w.alias("w"))
+
+    seen = F.count(x).over(Window.partitionBy("code").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(seen >= d, F.aggregate(rows, start, step)["m"])
+
+
 #: Name, function, number of series, whether it takes a window, and the least window.
 OPERATORS = {
     "Abs": (F.abs, 1, False, 0), "Sign": (F.signum, 1, False, 0), "Log": (signed_log, 1, False, 0), "Sqrt": (signed_sqrt, 1, False, 0), "Max": (larger, 2, False, 0), "Min": (smaller, 2, False, 0),
     "Ref": (ref, 1, True, 1), "Delta": (delta, 1, True, 1), "Pct": (pct, 1, True, 1), "Mean": (mean, 1, True, 2), "Sum": (total, 1, True, 2), "Std": (std, 1, True, 2), "TsMax": (ts_max, 1, True, 2), "TsMin": (ts_min, 1, True, 2),
-    "TsRank": (ts_rank, 1, True, 2), "Skew": (skew, 1, True, 3), "Kurt": (kurt, 1, True, 4), "Decay": (decay, 1, True, 2), "Slope": (slope, 1, True, 2), "Rsquare": (rsquare, 1, True, 3), "Resi": (resi, 1, True, 2),
-    "IdxMax": (idx_max, 1, True, 2), "IdxMin": (idx_min, 1, True, 2), "Corr": (corr, 2, True, 2), "Cov": (cov, 2, True, 2), "CsRank": (cs_rank, 1, False, 0), "CsZscore": (cs_zscore, 1, False, 0), "CsDemean": (cs_demean, 1, False, 0),
+    "TsRank": (ts_rank, 1, True, 3), "Skew": (skew, 1, True, 5), "Kurt": (kurt, 1, True, 5), "Decay": (decay, 1, True, 2), "Slope": (slope, 1, True, 3), "Rsquare": (rsquare, 1, True, 3), "Resi": (resi, 1, True, 3),
+    "IdxMax": (idx_max, 1, True, 2), "IdxMin": (idx_min, 1, True, 2), "Corr": (corr, 2, True, 3), "Cov": (cov, 2, True, 3), "EMA": (ema, 1, True, 1), "CsRank": (cs_rank, 1, False, 0), "CsZscore": (cs_zscore, 1, False, 0), "CsDemean": (cs_demean, 1, False, 0),
 }
 #: Bounds of a factor.
 MAX_NODES, MAX_DEPTH, MAX_LOOKBACK, MAX_WINDOW = 30, 8, 120, 60

@@ -39,5 +39,33 @@ def weekly_totals(stream: DataFrame) -> DataFrame:
     return made.select(F.col("window.start").cast("timestamp_ntz").alias("week"), "event_type", "n", "low", "high")
 
 
+def weekly_bars(stream: DataFrame) -> DataFrame:
+    """Tumbling weeks by kind: first, highest, lowest and last value, and their sum."""
+    at = F.struct("ts", "event_id")
+    made = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "7 days"), "event_type").agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    return made.select(F.col("window.start").cast("timestamp_ntz").alias("week"), "event_type", "open", "high", "low", "close", "total", "n")
+
+
+def once_per_key(stream: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each key; what comes again within the watermark of a day is dropped."""
+    return stream.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(key)
+
+
+def ingested(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
+    """Appends the files of a folder that no earlier run with this checkpoint has read, then stops."""
+    stream = spark.readStream.schema(schema).option("header", "true").csv(source)
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def corrected(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, day: str) -> None:
+    """Merges new files into a table partitioned by `day`: each day a batch brings replaces that day's rows, and no other day is touched, so a day that failed can come again."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
+
+    stream = spark.readStream.schema(schema).option("header", "true").csv(source)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def latest_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("n"))
