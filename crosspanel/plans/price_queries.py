@@ -59,7 +59,7 @@ def w54_corporate_actions(spark, d):
     return detected(spark, d).select("date", "code", "kind", *(R4(F.col(c)).alias(c) for c in numbers), "near_change", "adjusted", "note")
 
 
-def w55_price_factor(spark, d):
+def w55_backward_factor(spark, d):
     return priced(spark, d).select("date", "code", R4(F.col("factor")).alias("factor"))
 
 
@@ -214,7 +214,7 @@ def t8_every_nth(spark, d):
 
 
 CALLS = (
-    w54_corporate_actions, w55_price_factor, w52_id_change, j11_override_lookup, p2_companies_only, p11_adjusted_columns, p4_raw_prices, p6_daily_limit,
+    w54_corporate_actions, w55_backward_factor, w52_id_change, j11_override_lookup, p2_companies_only, p11_adjusted_columns, p4_raw_prices, p6_daily_limit,
     p7_limit_days, p8_tradable, a2_data_quality, a3_moves_by_year, p1_time_cut, p3_member_mask, j2_membership, p10_pivot, p12_scrub, p13_even_sample,
     p14_rebalance_dates, p16_before_month, p19_split_by_known, u5_common_calendar, t8_every_nth,
 )
@@ -255,7 +255,7 @@ moved AS (SELECT *, adj / lag(adj) {LAGS} - 1 AS chg, raw_close / lag(raw_close)
 CAL = f"{WITH}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))"
 SQL = {
     "w54_corporate_actions": f"{ACTIONS} SELECT date, code, kind, {r4('move')} AS move, {r4('gap')} AS gap, {r4('ratio')} AS ratio, {r4('abs(ln(move * ratio))')} AS match, {r4('value_x')} AS value_x, near_change, adjusted, note FROM acts",
-    "w55_price_factor": f"{ACTIONS} SELECT date, code, {r4('factor')} AS factor FROM priced",
+    "w55_backward_factor": f"{ACTIONS} SELECT date, code, {r4('factor')} AS factor FROM priced",
     "w52_id_change": f"{TRADED} SELECT date, code, near_change FROM near_ids",
     "j11_override_lookup": f"{ACTIONS} SELECT o.code, o.date, o.action, a.kind, a.adjusted, {r4('o.ratio')} AS ratio FROM overrides o LEFT JOIN acts a ON a.code = o.code AND a.date = o.date",
     "p2_companies_only": f"{TRADED} SELECT date, count(*) AS rows, count(close) AS traded FROM traded WHERE isin IS NULL OR isin LIKE 'INE%' GROUP BY 1",
