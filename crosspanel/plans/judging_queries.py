@@ -317,7 +317,7 @@ def j13_closest_feature(spark, d):
 
 def j14_priority(spark, d):
     """A part's price from the first source that has one: returned items, then open ones, then the list; and which it was."""
-    price = lambda flag, name: p.read(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.round(F.max(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias(name))
+    price = lambda flag, name: p.read(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias(name))
     x = p.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").cast("double").alias("list"))
     x = x.join(price("R", "returned"), "l_partkey", "left").join(price("N", "open"), "l_partkey", "left")
     return x.select("l_partkey", R6(F.coalesce("returned", "open", "list")).alias("price"), F.when(F.col("returned").isNotNull(), "returned").when(F.col("open").isNotNull(), "open").otherwise("list").alias("source"))
@@ -442,7 +442,7 @@ SQL = {
     "j5_predictions_with_outcomes": f"{WITH}, {AHEAD}, x AS (SELECT b.date, CASE WHEN high > low THEN (close - low) / (high - low) END AS p, r FROM bars b JOIN ahead a ON a.date = b.date AND a.code = b.code) SELECT date, count(*) AS pairs, {r6('avg(p)')} AS p, {r6('avg(r)')} AS r FROM x WHERE p IS NOT NULL AND r IS NOT NULL GROUP BY 1",
     "j13_closest_feature": f"""{RANKED}, {SHAPES}, kn AS (SELECT date, code, feature, {rank_sql('x', 'date, feature')} AS ry FROM sh WHERE x IS NOT NULL), dc AS (SELECT factor, feature, ranked.date, {corr_sql('rx', 'ry')} AS c FROM ranked JOIN kn USING (date, code) GROUP BY 1, 2, 3),
  ec AS (SELECT factor, feature, round(abs(avg(c)), 6) AS c FROM dc GROUP BY 1, 2) SELECT factor, max(c) AS max_corr, arg_max(feature, (c, feature)) AS closest FROM ec GROUP BY 1""",
-    "j14_priority": f"""WITH r AS (SELECT l_partkey, round(max(l_extendedprice / l_quantity) FILTER (l_returnflag = 'R'), 6) AS ret, round(max(l_extendedprice / l_quantity) FILTER (l_returnflag = 'N'), 6) AS op FROM lineitem GROUP BY 1)
+    "j14_priority": f"""WITH r AS (SELECT l_partkey, max(l_extendedprice / l_quantity) FILTER (l_returnflag = 'R') AS ret, max(l_extendedprice / l_quantity) FILTER (l_returnflag = 'N') AS op FROM lineitem GROUP BY 1)
  SELECT p_partkey AS l_partkey, {r6('coalesce(ret, op, p_retailprice)')} AS price, CASE WHEN ret IS NOT NULL THEN 'returned' WHEN op IS NOT NULL THEN 'open' ELSE 'list' END AS source FROM part LEFT JOIN r ON r.l_partkey = p_partkey""",
     "j16_two_sources": "SELECT c_name, CASE WHEN max(CASE WHEN c_acctbal > 6000 THEN 1 ELSE 0 END) = 1 THEN 'shortlist' ELSE 'useful' END AS source FROM customer WHERE c_acctbal > 6000 OR c_mktsegment = 'BUILDING' GROUP BY 1",
     "t1_monthly_universe": f"""{WITH}, mo AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, code, round(sum(value), 2) AS value FROM bars GROUP BY 1, 2), tp AS (SELECT month, code, CAST(row_number() OVER (PARTITION BY month ORDER BY value DESC, code) AS INTEGER) AS k FROM mo QUALIFY k <= 20 AND count(*) OVER (PARTITION BY month) >= 10)

@@ -11,11 +11,11 @@ from crosspanel.sources import panel as p
 
 #: Names of the screen's rule families and their patterns, written for the invented words of the tables.
 RULES = (
-    ("advice-word", r"\b(the|der|los) (and|und|que)\b"),
-    ("price-call", r"\b\d{3,}\b"),
-    ("promise", r"\b(worthless|idiot|moron|scum|clown|disgusting)\b"),
-    ("prediction", r"\bwill (?:surely |definitely )?(?:rise|fall)\b"),
-    ("secret", r"\b(?:token|password|secret)\s*[:=]"),
+    ("advice-word", r" (the|der|los) (and|und|que) "),
+    ("price-call", r" \d{3,} "),
+    ("promise", r" (worthless|idiot|moron|scum|clown|disgusting)[ .,]"),
+    ("prediction", r" will (?:surely |definitely )?(?:rise|fall) "),
+    ("secret", r"(?:token|password|secret)\s*[:=]"),
 )
 DISCLAIMER = "license"
 YOUNG_DAYS = 30

@@ -15,10 +15,16 @@ def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-panel-", dir="/tmp")
 
 
+def base_path(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, one of the machine's own serves a local session, as in tests; on a cluster that is an error, as each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or _own_dir(spark.sparkContext.applicationId)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, as in tests, in a new folder for the application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    return f"{base_path(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def by_year(df: DataFrame, path: str, date: str = "date") -> DataFrame:

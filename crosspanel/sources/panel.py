@@ -20,18 +20,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("vwap", F.col("value") / F.col("volume"))
 
 
-def dense(panel: DataFrame) -> DataFrame:
-    """All weeks for all codes, with t, the number of the week from 1; weeks without a bar have nulls."""
-    first, last = panel.agg(F.min("date"), F.max("date")).first()
+def dense(panel: DataFrame, codes: DataFrame, first, last) -> DataFrame:
+    """All weeks from first to last for all codes, with t, the number of the week from 1; weeks without a bar have nulls."""
     if first is None:
         return panel.withColumn("t", F.lit(0))
     weeks = F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 7 days")))
-    grid = panel.select("code").distinct().select("code", weeks.alias("date"))
+    grid = codes.select("code", weeks.alias("date"))
     return grid.withColumn("t", F.floor(F.datediff("date", F.lit(first)) / 7).cast("int") + 1).join(panel, ["date", "code"], "left")
 
 
 def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(bars(spark, sf_dir))
+    """The dense panel. Its calendar and its codes come from one column each of the raw table, not from the bars."""
+    x = read(spark, sf_dir, "lineitem")
+    week = lambda c: F.to_date(F.date_trunc("week", c))
+    first, last = x.agg(week(F.min("l_shipdate")), week(F.max("l_shipdate"))).first()
+    return dense(bars(spark, sf_dir), x.select(F.col("l_suppkey").alias("code")).distinct(), first, last)
 
 
 def benchmark(panel: DataFrame) -> DataFrame:

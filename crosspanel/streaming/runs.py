@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosspanel.sources import files
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a local one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return files.new_path(spark, "stream")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
