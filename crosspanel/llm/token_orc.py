@@ -31,7 +31,7 @@ from crosspanel.llm.common import arrow_rows, bounded_batches, larger_batches, s
 END_ID = 0
 END = np.array([END_ID], "<u4").tobytes()
 #: Parts remembered by a worker in one generation; the one before it stays at hand. Longer parts are not remembered.
-MOST_PARTS, LONG_PART = 400_000, 256
+MOST_PARTS, LONG_PART = 250_000, 256
 #: Parts joined for one call of the library.
 GROUP = 1000
 #: Kinds of bytes: ASCII letters, digits and the apostrophe, all other marks, which end a run of letters, first bytes of characters that are no
@@ -169,7 +169,7 @@ def write(docs: DataFrame, path: str, partitions: int | None = None, special_as_
         from pyspark import TaskContext
 
         encoder, start, part = worker_encoder(path, special_as_text), 0, TaskContext.get().partitionId()
-        for b in larger_batches(batches):
+        for b in larger_batches(batches, 4 << 20):
             offsets, ids = encoder.encode(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=names
