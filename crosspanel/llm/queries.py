@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, suffix_dedup, token_orc
+from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, spelling, suffix_dedup, token_orc
 from crosspanel.llm.common import table
 
 
@@ -49,5 +49,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets, op11_spelling_variants)}
+
+
+def crc32_sql(codes: str) -> str:
+    """CRC-32 in DuckDB of a list of code points below U+0100, as UTF-8."""
+    octets = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 192 THEN [194, c] ELSE [195, c - 64] END))"
+    shifted = "list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, {})"
+    return f"xor(list_reduce({octets}, lambda r, o: {shifted.format('xor(r, o::BIGINT)')}, 4294967295::BIGINT), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+summed AS (SELECT run, {crc32_sql("list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x))")} AS h FROM runs),
+words AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM words, unnest(range(length(word))) AS u(i)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+linked AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (WITH RECURSIVE walk(word, here) AS (SELECT word, word FROM linked UNION ALL SELECT walk.word, l.form FROM walk JOIN linked l ON walk.here = l.word WHERE l.form IS NOT NULL)
+  SELECT walk.word, here AS root FROM walk JOIN linked l ON walk.here = l.word WHERE l.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM linked JOIN chain USING (word)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL}
