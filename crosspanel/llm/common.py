@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows and bytes that Spark puts into one Arrow batch for a Python worker at most; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -39,6 +40,17 @@ def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFr
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], label: str) -> DataFrame:
+    """`df` with position, from 0 in each group `by` in the order of `order`. Rows are sorted in ranges over all tasks, so a group that is a large part of the table is many tasks' work; a range is numbered by itself, and the rows of its group in earlier ranges are added. Groups are not null."""
+    own = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by, *order, "_row").withColumn("_range", F.spark_partition_id())
+    own = stored(own, label)
+    counts = own.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order, "_row"))
+    met = own.withColumn("_nth", nth).join(counts.select("_range", *by, F.coalesce(before, F.lit(0)).alias("_before")), ["_range", *by])
+    return met.select(*df.columns, (F.col("_before") + F.col("_nth") - 1).alias("position"))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """The same two bounds for all operators, so that none changes what another has set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

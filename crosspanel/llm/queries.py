@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import bpe, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, spelling, suffix_dedup, token_orc
+from crosspanel.llm import bpe, conversation_trie, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, sharding, spelling, suffix_dedup, token_orc
 from crosspanel.llm.common import table
 
 
@@ -53,7 +53,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets, op11_spelling_variants)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents"), shards=24)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets, op11_spelling_variants, op12_conversation_trie, op13_sharding)}
 
 
 def crc32_sql(codes: str) -> str:
@@ -79,4 +87,23 @@ chain AS (WITH RECURSIVE walk(word, here) AS (SELECT word, word FROM linked UNIO
 SELECT word, form, root, n, n_near, form_n FROM linked JOIN chain USING (word)
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL}
+OP12_SQL = f"""
+WITH own AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i,
+    md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {crc32_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+made AS (SELECT c.conv_id, 0 AS part, i, digest, words FROM convs c JOIN own o ON o.conv_id = c.conv_id - ((c.conv_id % 20) + 20) % 20 AND i <= h
+  UNION ALL SELECT conv_id, 1, i, digest, words FROM convs JOIN own USING (conv_id) WHERE i > h),
+paths AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, words FROM made WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+stood AS (SELECT conv_id, depth, path, words FROM paths UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, CASE WHEN min(depth) > 0 THEN left(path, 32 * (min(depth) - 1)::INT) END AS parent FROM stood GROUP BY path),
+children AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT left(path, 32 * k::INT) AS path, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM nodes LEFT JOIN children USING (path), unnest(range(depth + 1)) AS u(k) GROUP BY 1),
+last AS (SELECT conv_id, max(path ORDER BY depth) AS path FROM stood GROUP BY conv_id),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM last GROUP BY path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.parent = p.path LEFT JOIN children c ON n.path = c.path JOIN below b ON n.path = b.path LEFT JOIN ends e ON n.path = e.path
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL, "op12_conversation_trie": OP12_SQL}
