@@ -17,7 +17,10 @@ from crosspanel.sources import panel as p
 from crosspanel.streaming import runs
 
 FEATURES = ["level", "size", "move", "range", "mkt_ret4"]
-YEARS = [1998, 1999, 2000]
+#: What a feature tells of: the name's price, its trade, or the whole market.
+GROUPS = {"level": "price", "move": "price", "range": "price", "size": "trade", "mkt_ret4": "market"}
+#: Books of several sizes and zones in which held names stay.
+DESIGNS = [(top, top * zone) for top in (3, 5, 10, 20) for zone in (2, 3)]
 DAY_SCHEMA = "event_id long, user_id long, event_type string, value double"
 
 
@@ -55,8 +58,9 @@ def m8_baseline_scores(spark, d):
 
 
 def m3_walk_forward(spark, d):
-    """Predictions of the test years, each from a model that saw only labels known before; no table to give where no year has rows enough."""
-    out = m.walk_forward(rows(spark, d), FEATURES, "y_rank", YEARS)
+    """Predictions of all years that can be tested, each from trees that saw only labels known before; no rows where no year has enough."""
+    x = rows(spark, d)
+    out = m.walk_forward(x, FEATURES, "y_rank", m.years_of(x))
     return out if out is not None else spark.createDataFrame([], "date date, code long, year int, p_raw double, rank double, p double")
 
 
@@ -71,14 +75,14 @@ def latest(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 def m4_platt(spark, d):
     """The two numbers that map the rank of a week to a probability, on the last year."""
     train, valid, _ = latest(spark, d)
-    a, b = m.platt(m.week_percentile(m.scored(m.fitted(train, FEATURES, "y_rank"), valid)), "y_rank")
+    a, b = m.platt(m.week_percentile(m.scored(m.boosted(train, valid, FEATURES, "y_rank"), valid)), "y_rank")
     return train.agg(F.count("*").alias("train_rows")).select("train_rows", F.lit(a).alias("a"), F.lit(b).alias("b"))
 
 
 def m5_isotonic(spark, d):
     """Calibrated probabilities of the last year's rows by the rising step map."""
     train, valid, _ = latest(spark, d)
-    x = m.week_percentile(m.scored(m.fitted(train, FEATURES, "y_rank"), valid))
+    x = m.week_percentile(m.scored(m.boosted(train, valid, FEATURES, "y_rank"), valid))
     model = m.isotonic(x, "rank", "y_rank")
     return model.transform(x.withColumn("score", F.col("rank"))).select("date", "code", "rank", "p", "y_rank")
 
@@ -86,7 +90,7 @@ def m5_isotonic(spark, d):
 def m6_latest_scores(spark, d):
     """The last date's names in order of their probability."""
     train, valid, now = latest(spark, d)
-    model = m.fitted(train, FEATURES, "y_rank")
+    model = m.boosted(train, valid, FEATURES, "y_rank")
     a, b = m.platt(m.week_percentile(m.scored(model, valid)), "y_rank")
     x = m.week_percentile(m.scored(model, now))
     place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("p"), "code"))
@@ -95,12 +99,31 @@ def m6_latest_scores(spark, d):
 
 def m7_contributions(spark, d):
     """For each of the last date's names the three features that move its score most."""
-    train, _, now = latest(spark, d)
-    x = m.contributions(m.fitted(train, FEATURES, "y_rank"), now, FEATURES)
+    train, valid, now = latest(spark, d)
+    x = m.contributions(m.boosted(train, valid, FEATURES, "y_rank"), now)
     k = F.row_number().over(Window.partitionBy("date", "code").orderBy(F.desc(F.abs("contribution")), "feature"))
     return x.withColumn("k", k).where("k <= 3")
 
 
+def a30_model_importance(spark, d):
+    """Each feature's share of the gains of the latest model, and that of its group."""
+    train, valid, _ = latest(spark, d)
+    return m.importance(m.boosted(train, valid, FEATURES, "y_rank"), spark, GROUPS)
+
+
+def a47_model_reasons(spark, d):
+    """For each week of the last year what the model's book was chosen for: by feature the summed size of its contributions, names that it favours, and their return over the index."""
+    train, valid, _ = latest(spark, d)
+    model = m.boosted(train, valid, FEATURES, "y_rank")
+    day = Window.partitionBy("date").orderBy(F.desc("p_raw"), "code")
+    book = m.scored(model, valid).withColumn("place", F.row_number().over(day)).where(F.col("place") <= bk.SLOTS)
+    why = m.contributions(model, book).join(book.select("date", "code", "excess"), ["date", "code"])
+    favoured = F.when(F.col("contribution") > 0, F.col("excess"))
+    used = why.groupBy("date", "feature").agg(F.sum(F.abs("contribution")).alias("size"), F.count_if(F.col("contribution") > 0).alias("names"), F.avg(favoured).alias("favoured_excess"))
+    k = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("size"), "feature"))
+    return used.withColumn("k", k)
+
+
 def d1_ema(spark, d):
     return p.dense_bars(spark, d).select("date", "code", (F.round(f.factor(("EMA", "close", 6)).cast("double") + 1e-9, 4) + 0.0).alias("v"))
 
@@ -125,9 +148,12 @@ def d4_many_factors(spark, d):
 
 
 def d5_capped_book(spark, d):
-    """A book of five names that keeps held ones up to rank ten."""
+    """Books of eight designs, each of which keeps held names while they rank within its zone."""
     rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("value"), "code"))
-    return m.capped_book(p.bars(spark, d).select(F.lit("five").alias("variant"), "date", "code", rank.alias("rank")), 5, 10)
+    ranked = p.bars(spark, d).select("date", "code", rank.alias("rank"))
+    designs = spark.createDataFrame([(f"{top}-{zone}", top, zone) for top, zone in DESIGNS], "variant string, top int, zone int")
+    met = ranked.join(F.broadcast(designs), F.col("rank") <= F.col("zone"))  # eight designs
+    return m.capped_book(met, "top", "zone")
 
 
 def r3_weekly_bars(spark, d):
@@ -174,7 +200,7 @@ def s12_json_means(spark, d):
 
 
 CALLS = (
-    m1_targets, m2_feature_table, m8_baseline_scores, m3_walk_forward, m4_platt, m5_isotonic, m6_latest_scores, m7_contributions, d1_ema, d2_window_function, d4_many_factors, d5_capped_book, r3_weekly_bars, r4_once_per_key, r1_file_ingest, r5_late_correction, s12_json_means,
+    m1_targets, m2_feature_table, m8_baseline_scores, m3_walk_forward, m4_platt, m5_isotonic, m6_latest_scores, m7_contributions, a30_model_importance, a47_model_reasons, d1_ema, d2_window_function, d4_many_factors, d5_capped_book, r3_weekly_bars, r4_once_per_key, r1_file_ingest, r5_late_correction, s12_json_means,
 )
 QUERIES = {c.__name__: c for c in CALLS}
 

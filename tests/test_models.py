@@ -7,28 +7,25 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.operators import books as b
 from crosspanel.operators import models as m
+from crosspanel.operators import trees
 
 
-def newton(x, y):
-    w = np.zeros(2)
-    X = np.column_stack([np.ones_like(x), x])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-X @ w))
-        w += np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + 1e-12 * np.eye(2), X.T @ (y - p))
-    return w
-
-
-def test_platt_is_newton(spark):
+def test_platt_is_the_most_likely_fit(spark):
+    """At the most likely constant and slope, what the label has above its probability is zero on average, and has nothing to do with the score."""
     rng = np.random.default_rng(2)
     x = rng.uniform(-0.5, 0.5, 800)
     y = (rng.uniform(size=800) < 1 / (1 + np.exp(-(0.3 + 2 * x)))).astype(float)
     a, slope = m.platt(spark.createDataFrame([(float(u), float(v)) for u, v in zip(x, y)], "rank double, y double"), "y")
-    assert np.allclose([a, slope], newton(x, y), atol=1e-4)
+    above = y - 1 / (1 + np.exp(-(a + slope * x)))
+    assert abs(above.mean()) < 1e-5 and abs((above * x).mean()) < 1e-5
 
 
 def test_isotonic_rises_and_pools(spark):
@@ -50,8 +47,14 @@ def test_capped_book_by_brute_force(spark):
         stay = [c for c in zone if c in held][:4]
         held = stay + [c for c in zone if c not in stay and c not in held][: 4 - len(stay)]
         want += [(day, c) for c in held]
-    got = m.capped_book(spark.createDataFrame(rows, "variant string, date date, code long, rank int"), 4, 8).collect()
+    kind = "variant string, date date, code long, rank int"
+    got = m.capped_book(spark.createDataFrame(rows, kind), 4, 8).collect()
     assert sorted((r.date, r.code) for r in got) == sorted(want)
+    twice = spark.createDataFrame(rows, kind).withColumn("top", F.lit(4)).withColumn("zone", F.lit(8))
+    both = twice.union(twice.withColumn("variant", F.lit("w")).withColumn("top", F.lit(2)))
+    books = m.capped_book(both, "top", "zone").collect()
+    assert sorted((r.date, r.code) for r in books if r.variant == "v") == sorted(want) and len([r for r in books if r.variant == "w"]) == 2 * len(days)
+    assert m.capped_book(both.limit(0), "top", "zone").count() == 0
 
 
 def market(spark, noise_after=None):
@@ -69,6 +72,63 @@ def market(spark, noise_after=None):
     return spark.createDataFrame(rows, "date date, code long, known date, x double, y double")
 
 
+def planted(spark, n=3000):
+    """Neither of two features says anything alone; only their product does. A third is noise."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        a, b, c = (rng.uniform(-1, 1) for _ in range(3))
+        rows.append((dt.date(2020, 1, 6) + dt.timedelta(7 * (k % 20)), k, a, b, c, float(rng.random() < (0.9 if a * b > 0 else 0.1))))
+    return spark.createDataFrame(rows, "date date, code long, a double, b double, c double, y double")
+
+
+@pytest.fixture(scope="module")
+def ensemble(spark):
+    x = planted(spark)
+    return trees.boosted(x.where("code % 3 > 0"), x.where("code % 3 = 0"), ["a", "b", "c"], "y")
+
+
+def test_trees_find_what_no_line_can(spark, ensemble):
+    x = planted(spark).where("code % 3 = 0").withColumn("p", ensemble.probability())
+    assert x.agg(F.corr("p", "y")).first()[0] > 0.6 and abs(x.agg(F.corr("a", "y")).first()[0]) < 0.1
+    assert ensemble.rounds == trees.best_round(list(ensemble.losses)) and ensemble.losses[ensemble.rounds - 1] < ensemble.losses[0]
+
+
+def test_scores_are_those_of_the_library(spark):
+    x = planted(spark, 600)
+    e = trees.boosted(x, x, ["a", "b", "c"], "y", rounds=6)
+    vector = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(x)
+    model = GBTClassifier(featuresCol="f", labelCol="y", maxIter=6, maxDepth=trees.DEPTH, stepSize=trees.RATE, subsamplingRate=trees.SHARE, minInstancesPerNode=trees.LEAF, seed=trees.SEED).fit(vector)
+    got = model.transform(vector).withColumn("own", e.probability()).select("own", vector_to_array("probability")[1].alias("p")).collect()
+    assert e.rounds == 6 and all(abs(r.own - r.p) < 1e-9 for r in got)
+
+
+def test_contributions_add_up(spark, ensemble):
+    x = planted(spark).where("code < 200")
+    parts = m.contributions(ensemble, x).groupBy("code").agg(F.sum("contribution").alias("s"))
+    got = x.withColumn("margin", ensemble.margin()).join(parts, "code").collect()
+    assert len(got) == 200 and all(abs(r.s + ensemble.base() - r.margin) < 1e-9 for r in got)
+    noise = [abs(r.contribution) for r in m.contributions(ensemble, x).where("feature = 'c'").collect()]
+    assert sum(noise) / len(noise) < 0.05
+
+
+def test_gains_add_up(spark, ensemble):
+    got = {r.feature: r for r in m.importance(ensemble, spark, {"a": "signal", "b": "signal"}).collect()}
+    assert abs(sum(r.share for r in got.values()) - 1) < 1e-12 and got["c"].share < 0.1
+    assert abs(got["a"].group_share + got["c"].group_share - 1) < 1e-12 and abs(got["a"].group_share - got["a"].share - got["b"].share) < 1e-12
+    assert m.importance(trees.Ensemble(("a",), (), {}, ()), spark, {}).count() == 0
+
+
+def test_best_round():
+    assert trees.best_round([3.0, 2.0, 2.5, 2.5, 1.0], patience=2) == 2 and trees.best_round([3.0, 2.0, 2.5, 1.0], patience=5) == 4 and trees.best_round([1.0]) == 1
+
+
+def test_isotonic_bins_are_even(spark):
+    rows = [(k / 5000, float(k % 7 == 0)) for k in range(5000)] + [(0.5, 1.0)] * 3000
+    model = m.isotonic(spark.createDataFrame(rows, "score double, y double"), "score", "y")
+    assert len(model.boundaries) <= 2 * m.BINS
+
+
 def test_walk_forward_finds_a_planted_effect_and_does_not_look_ahead(spark):
     plain = m.walk_forward(market(spark), ["x"], "y", [2018, 2019, 2020])
     assert {r.year for r in plain.select("year").distinct().collect()} == {2019, 2020}  # the first has no rows before its validation year
