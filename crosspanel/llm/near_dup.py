@@ -332,6 +332,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with its columns, of each component the document with the smallest doc_id; rows without a doc_id stay, as do those with a doc_id that stands for a component by another of its texts."""
-    judged = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept"))
-    gone = judged.where("not kept").select("gone_id")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    key = "gone_id"
+    while key in docs.columns:
+        key = f"_{key}"
+    judged = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"))
+    gone = judged.where("not kept").select(key)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(key), "left_anti")

@@ -71,6 +71,7 @@ def test_op2_one_id_on_several_texts(spark):
         got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows(near_dup.near_duplicates(docs, 4)))
         assert got == [(0, 0, 0), (0, 57, 0), (1, 57, 1), (5, 57, 1), (5, 57, 5), (7, 58, 5)]
         left = [(r["doc_id"], r["text"]) for r in rows(near_dup.deduplicated(docs, 4))]
+        assert near_dup.deduplicated(docs.selectExpr("*", "1 as gone_id", "2 as _gone_id", "3 as kept"), 4).count() == len(left)
         assert sorted(left, key=str) == sorted([(1, w), (5, z), (5, w), (None, z), (None, None)], key=str)
 
 
