@@ -119,11 +119,11 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """The machine of at most `sample` labelled documents outside the held-out part; only their sparse vectors reach the driver."""
+    """The machine of at most `sample` labelled documents outside the held-out part; only their sparse vectors reach the driver. An id that stands on several rows counts once, by its least text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    some = texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     types = {"doc_id": pa.int64(), "quality": pa.int32(), "index": pa.list_(pa.int32()), "value": pa.list_(pa.float32())}
 
     def run(batches):

@@ -32,6 +32,14 @@ def test_op4_held_out(spark):
     assert np.mean(right) > 0.95 and auc > 0.97
 
 
+def test_op4_fits_on_one_row_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fm.Machine, "fit", lambda self, vectors, labels: seen.append(len(vectors)) or self)
+    docs = spark.range(3000).selectExpr("1 as doc_id", "concat('text ', id) as text").union(spark.createDataFrame([(2, "a"), (3, None)], "doc_id int, text string"))
+    fm.train(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (6, 1)], "doc_id long, quality int"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))]
+
+
 def test_op4_awkward(spark, sf_dir):
     got = rows(fm.train_and_classify(documents(spark), data(spark, sf_dir, "labels").limit(0)))
     assert len(got) == 10 and all(r["score"] == fm.PRIOR for r in got)
