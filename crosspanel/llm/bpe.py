@@ -36,11 +36,15 @@ def pieces(text: str, size: int = LONG_TEXT) -> list[str]:
     if len(text) <= size:
         return [text]
     out, begin, at = [], 0, size
+    following = dict.fromkeys(" \n", -1)  # the next place of each, found once and kept until it is passed
     while at < len(text):
-        ends = [x for x in (text.find(" ", at), text.find("\n", at)) if x >= 0]
-        if not ends:
+        for c, place in following.items():
+            if place < at:
+                place = text.find(c, at)
+                following[c] = place if place >= 0 else len(text)
+        at = min(following.values())
+        if at == len(text):
             break
-        at = min(ends)
         if text[at - 1].isspace():
             at += 1
             continue

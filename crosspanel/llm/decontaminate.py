@@ -151,19 +151,26 @@ class Automaton:
 
 
 def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
-    """Automata of blocks of items, read one after another from the benchmark."""
+    """Automata of blocks of items, read one after another from the benchmark. A block has `block_words` words at most (a window, if that is more)."""
     block, n = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull())
     for row in rows.toLocalIterator():
         words = words_of(row.text)
-        if block and n + len(words) > block_words:
-            yield Automaton(block, window)
-            block, n = [], 0
-        block.append((row.item_id, words))
-        n += len(words)
+        for piece in pieces_of(words, block_words, window):
+            if block and n + len(piece) > block_words:
+                yield Automaton(block, window)
+                block, n = [], 0
+            block.append((row.item_id, piece))
+            n += len(piece)
     yield Automaton(block, window)
 
 
+def pieces_of(words: list[bytes], most: int, window: int) -> list[list[bytes]]:
+    """A long item in pieces of up to `most` words, neighbours with window - 1 words in common, so that each window is in one piece."""
+    step = max(1, most - (window - 1))
+    return [words[k : k + step + window - 1] for k in range(0, max(1, len(words) - (window - 1)), step)]
+
+
 def _through(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents through the automata of all blocks, one block in memory at a time. `finish` gets a batch of `docs` and for
     each text its words, which of them are hit, and the items found, and gives the rows of `schema`."""

@@ -37,8 +37,11 @@ START = re.compile(r"(?:(?<![A-Za-z0-9+/=])|(?<=\\n))(?:M[A-Za-z0-9+/]{15}|b3Blb
 WRAPPED = re.compile(r"[A-Za-z0-9+/]+(?:" + BREAK + r"[A-Za-z0-9+/]+)+={0,2}")
 #: How a sequence begins whose first element is a version number.
 VERSION = re.compile(rb"0(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....)\x02\x01[\x00-\x03]", re.S)
-#: Signed tokens: the header is an object, so it begins with a brace and a quote, maybe with white space between.
-TOKEN = re.compile(r"(?:eyJ|eyA|ew[0ko])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Signed tokens: the header is an object, so it begins with a brace and a quote, maybe with white space between. What may end
+#: in a header is a whole run before a dot, so that each character is looked at a fixed number of times.
+RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=\.)")
+OBJECT = re.compile(r"(?:eyJ|eyA|ew[0ko])(?=[A-Za-z0-9_-])")
+PAYLOAD = re.compile(r"\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 #: Base64url of a DER sequence, with one of the two characters that plain base64 lacks.
 URL64 = re.compile(r"(?<![A-Za-z0-9_-])M(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{39,}={0,2}")
@@ -47,6 +50,18 @@ LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 KINDS = ("assign", "access", "hex", "pem", "token", "openssh", "der")
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Where three runs that dots join may be a signed token, from the first start of an object in the first run on."""
+    out, at = [], 0
+    for run in RUN.finditer(text):
+        begin = OBJECT.search(text, max(run.start(), at), run.end())
+        rest = begin and PAYLOAD.match(text, run.end())
+        if rest:
+            out.append((begin.start(), rest.end()))
+            at = rest.end()
+    return out
+
+
 def from_base64(text: str) -> bytes | None:
     text = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -178,10 +193,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if pem_key(m[1], m[2]):
             out.append(("pem", *m.span()))
             taken.append(m.span())
-    for m in TOKEN.finditer(text):
-        if signed_token(m[0]):
-            out.append(("token", *m.span()))
-            taken.append(m.span())
+    for a, b in tokens(text):
+        if signed_token(text[a:b]):
+            out.append(("token", a, b))
+            taken.append((a, b))
     at = 0
     while m := START.search(text, at):
         at = m.end()

@@ -93,6 +93,17 @@ def test_op9_is_the_library(spark, sf_dir):
         assert sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
 
 
+@pytest.mark.parametrize("part", ["x", " ", "x ", "\n", "x\n", "eyJ", "eyJ.", "-----BEGIN ", "M", "a=", "token="])
+def test_op9_and_op10_time_grows_with_the_text(part):
+    import time
+
+    text = part * (2_000_000 // len(part))
+    began = time.process_time()
+    assert "".join(bpe.pieces(text)) == text
+    secrets.confirmed_spans(text[:300_000])
+    assert time.process_time() - began < 6
+
+
 def test_op9_decode_and_pieces(spark):
     made = bpe.encode_and_decode(documents(spark), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     back = {r.doc_id: r.decoded for r in bpe.decode(made.select("doc_id", "ids"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
@@ -249,6 +260,58 @@ def test_op7_same_text_without_article_tags(spark, sf_dir):
     assert same >= 0.96 * len(pages)
 
 
+@pytest.mark.parametrize("part", ["<a b='", "<a ", '<a b="', "<!", "<div>", "<div>x", "<p class=ad>", "<a b='>\"", "</section><div>", "<script", "<li>y", "<!--", "eyJ"])
+def test_op7_time_grows_with_the_page(part):
+    import time
+
+    page = (part * (400_000 // len(part)))[:400_000]
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 6
+
+
+def test_op7_tag_ends_by_a_plain_walk():
+    """Where a tag ends, from every `<`, one character after the other."""
+    rng = random.Random(8)
+    for _ in range(600):
+        page = "".join(rng.choice(["<a", "<", ">", "'", '"', "x", " ", "<p>", "</p>", "<!-- ", "-->", "<!x", "<script>", "</script>", "=" ]) for _ in range(rng.randrange(25)))
+        at, want = 0, []
+        while at < len(page):
+            rest = page[at:]
+            if rest.startswith("<!--"):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif m := re.match(r"<(script)\b", rest, re.I) or re.match(r"</?[a-zA-Z][\w:-]*", rest):
+                k, quote = at + m.end(), None
+                while k < len(page) and (quote or page[k] != ">"):
+                    quote = None if page[k] == quote else quote or (page[k] if page[k] in "'\"" else None)
+                    k += 1
+                end = k + 1 if k < len(page) else -1
+                if end > 0 and m.lastindex == 1:
+                    close = re.search(r"</script\s*>", page[end:])
+                    end = end + close.end() if close else len(page)
+            elif rest[:2] in ("<!", "<?"):
+                end = page.find(">", at + 2) + 1 or -1
+            else:
+                end = -1
+            if end > 0:
+                want.append((at, end))
+                at = end
+            else:
+                at += 1
+        assert [(a, b) for a, b, *_ in html_text.Scanner(page).tags()] == want, page
+
+
+def test_op7_forms_and_reader_comments():
+    article = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\n{LONG}\n{LONG}"
+    assert html_text.main_text(f"<body><form>{article}<button>Send</button><select><option>x</select></form></body>") == want
+    assert html_text.main_text(f"<body><form><article>{article}</article><p>Name</p></form></body>") == want
+    assert html_text.main_text(f"<body><article>{article}</article><form><p>Your name and address, please</p><input></form></body>") == want
+    for name in ("reader-comments", "user-comments", "comment-thread"):
+        assert html_text.main_text(f"<article>{article}<div class='{name}'><p>I do not agree with this at all.</p></div></article>") == want
+
+
 def test_op7_long_and_repeated_pages_and_empty_table(spark):
     long = "<div><h1>Head</h1>" + f"<p>{LONG}</p>" * 20_000 + "</div>"
     kind = "page_id long, url string, html string, n_chars string"
@@ -294,6 +357,17 @@ def test_op8_against_brute_force(spark, sf_dir, block_words):
     assert sum(w[2] > 0 for w in want) >= 3
 
 
+def test_op8_long_item_in_pieces():
+    rng = random.Random(9)
+    words = [b"%d" % rng.randrange(50) for _ in range(500)]
+    for most, window in ((20, 10), (10, 10), (3, 10), (499, 10), (500, 10), (1000, 10)):
+        pieces = decontaminate.pieces_of(words, most, window)
+        windows = [tuple(p[i : i + window]) for p in pieces for i in range(len(p) - window + 1)]
+        assert sorted(windows) == sorted(tuple(words[i : i + window]) for i in range(len(words) - window + 1))
+        assert all(len(p) <= max(most, window) for p in pieces)
+    assert decontaminate.pieces_of(words[:4], 20, 10) == [words[:4]] and decontaminate.pieces_of([], 20, 10) == [[]]
+
+
 def test_op8_random_words():
     import random
 
@@ -347,6 +421,15 @@ def test_op10_structure():
     assert secrets.redact("ab cd ef", [("hex", 3, 5)]) == "ab [SECRET] ef"
 
 
+def test_op10_tokens_in_runs():
+    plain = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwt = ".".join(plain(x) for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"signature"))
+    for before in ("", "x", "see ", "abc.", "\\n", "Bearer%20", "a.b.c ", "eyJ.", "."):
+        text = f"{before}{jwt} end"
+        assert secrets.confirmed_spans(text) == [("token", len(before), len(before) + len(jwt))], text
+    assert [s[0] for s in secrets.confirmed_spans(f"{jwt} {jwt},{jwt}")] == ["token"] * 3
+
+
 def test_op10_wrapped_keys():
     number = der(2, b"\x01" * 64)
     for key in (der(0x30, der(2, b"\0") + number * 8), der(0x30, der(2, b"\0") + number * 8 + b"\x02\x01\x05"), der(0x30, der(2, b"\0") + number * 8 + b"\x02\x02\x05\x05")):
