@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.trees import Ensemble, boosted
+from crosspanel.sources import files
 
 #: Rows that a fit needs at least, and bins before an isotonic fit.
 LEAST_TRAIN, LEAST_VALID, BINS = 500, 100, 200
@@ -44,10 +45,12 @@ def yearly_models(x: DataFrame, features: list[str], label: str, years: list[int
     """For each test year with rows enough: the year, its model, its validation rows and its test rows.
 
     `x` has date, code, known (the date on which the label is known), the features and the label. A model is fitted on rows whose label was known before
-    the validation year, and validation rows are those known before the test year. Missing features count as the middle. The loop is over years, each a
-    few Spark jobs of its own.
+    the validation year, and validation rows are those known before the test year. Missing features count as the middle. The rows are written once; the loop is
+    over years, each a few Spark jobs of its own that read the columns and dates they need.
     """
-    filled = x.fillna(0.0, subset=features)
+    path = files.new_path(x.sparkSession, "model-rows")
+    x.fillna(0.0, subset=features).write.parquet(path)
+    filled = x.sparkSession.read.schema(x.schema).parquet(path)
     for year, valid, test in splits(years):
         train = filled.where((F.col("known") < valid) & F.col(label).isNotNull())
         check = filled.where((F.col("date") >= valid) & (F.col("known") < test) & F.col(label).isNotNull())

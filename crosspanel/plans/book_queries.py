@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
@@ -12,7 +12,7 @@ from crosspanel.plans.panel_queries import BUY, SELL, SLOTS
 from crosspanel.sources import panel as p
 
 SURE = 0.95
-REPLAYS, BLOCK, BLOCKS = 400, 4, 13
+REPLAYS, BLOCK, BLOCKS = 10_000, 4, 13
 LEAST_GROUP = 13
 
 
@@ -204,13 +204,19 @@ def a38_alpha_by_market(spark, d):
     return made.where(F.col("weeks") >= LEAST_GROUP)
 
 
+def drawn_start(replay: Column, block: Column, n: Column) -> Column:
+    """A number from 0 to n - 1, uniform and independent from draw to draw: 52 bits of the SHA-256 of replay and block, which depends on nothing else and repeats in any engine."""
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", replay.cast("string"), block.cast("string")), 256), 1, 13), 16, 10).cast("long")
+    return bits % n
+
+
 def a39_replays(spark, d):
-    """Years of thirteen blocks of four weeks, whose starts a hash rule deals: percentiles of return and worst fall, and how often the index is beaten."""
+    """Years of thirteen blocks of four weeks, whose starts are drawn at random, by the digest of replay and block: percentiles of return and worst fall, and how often the index is beaten."""
     x = known_weeks(spark, d)
     n = x.groupBy("variant").agg(F.max("i").alias("n")).where(F.col("n") >= BLOCK)
     k, j = F.floor(F.col("id") / BLOCKS), F.col("id") % BLOCKS
     deal = spark.range(REPLAYS * BLOCKS).select(k.alias("replay"), j.alias("block"))  # of fixed number
-    start = (F.col("replay") * 7919 + F.col("block") * 104729 + F.col("replay") * F.col("block") * 31) % (F.col("n") - BLOCK + 1)
+    start = drawn_start(F.col("replay"), F.col("block"), F.col("n") - BLOCK + 1)
     drawn = n.join(F.broadcast(deal), how="cross").select("variant", "replay", "block", start.alias("start"))
     drawn = drawn.select("variant", "replay", "block", F.explode(F.sequence(F.lit(1), F.lit(BLOCK))).alias("j"), "start")
     drawn = drawn.select("variant", "replay", (F.col("block") * BLOCK + F.col("j")).alias("place"), (F.col("start") + F.col("j")).cast("int").alias("i"))
@@ -321,7 +327,7 @@ SQL = {
     "a37_decomposition": f"{HAC} SELECT variant, side, n AS weeks, lags, {r6('alpha * 52')} AS alpha_ann, {r6('(my - alpha) * 52')} AS explained_ann, {r6('t')} AS t, {r6('r2')} AS r2, CASE WHEN t >= 2 THEN 'alpha' WHEN t <= -2 THEN 'negative alpha' ELSE 'no proven alpha' END AS verdict FROM al",
     "a38_alpha_by_market": f"""{WEEKS}, tr AS (SELECT *, CASE WHEN count(universe) OVER z = 13 THEN CASE WHEN product(1 + universe) OVER z > 1 THEN 'rising' ELSE 'falling' END END AS trend FROM kw WINDOW z AS (PARTITION BY variant ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)),
  ll AS (SELECT variant, net, universe, unnest([CAST(year(date) AS VARCHAR), trend]) AS label FROM tr) SELECT variant, label, count(*) AS weeks, {r6('regr_intercept(net, universe) * 52')} AS alpha FROM ll WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 13""",
-    "a39_replays": f"""{WEEKS}, nn AS (SELECT variant, max(i) AS n FROM kw GROUP BY 1), dr AS (SELECT variant, k, bl, (k * 7919 + bl * 104729 + k * bl * 31) % (n - 3) AS st FROM nn, range(0, 400) u(k), range(0, 13) z(bl)),
+    "a39_replays": f"""{WEEKS}, nn AS (SELECT variant, max(i) AS n FROM kw GROUP BY 1), dr AS (SELECT variant, k, bl, CAST('0x' || sha256(k || ':' || bl)[:13] AS BIGINT) % (n - 3) AS st FROM nn, range(0, 10000) u(k), range(0, 13) z(bl)),
  pa AS (SELECT d.variant, d.k, bl * 4 + j AS place, net, bench FROM dr d, range(1, 5) q(j), kw WHERE kw.variant = d.variant AND kw.i = st + j),
  eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY variant, k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM pa),
  fa AS (SELECT *, equity / max(equity) OVER (PARTITION BY variant, k ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS fall FROM eq),

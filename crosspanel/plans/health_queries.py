@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.operators import books as b
+from crosspanel.operators.expanding import average_rank, expanding_counts
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans.book_queries import AHEAD, R6, WEEKS, r6
 from crosspanel.plans.factor_queries import LAGS, WITH
@@ -17,17 +18,9 @@ SWITCH_COST = 0.002
 
 
 def expanding_rank(x: DataFrame, key: list[str], value: str, least: int) -> DataFrame:
-    """`x` with rank: the share of a row's value among those of its key up to its date, ties in the middle; null before `least` values.
-
-    Each row meets the earlier ones of its key by an inequality join that only adds up, so no list of a row's past is held.
-    """
-    known = x.where(F.col(value).isNotNull()).select(*key, "date", F.col(value).alias("v"))
-    past = known.select(*(F.col(k).alias(f"{k}_") for k in key), F.col("date").alias("date_"), F.col("v").alias("w"))
-    same = [F.col(k) == F.col(f"{k}_") for k in key]
-    met = known.join(past, [*same, F.col("date_") <= F.col("date")])
-    below, equal, n = F.count_if(F.col("w") < F.col("v")), F.count_if(F.col("w") == F.col("v")), F.count("*")
-    ranks = met.groupBy(*key, "date").agg(F.when(n >= least, (below + (equal + 1) / 2) / n).alias("rank"))
-    return x.join(ranks, [*key, "date"], "left")
+    """`x` with rank: the share of a row's value among those of its key up to its date, ties in the middle; null before `least` values."""
+    ranked = expanding_counts(x, key, "date", value)
+    return ranked.withColumn("rank", F.when(F.col("n") >= least, average_rank())).drop("n", "below", "equal")
 
 
 def sectors(spark, d) -> DataFrame:

@@ -43,11 +43,49 @@ def written_days(spark, d) -> tuple[str, str]:
     return paths
 
 
+def zipped_days(spark, d) -> DataFrame:
+    """What is read back from one zipped file a day, named by its day, in both layouts. Every 97th day's archive is cut short, every 101st day lacks the column of
+    closes, every 31st is no CSV inside, and every third file writes its header in capitals with blanks around; the days' own date columns say nothing."""
+    import io
+    import zipfile
+
+    texts = {"series": F.concat(F.lit(" "), "series", F.lit(" ")), "prevclose": F.coalesce(F.col("prevclose").cast("string"), F.lit("-"))}
+    rows = days(spark, d).withColumns(texts)
+
+    def pack(key, x):
+        day = key[0]
+        new, n = str(day) >= CHANGE, day.timetuple().tm_yday
+        names = raw.NEW if new else raw.OLD
+        x = x.drop(columns="date").rename(columns=names).assign(**{names["date"]: "01-JAN-1900"})
+        if new:
+            others = x.assign(Sgmt="FO")
+            x = x.assign(Sgmt="CM", FinInstrmTp="STK")
+            x = x.__class__.from_records([*x.to_dict("records"), *others.assign(FinInstrmTp="STK").to_dict("records")])
+        if n % 3 == 0:
+            x.columns = [f" {c.upper()} " for c in x.columns]
+        if n % 101 == 5:
+            x = x.drop(columns=[c for c in x.columns if c.strip().upper() == names["close"].upper()])
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("readme.txt" if n % 31 == 7 else "day.CSV"), x.to_csv(index=False))
+        content = out.getvalue()
+        return x.__class__([(f"{day:%Y}/{day:%Y%m%d}.csv.zip", content[: len(content) // 2] if n % 97 == 13 else content)], columns=["path", "content"])
+
+    base = files.new_path(spark, "zipped-days")
+    files.write_binary(rows.groupBy("date").applyInPandas(pack, "path string, content binary"), base)  # a day has a row a name
+    return raw.zipped_day_files(files.read_binary(spark, base, "*.zip"))
+
+
 def s1_daily_files(spark, d):
-    x = raw.day_files(spark, *written_days(spark, d), SERIES)
+    x = raw.good_rows(zipped_days(spark, d), SERIES)
     return x.select("date", "symbol", "isin", "series", *(R6(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "prevclose", "volume", "value")))
 
 
+def s1_bad_files(spark, d):
+    """The files that gave no rows, and why."""
+    return raw.bad_files(zipped_days(spark, d)).select("file", "error")
+
+
 def s2_series_filter(spark, d):
     """Rows by series and layout where only the main series counts, and where all do."""
     paths = written_days(spark, d)
@@ -115,9 +153,12 @@ def packed_series(spark, d) -> DataFrame:
 
 
 def unpacked(spark, d) -> DataFrame:
+    """code, field, at and value from one binary file for each code and field."""
+    base = files.new_path(spark, "series")
+    files.write_binary(packed_series(spark, d), base)
     part = lambda k: F.split_part("path", F.lit("/"), F.lit(k))
-    x = raw.binary_series(packed_series(spark, d))
-    return x.select(part(2).cast("long").alias("code"), F.split_part(part(3), F.lit("."), F.lit(1)).alias("field"), "at", "value")
+    x = raw.binary_series(files.read_binary(spark, base, "*.bin"))
+    return x.select(part(-2).cast("long").alias("code"), F.split_part(part(-1), F.lit("."), F.lit(1)).alias("field"), "at", "value")
 
 
 def s5_binary_series(spark, d):
@@ -193,18 +234,20 @@ def s19_incremental_ingest(spark, d):
 
 
 CALLS = (
-    s1_daily_files, s2_series_filter, u1_union_of_files, s3_index_files, s4_benchmark_choice, s5_binary_series, s6_panel_assembly, s14_overrides, s15_flag_file, s16_newest_file, s17_sector_map, s18_reply_documents, s19_incremental_ingest,
+    s1_daily_files, s1_bad_files, s2_series_filter, u1_union_of_files, s3_index_files, s4_benchmark_choice, s5_binary_series, s6_panel_assembly, s14_overrides, s15_flag_file, s16_newest_file, s17_sector_map, s18_reply_documents, s19_incremental_ingest,
 )
 QUERIES = {c.__name__: c for c in CALLS}
 
 DAYS = """WITH dd AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS code, arg_min(px, o) AS open, max(px) AS high, min(px) AS low, arg_max(px, o) AS close, sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS value
  FROM (SELECT *, l_extendedprice / l_quantity AS px, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS o FROM lineitem) GROUP BY 1, 2),
 dy AS (SELECT *, 'S' || code AS symbol, CASE WHEN code % 8 = 5 THEN 'INF' ELSE 'INE' END || lpad(CAST(code AS VARCHAR), 6, '0') AS isin, CASE code % 10 WHEN 3 THEN 'BE' WHEN 7 THEN 'GS' ELSE 'EQ' END AS series, lag(close) OVER (PARTITION BY code ORDER BY date) AS prevclose FROM dd)"""
+GOOD = "dayofyear(date) % 97 != 13 AND dayofyear(date) % 101 != 5 AND dayofyear(date) % 31 != 7"
 IDX = f"""{WITH}, wk AS (SELECT date, CAST(sum(volume) AS BIGINT) AS v, count(*) AS n FROM bars GROUP BY 1),
 ix AS (SELECT date, 'broad' AS "index", CASE WHEN v % 7 = 0 THEN 0 ELSE v - 1 END AS open, v AS close FROM wk WHERE year(date) > 1996 OR weekofyear(date) % 2 = 0 UNION ALL SELECT date, 'names', NULL, n * 1000 FROM wk)"""
 CAL = f"{WITH}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS at_ FROM (SELECT DISTINCT date FROM bars))"
 SQL = {
-    "s1_daily_files": f"{DAYS} SELECT date, symbol, isin, series, " + ", ".join(f"{r6(c)} AS {c}" for c in ("open", "high", "low", "close", "prevclose", "volume", "value")) + " FROM dy WHERE series != 'GS'",
+    "s1_daily_files": f"{DAYS} SELECT date, symbol, isin, series, " + ", ".join(f"{r6(c)} AS {c}" for c in ("open", "high", "low", "close", "prevclose", "volume", "value")) + f" FROM dy WHERE series != 'GS' AND {GOOD}",
+    "s1_bad_files": f"SELECT strftime(date, '%Y%m%d') || '.csv.zip' AS file, CASE WHEN dayofyear(date) % 97 = 13 THEN 'no archive' WHEN dayofyear(date) % 31 = 7 THEN 'no CSV inside' ELSE 'no column for close' END AS error FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) WHERE NOT ({GOOD})",
     "s2_series_filter": f"{DAYS}, k AS (SELECT *, unnest(CASE WHEN series = 'EQ' THEN ['main', 'all'] ELSE ['all'] END) AS kept FROM dy WHERE series != 'GS') SELECT kept, series, date >= DATE '{CHANGE}' AS new_layout, count(*) AS rows FROM k GROUP BY 1, 2, 3",
     "u1_union_of_files": f"{DAYS} SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT symbol) AS symbols FROM dy WHERE series != 'GS' GROUP BY 1",
     "s3_index_files": f"{IDX} SELECT date, \"index\", {r6('open')} AS open, {r6('close')} AS close FROM ix",

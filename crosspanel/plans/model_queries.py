@@ -59,14 +59,16 @@ def m8_baseline_scores(spark, d):
 
 def m3_walk_forward(spark, d):
     """Predictions of all years that can be tested, each from trees that saw only labels known before; no rows where no year has enough."""
-    x = rows(spark, d)
-    out = m.walk_forward(x, FEATURES, "y_rank", m.years_of(x))
+    out = m.walk_forward(rows(spark, d), FEATURES, "y_rank", m.years_of(p.bars(spark, d).select("date")))
     return out if out is not None else spark.createDataFrame([], "date date, code long, year int, p_raw double, rank double, p double")
 
 
 def latest(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows to fit on, those of the last 365 days with a known label, and those of the last date."""
-    x = rows(spark, d).fillna(0.0, subset=FEATURES).withColumn("now", F.lit(p.bars(spark, d).agg(F.max("date")).first()[0]))
+    made, path = rows(spark, d).fillna(0.0, subset=FEATURES), files.new_path(spark, "model-rows")
+    made.write.parquet(path)
+    x = spark.read.schema(made.schema).parquet(path)
+    x = x.withColumn("now", F.lit(x.agg(F.max("date")).first()[0]))
     known = x.where("y_rank is not null")
     cut = F.date_sub("now", 365)
     return known.where(F.col("known") < cut), known.where(F.col("date") >= cut), x.where("date = now")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crosspanel.functions import factors as f
 from crosspanel.functions import features as ft
 from crosspanel.operators import scoring as s
+from crosspanel.operators.expanding import average_rank, expanding_counts
 from crosspanel.plans.factor_queries import LAGS, RANK, WITH, filled, frame, w
 from crosspanel.plans.table_queries import IC, LEVEL, RANKS, RET, SCORED, R, returns, scored
 from crosspanel.sources import panel as p
@@ -61,10 +62,9 @@ def w43_benchmark_forward(spark, d):
 
 
 def w47_expanding_rank(spark, d):
-    """Average rank of each benchmark return among those up to it, from the 26th on; one short series."""
-    before = F.collect_list("r").over(Window.partitionBy("series").orderBy("date"))
-    below, same = F.filter(before, lambda v: v < F.col("r")), F.filter(before, lambda v: v == F.col("r"))
-    return returns(spark, d).select("date", R4(F.when(F.size(before) >= 26, (F.size(below) + (F.size(same) + 1) / 2) / F.size(before))).alias("v"))
+    """Average rank of each benchmark return among those up to it, from the 26th on."""
+    ranked = expanding_counts(returns(spark, d).where("r is not null"), ["series"], "date", "r")
+    return ranked.select("date", R4(F.when(F.col("n") >= 26, average_rank())).alias("v"))
 
 
 def w53_value_ratio(spark, d):

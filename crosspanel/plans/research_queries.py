@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators.expanding import average_rank, expanding_counts
 from crosspanel.functions import factors as f
 from crosspanel.plans.factor_queries import LAGS, WITH
 from crosspanel.plans.panel_queries import BOOK_RET, BUY, R4, SELL, _book_returns, r4
@@ -96,10 +97,7 @@ def w45_regimes(spark, d):
     """State of the benchmark from the past alone: 4-week return, 8-week volatility, its rank so far, and a 40-week mean."""
     by = Window.partitionBy("series").orderBy("date")
     x = returns(spark, d).withColumns({"ret4": F.col("level") / F.lag("level", 4).over(by) - 1, "vol": F.when(F.count("r").over(by.rowsBetween(-7, 0)) == 8, F.round(F.stddev_samp("r").over(by.rowsBetween(-7, 0)) * 52**0.5, 9)), "ma": F.when(F.count("level").over(by.rowsBetween(-39, 0)) >= 30, F.avg("level").over(by.rowsBetween(-39, 0)))})
-    # one short series: a date's history is a list of the weeks before it
-    before = F.collect_list("vol").over(by)
-    share = (F.size(F.filter(before, lambda v: v < F.col("vol"))) + (F.size(F.filter(before, lambda v: v == F.col("vol"))) + 1) / 2) / F.size(before)
-    x = x.withColumn("vol_rank", F.when(F.col("vol").isNotNull() & (F.size(before) >= 26), share))
+    x = expanding_counts(x, ["series"], "date", "vol").withColumn("vol_rank", F.when(F.col("n") >= 26, average_rank()))
     label = F.when(F.col("vol_rank") > 0.8, "turbulent").when(F.col("level") > F.col("ma"), "calm, rising").otherwise("calm, falling")
     return x.select("date", R4(F.col("ret4")).alias("ret4"), R4(F.col("vol")).alias("vol"), R4(F.col("vol_rank")).alias("vol_rank"), F.when(F.col("vol_rank").isNotNull() & F.col("ma").isNotNull(), label).alias("regime"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators import scoring as s
+from crosspanel.operators import spells as sp
 from crosspanel.plans.factor_queries import LAGS, WITH, filled, w
 from crosspanel.sources import panel as p
 
@@ -80,10 +81,25 @@ def w49_rolling_alpha(spark, d):
 
 
 def j1_interval_join(spark, d):
-    """Weeks into the spells from each customer's first to last order; a spell opens into its weeks, so no range join is needed."""
+    """How many customers there are in each week between their first and their last order."""
     week = F.to_date(F.date_trunc("week", "o_orderdate"))
-    spells = p.read(spark, d, "orders").groupBy("o_custkey").agg(F.min(week).alias("a"), F.max(week).alias("z"))
-    return spells.select(F.explode(F.sequence("a", "z", F.expr("interval 7 days"))).alias("date")).groupBy("date").agg(F.count("*").alias("members"))
+    spells = p.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("code")).agg(F.min(week).alias("start"), F.max(week).alias("end"))
+    return sp.members(spells, order_weeks(spark, d)).groupBy("date").agg(F.count("*").alias("members"))
+
+
+def order_weeks(spark, d):
+    """The weeks from the first order to the last."""
+    week = F.to_date(F.date_trunc("week", "o_orderdate"))
+    ends = p.read(spark, d, "orders").agg(F.min(week).alias("a"), F.max(week).alias("z"))
+    return ends.select(F.explode(F.sequence("a", "z", F.expr("interval 7 days"))).alias("date"))
+
+
+def j1_members(spark, d):
+    """date and customer of each week that lies in a spell: an order opens one of 15 to 55 days, spells of one customer overlap, and some end before they start."""
+    day = F.to_date("o_orderdate")
+    length = F.when(F.col("o_orderkey") % 13 == 0, -1).otherwise(15 + F.col("o_orderkey") % 41).cast("int")
+    spells = p.read(spark, d, "orders").select(F.col("o_custkey").alias("code"), day.alias("start"), F.date_add(day, length).alias("end"))
+    return sp.members(spells, order_weeks(spark, d))
 
 
 def j9_asof_tolerance(spark, d):
@@ -184,7 +200,7 @@ def u3_book_changes(spark, d):
     return both.groupBy("date").agg(F.sum(F.when(F.col("was").isNull(), 1).otherwise(0)).alias("buys"), F.sum(F.when(F.col("is").isNull(), 1).otherwise(0)).alias("sells"))
 
 
-CALLS = (slice0_factor_ic, a5_daily_pearson_ic, a7_ic_summary, a4_equal_weight, a14_quantile_spread, a1_members_per_day, a3_events_by_kind, a10_year_return, a31_moments, w40_drawdown, w41_trailing_return, w49_rolling_alpha, j1_interval_join, j9_asof_tolerance, j7_semi_join, j8_anti_join, t1_monthly_top, t3_top_k, t7_keep_first_priority, w59_hysteresis, w46_losing_streak, a56_latest_event, a46_sector_attribution, a27_calibration, a40_histogram, w60_hash_chain, p15_week_last_day, x3_text_screen, x7_keyword_retrieval, u3_book_changes)
+CALLS = (slice0_factor_ic, a5_daily_pearson_ic, a7_ic_summary, a4_equal_weight, a14_quantile_spread, a1_members_per_day, a3_events_by_kind, a10_year_return, a31_moments, w40_drawdown, w41_trailing_return, w49_rolling_alpha, j1_interval_join, j1_members, j9_asof_tolerance, j7_semi_join, j8_anti_join, t1_monthly_top, t3_top_k, t7_keep_first_priority, w59_hysteresis, w46_losing_streak, a56_latest_event, a46_sector_attribution, a27_calibration, a40_histogram, w60_hash_chain, p15_week_last_day, x3_text_screen, x7_keyword_retrieval, u3_book_changes)
 QUERIES = {f.__name__: f for f in CALLS}
 BARS_ONLY = WITH
 RET = f"{WITH}, {LEVEL}"
@@ -202,6 +218,7 @@ SQL = {
     "w41_trailing_return": f"{RET} SELECT date, round(CASE WHEN count(r) OVER z = 13 THEN product(1 + r) OVER z - 1 END + 1e-9, 6) AS v FROM (SELECT * FROM ret WHERE r IS NOT NULL) WINDOW z AS (ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING)",
     "w49_rolling_alpha": f"{SCORED} SELECT date, code, round(CASE WHEN count(*) OVER z = 52 THEN regr_intercept(fwd, f) OVER z END + 1e-9, 6) AS v FROM (SELECT * FROM scored WHERE f IS NOT NULL AND fwd IS NOT NULL) WINDOW z AS (PARTITION BY code ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)",
     "j1_interval_join": "WITH s AS (SELECT o_custkey, min(CAST(date_trunc('week', o_orderdate) AS DATE)) AS a, max(CAST(date_trunc('week', o_orderdate) AS DATE)) AS z FROM orders GROUP BY 1), c AS (SELECT DISTINCT CAST(unnest(generate_series((SELECT min(a) FROM s), (SELECT max(z) FROM s), INTERVAL 7 DAY)) AS DATE) AS date) SELECT date, count(*) AS members FROM c JOIN s ON date BETWEEN a AND z GROUP BY 1",
+    "j1_members": "WITH s AS (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE 15 + o_orderkey % 41 END AS INTEGER) AS z FROM orders), c AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('week', min(o_orderdate)) AS DATE), CAST(date_trunc('week', max(o_orderdate)) AS DATE), INTERVAL 7 DAY)) AS DATE) AS date FROM orders) SELECT DISTINCT date, code FROM c JOIN s ON date BETWEEN a AND z",
     "j9_asof_tolerance": "SELECT e.event_id, (SELECT CASE WHEN arg_max(b.ts, (b.ts, b.event_id)) >= e.ts - INTERVAL 2 DAY THEN arg_max(b.value, (b.ts, b.event_id)) END FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'purchase' AND (b.ts < e.ts OR b.ts = e.ts AND b.event_id < e.event_id)) AS value FROM events e WHERE e.event_type = 'error'",
     "j7_semi_join": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) GROUP BY 1",
     "j8_anti_join": "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",

@@ -6,6 +6,8 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{base_path(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def write_binary(df: DataFrame, base: str) -> int:
+    """Writes each row's `content` (bytes) to the file `path` under `base`, by the tasks that hold the rows, and returns the number of files. A file
+    appears whole or not at all, so a task that runs again leaves the same files. `base` can be in any file system that pyarrow reaches from the executors."""
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                system, target = pa_fs.FileSystem.from_uri(f"{base}/{path}")
+                folder, name = target.rsplit("/", 1)
+                system.create_dir(folder, recursive=True)
+                hidden = f"{folder}/_{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(content.as_buffer() or b"")
+                system.move(hidden, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["files"])
+
+    return df.select("path", "content").mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path and content of all files below `path` whose names match; files without a byte are passed over, as Spark does. Few large files go to a Python worker at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path", "content")
+
+
 def by_year(df: DataFrame, path: str, date: str = "date") -> DataFrame:
     """Parquet in one folder a year, whose dates are dealt to many tasks. A condition on the year skips folders, one on the date skips row groups."""
     df.withColumn("year", F.year(date)).repartition("year", date).write.partitionBy("year").parquet(path)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +43,68 @@ def day_files(spark: SparkSession, old: str, new: str, series: tuple[str, ...])
     return both.where(F.upper("series").isin(*series))
 
 
+#: Names of columns that tell segment and instrument, where a layout has them.
+MARKS = {"segment": "Sgmt", "instrument": "FinInstrmTp"}
+NUMBERS = tuple(k for k in OLD if k not in ("date", *TEXTS))
+
+
+def _day_columns(content: bytes) -> dict[str, list[str | None]]:
+    """The fields of one zipped day as texts. Columns are found by any of their names, whatever blanks and capitals; ValueError says why there are none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            inside = [n for n in z.namelist() if n.lower().endswith(".csv")]
+            if not inside:
+                raise ValueError("no CSV inside")
+            table = list(csv.reader(io.StringIO(z.read(inside[0]).decode("utf-8-sig", "replace")), skipinitialspace=True))
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+        raise ValueError("no archive") from e
+    header = {name.strip().lower(): k for k, name in reversed(list(enumerate(table[0] if table else [])))}
+    places = {}
+    for field in (*TEXTS, *NUMBERS):
+        known = [header[n.lower()] for n in (OLD[field], NEW[field]) if n.lower() in header]
+        if not known and field != "isin":
+            raise ValueError(f"no column for {field}")
+        places[field] = known[0] if known else None
+    places |= {field: header.get(n.lower()) for field, n in MARKS.items()}
+    cell = lambda row, k: row[k].strip() or None if k is not None and k < len(row) else None
+    rows = [r for r in table[1:] if r]
+    return {field: [cell(r, k) for r in rows] for field, k in places.items()} | {"marked": [m for m in [any(places[k] is not None for k in MARKS)] for _ in rows]}
+
+
+def zipped_day_files(found: DataFrame) -> DataFrame:
+    """Rows of zipped daily files (path, content), each with file, day (from the file's name), the fields as texts, and error: null, or why a file, which then has one
+    row, could not be read. Each file is a task's work by itself, and its header is matched by itself."""
+    kinds = {"file": pa.string(), "day": pa.string(), "error": pa.string(), "marked": pa.bool_()} | {k: pa.string() for k in (*MARKS, *TEXTS, *NUMBERS)}
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                file = path.rsplit("/", 1)[-1]
+                day = file.split(".")[0]
+                try:
+                    if not (len(day) == 8 and day.isdigit()):
+                        raise ValueError("no day in the name")
+                    columns = _day_columns(content.as_py() or b"")
+                    n = len(columns["symbol"])
+                    columns |= {"file": [file] * n, "day": [day] * n, "error": [None] * n}
+                except ValueError as e:
+                    columns = {k: [None] for k in kinds} | {"file": [file], "day": [day], "error": [str(e)]}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))
+
+    return found.mapInArrow(run, ", ".join(f"{k} {'boolean' if t == pa.bool_() else 'string'}" for k, t in kinds.items()))
+
+
+def good_rows(read: DataFrame, series: tuple[str, ...]) -> DataFrame:
+    """date, symbol, isin, series, prices, volume and value of the files that could be read: of the given series, and of shares of the cash segment where a layout says so."""
+    shares = ~F.col("marked") | ((F.upper("segment") == SEGMENT) & (F.upper("instrument") == INSTRUMENT))
+    x = read.where(F.col("error").isNull() & shares).withColumn("series", F.upper("series")).where(F.col("series").isin(*series))
+    return x.select(F.to_date("day", "yyyyMMdd").alias("date"), *TEXTS, *(number(F.col(k)).alias(k) for k in NUMBERS))
+
+
+def bad_files(read: DataFrame) -> DataFrame:
+    return read.where(F.col("error").isNotNull()).select("file", "day", "error")
+
+
 def index_files(spark: SparkSession, path: str, aliases: DataFrame) -> DataFrame:
     """date, index (the name that `aliases` gives to how it is written), open and close of index files, whose numbers are text with commas."""
     x = spark.read.option("header", "true").csv(path)
