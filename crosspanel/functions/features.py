@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
+from crosspanel.operators import wide
 
 #: Windows of the feature set.
 WINDOWS = (5, 10, 20, 30, 60)
@@ -58,7 +59,24 @@ def rolling(d: int) -> dict[str, Column]:
 
 
 def matrix(panel: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """date, code and all features as floats, of the rows that have a bar."""
-    made = candles() | {f"{k}{d}": e for d in windows for k, e in rolling(d).items()}
-    out = prepared(panel).select("date", "code", "close", *(e.cast("float").alias(k) for k, e in made.items()))
-    return out.where("close is not null").drop("close")
+    """date, code and all features as 32-bit numbers, of the rows that have a bar; none is infinite. Features of the windows' order come from one sort a code, the others from Spark's windows."""
+    made = candles()
+    for d in windows:
+        by_sum = {f"{k}{d}": e for k, e in rolling(d).items() if k not in wide.ORDERED}
+        by_order = {f"{k}{d}": F.col(f"{k}{d}") / F.col("close") if k in ("qtlu", "qtld") else F.col(f"{k}{d}") for k in wide.ORDERED}
+        made |= by_sum | by_order
+    x = wide.order_statistics(prepared(panel), windows)
+    out = x.select("date", "code", "close", *(e.cast("double").alias(k) for k, e in made.items())).where("close is not null").drop("close")
+    return wide.finite(out, list(made))
+
+
+def names(windows: tuple[int, ...] = WINDOWS) -> list[str]:
+    """The features of `matrix` in order."""
+    return [*SHAPES, *(f"{k}{d}" for d in windows for k in (*(n for n in FAMILY if n not in wide.ORDERED), *wide.ORDERED))]
+
+
+#: The shapes of a day, and the 29 features of a window.
+SHAPES = tuple("kmid klen kmid2 kup kup2 klow klow2 ksft ksft2 open0 high0 low0 vwap0".split())
+FAMILY = tuple(
+    "roc ma std beta rsqr resi max min qtlu qtld rank rsv imax imin imxd corr cord cntp cntn cntd sump sumn sumd vma vstd wvma vsump vsumn vsumd".split()
+)

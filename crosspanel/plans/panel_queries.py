@@ -193,7 +193,7 @@ y AS (SELECT *, CASE WHEN c1 IS NOT NULL AND close IS NOT NULL THEN greatest(clo
  close / c1 AS rel, ln(v + 1) AS lv, ln(v / v1 + 1) AS lvc, abs(close / c1 - 1) * v AS wv, CASE WHEN coalesce(close > c1, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cup, CASE WHEN coalesce(close < c1, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cdn, coalesce(high, 'infinity'::DOUBLE) AS hx, coalesce(low, '-infinity'::DOUBLE) AS lx FROM x)"""
 
 
-def rolling_sql(d: int) -> str:
+def rolling_exprs(d: int) -> dict[str, str]:
     fr = frame(d)
     q = lambda fn, x: f"({filled(w(fn, x, d), x, d)})"
 
@@ -207,7 +207,7 @@ def rolling_sql(d: int) -> str:
     share = lambda x: f"CASE WHEN count(*) {fr} = {d} THEN avg({x}) {fr} END"
     sa, va = f"({q('sum', 'up')} + {q('sum', 'dn')} + 1e-12)", f"({q('sum', 'vup')} + {q('sum', 'vdn')} + 1e-12)"
     high, low = q("max", "high"), q("min", "low")
-    e = {
+    return {
         "roc": f"lag(close, {d}) {LAGS} / close", "ma": q("avg", "close") + " / close", "std": q("stddev_samp", "close") + " / close", "beta": f"({filled(slope, 'close', d)}) / close",
         "rsqr": filled(f"1 - ({var} * {d} - ({slope}) * ({slope}) * {d * (d * d - 1) / 12}) / ({var} * {d} + 1e-12)", "close", d), "resi": f"({filled(f'close - (avg(close) {fr} + ({slope}) * {(d - 1) / 2})', 'close', d)}) / close",
         "max": f"{high} / close", "min": f"{low} / close", "qtlu": f"({filled(f'quantile_cont(close, 0.8) {fr}', 'close', d)}) / close", "qtld": f"({filled(f'quantile_cont(close, 0.2) {fr}', 'close', d)}) / close",
@@ -216,7 +216,10 @@ def rolling_sql(d: int) -> str:
         "sump": f"{q('sum', 'up')} / {sa}", "sumn": f"{q('sum', 'dn')} / {sa}", "sumd": f"({q('sum', 'up')} - {q('sum', 'dn')}) / {sa}", "vma": f"{q('avg', 'v')} / (v + 1e-12)", "vstd": f"{q('stddev_samp', 'v')} / (v + 1e-12)",
         "wvma": f"{q('stddev_samp', 'wv')} / ({q('avg', 'wv')} + 1e-12)", "vsump": f"{q('sum', 'vup')} / {va}", "vsumn": f"{q('sum', 'vdn')} / {va}", "vsumd": f"({q('sum', 'vup')} - {q('sum', 'vdn')}) / {va}",
     }
-    return f"{WITH}, {PREPARED} SELECT date, code, " + ", ".join(f'{r4(x)} AS "{k}"' for k, x in e.items()) + " FROM y"
+
+
+def rolling_sql(d: int) -> str:
+    return f"{WITH}, {PREPARED} SELECT date, code, " + ", ".join(f'{r4(x)} AS "{k}"' for k, x in rolling_exprs(d).items()) + " FROM y"
 
 
 BOOK = "book AS (SELECT date, code FROM bars QUALIFY row_number() OVER (PARTITION BY date ORDER BY value DESC, code) <= 10), was AS (SELECT CAST(date + 7 AS DATE) AS date, code, 1 AS was FROM book)"
