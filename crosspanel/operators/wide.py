@@ -92,7 +92,7 @@ def day_coefficients(x: DataFrame, features: Sequence[str], target: str, least:
 
 
 def day_correlations(x: DataFrame, left: Sequence[str], right: Sequence[str], by: str = "date") -> DataFrame:
-    """by, one, other and c: on each day the correlation of each column of `left` with each of `right` over the names that have both; none where one is constant. A day's sums, squares and products
+    """by, one, other, n and c: on each day the correlation of each column of `left` with each of `right` over the n names that have both; none where one is constant. A day's sums, squares and products
     are six products of its matrices, so no row is made for a pair and a name."""
     left, right = list(left), list(right)
 
@@ -107,9 +107,9 @@ def day_correlations(x: DataFrame, left: Sequence[str], right: Sequence[str], by
             va, vb = (a**2).T @ mb / n - sx**2, ma.T @ b**2 / n - sy**2
             c = np.where((va > 1e-9) & (vb > 1e-9), cov / np.sqrt(va * vb), np.nan)
         i, j = np.nonzero(np.isfinite(c))
-        return pd.DataFrame({by: day[by].iloc[0], "one": np.array(left)[i], "other": np.array(right)[j], "c": c[i, j]})
+        return pd.DataFrame({by: day[by].iloc[0], "one": np.array(left)[i], "other": np.array(right)[j], "n": n[i, j].astype(int), "c": c[i, j]})
 
-    return x.select(by, *left, *right).groupBy(by).applyInPandas(one, f"{by} {dict(x.dtypes)[by]}, one string, other string, c double")
+    return x.select(by, *dict.fromkeys([*left, *right])).groupBy(by).applyInPandas(one, f"{by} {dict(x.dtypes)[by]}, one string, other string, n long, c double")
 
 
 def finite(x: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.operators import books as b
 from crosspanel.plans.factor_queries import LAGS, WITH
 from crosspanel.plans.panel_queries import BUY, SELL, SLOTS
+from crosspanel.plans.research_queries import drawn_start
 from crosspanel.sources import panel as p
 
 SURE = 0.95
@@ -204,12 +205,6 @@ def a38_alpha_by_market(spark, d):
     return made.where(F.col("weeks") >= LEAST_GROUP)
 
 
-def drawn_start(replay: Column, block: Column, n: Column) -> Column:
-    """A number from 0 to n - 1, uniform and independent from draw to draw: 52 bits of the SHA-256 of replay and block, which depends on nothing else and repeats in any engine."""
-    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", replay.cast("string"), block.cast("string")), 256), 1, 13), 16, 10).cast("long")
-    return bits % n
-
-
 def a39_replays(spark, d):
     """Years of thirteen blocks of four weeks, whose starts are drawn at random, by the digest of replay and block: percentiles of return and worst fall, and how often the index is beaten."""
     x = known_weeks(spark, d)

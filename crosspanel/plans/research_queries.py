@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.operators.expanding import average_rank, expanding_counts
 from crosspanel.functions import factors as f
+from crosspanel.operators import wide
+from crosspanel.operators.expanding import average_rank, expanding_counts
 from crosspanel.plans.factor_queries import LAGS, WITH
 from crosspanel.plans.panel_queries import BOOK_RET, BUY, R4, SELL, _book_returns, r4
 from crosspanel.plans.table_queries import LEVEL, RET, returns
@@ -51,12 +52,13 @@ def judged(x: DataFrame) -> DataFrame:
 
 def closest(x: DataFrame, judge: DataFrame) -> DataFrame:
     """For each factor the stronger one (by |t|) whose ranks are most like its own, by the mean correlation over dates."""
-    t = judge.select("factor", F.abs("t").alias("t"))
-    # a name has one row for each factor, so the join on date and code makes as many rows as pairs of factors
-    a = x.select("date", "code", "factor", "rx").join(F.broadcast(t), "factor")
-    b = a.select("date", "code", F.col("factor").alias("other"), F.col("rx").alias("ry"), F.col("t").alias("u"))
-    days = a.join(b, ["date", "code"]).where("u > t").groupBy("factor", "other", "date").agg(F.count("*").alias("k"), corr("rx", "ry").alias("c")).where(F.col("k") >= LEAST_NAMES)
-    each = days.groupBy("factor", "other").agg(F.abs(F.avg("c")).alias("c"))
+    t = judge.select(F.col("factor").alias("one"), F.abs("t").alias("t"))
+    names = sorted(r.factor for r in judge.select("factor").collect())  # a row for each factor
+    ranks = x.groupBy("date", "code").pivot("factor", names).agg(F.first("rx"))
+    days = wide.day_correlations(ranks, names, names).where(F.col("n") >= LEAST_NAMES)
+    each = days.groupBy("one", "other").agg(F.abs(F.avg("c")).alias("c"))
+    stronger = t.select(F.col("one").alias("other"), F.col("t").alias("u"))
+    each = each.join(t, "one").join(stronger, "other").where("u > t").select(F.col("one").alias("factor"), "other", "c")
     return each.groupBy("factor").agg(F.max("c").alias("max_corr"), F.max_by("other", F.struct("c", "other")).alias("closest"))
 
 
@@ -133,14 +135,20 @@ def a38_alpha_by_year(spark, d):
     return x.where("weeks >= 13").select("year", "weeks", R4(F.col("alpha")).alias("alpha"))
 
 
+def drawn_start(replay: Column, block: Column, n: Column) -> Column:
+    """A number from 0 to n - 1, uniform and independent from draw to draw: 52 bits of the SHA-256 of replay and block, which depends on nothing else and repeats in any engine."""
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", replay.cast("string"), block.cast("string")), 256), 1, 13), 16, 10).cast("long")
+    return bits % n
+
+
 def a39_block_bootstrap(spark, d):
-    """Years made of blocks of four weeks whose starts a fixed rule deals: percentiles of their log return, and how often it is a gain."""
+    """Years made of blocks of four weeks whose starts are drawn at random, by the digest of replay and block: percentiles of their log return, and how often it is a gain."""
     data = _book_and_market(spark, d)
     n = data.count()
     if n < BLOCK:
         return spark.createDataFrame([], "replays long, p5 double, p50 double, p95 double, gain double")
     k, b = F.floor(F.col("id") / BLOCKS), F.col("id") % BLOCKS
-    drawn = spark.range(REPLAYS * BLOCKS).select(k.alias("replay"), F.explode(F.sequence(F.lit(1), F.lit(BLOCK))).alias("j"), ((k * 7919 + b * 104729 + k * b * 31) % (n - BLOCK + 1)).alias("start"))
+    drawn = spark.range(REPLAYS * BLOCKS).select(k.alias("replay"), F.explode(F.sequence(F.lit(1), F.lit(BLOCK))).alias("j"), drawn_start(k, b, F.lit(n - BLOCK + 1)).alias("start"))
     # the draws are of fixed number
     years = data.join(F.broadcast(drawn.select("replay", (F.col("start") + F.col("j")).alias("i"))), "i").groupBy("replay").agg(F.sum(F.log1p("y")).alias("r"))
     return years.agg(F.count("*").alias("replays"), *(R4(F.percentile("r", q / 100)).alias(f"p{q}") for q in (5, 50, 95)), R4(F.avg((F.col("r") > 0).cast("double"))).alias("gain"))
@@ -186,6 +194,6 @@ SQL = {
  s AS (SELECT sum(p.ga * q.ga * wt) AS va, sum(p.gb * q.gb * wt) AS vb FROM (SELECT i, i - k AS h, CASE WHEN k = 0 THEN 1.0 ELSE 2 * (1 - k / (lags + 1)) END AS wt FROM g, m, range(0, 50) z(k) WHERE k <= lags) w JOIN g p ON p.i = w.i JOIN g q ON q.i = w.h)
  SELECT n, lags, {r4('a')} AS a, {r4('b')} AS b, {r4('a / sqrt(va * n / (n - 2))')} AS t_a, {r4('b / sqrt(vb * n / (n - 2))')} AS t_b, {r4('r2')} AS r2 FROM m, s""",
     "a38_alpha_by_year": f"{MARKET} SELECT year(date) AS year, count(*) AS weeks, {r4('regr_intercept(y, x) * 52')} AS alpha FROM bm GROUP BY 1 HAVING count(*) >= 13",
-    "a39_block_bootstrap": f"""{MARKET}, dr AS (SELECT k, (k * 7919 + b * 104729 + k * b * 31) % ((SELECT count(*) FROM bm) - 3) AS st FROM range(0, 500) u(k), range(0, 13) z(b)),
+    "a39_block_bootstrap": f"""{MARKET}, dr AS (SELECT k, CAST('0x' || sha256(k || ':' || b)[:13] AS BIGINT) % ((SELECT count(*) FROM bm) - 3) AS st FROM range(0, 500) u(k), range(0, 13) z(b)),
  yr AS (SELECT k, sum(ln(1 + y)) AS r FROM dr, range(1, 5) j(j), bm WHERE bm.i = st + j GROUP BY 1) SELECT count(*) AS replays, {r4('quantile_cont(r, 0.05)')} AS p5, {r4('quantile_cont(r, 0.5)')} AS p50, {r4('quantile_cont(r, 0.95)')} AS p95, {r4('avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END)')} AS gain FROM yr""",
 }

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.operators import expanding, spells
-from crosspanel.plans import book_queries
+from crosspanel.plans import research_queries
 from crosspanel.sources import files, raw
 
 
@@ -69,12 +69,12 @@ def test_rows_of_expanding_counts_grow_as_n_log_n(spark):
 
 
 def test_random_starts_are_uniform(spark):
-    x = spark.range(13 * 4000).select(book_queries.drawn_start(F.floor(F.col("id") / 13), F.col("id") % 13, F.lit(50)).alias("s"))
+    x = spark.range(13 * 4000).select(research_queries.drawn_start(F.floor(F.col("id") / 13), F.col("id") % 13, F.lit(50)).alias("s"))
     seen = Counter(r.s for r in x.collect())
     assert set(seen) == set(range(50))
     mean = 13 * 4000 / 50
     assert 20 < sum((n - mean) ** 2 / mean for n in seen.values()) < 90  # chi square with 49 degrees of freedom: 0.9999 of draws
-    pairs = spark.range(3000).select(*(book_queries.drawn_start(F.col("id"), F.lit(k), F.lit(1000)).alias(f"s{k}") for k in (0, 1))).agg(F.corr("s0", "s1")).first()[0]
+    pairs = spark.range(3000).select(*(research_queries.drawn_start(F.col("id"), F.lit(k), F.lit(1000)).alias(f"s{k}") for k in (0, 1))).agg(F.corr("s0", "s1")).first()[0]
     assert abs(pairs) < 0.08
 
 
