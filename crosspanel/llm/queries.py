@@ -106,4 +106,40 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_ch
 FROM nodes n LEFT JOIN nodes p ON n.parent = p.path LEFT JOIN children c ON n.path = c.path JOIN below b ON n.path = b.path LEFT JOIN ends e ON n.path = e.path
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL, "op12_conversation_trie": OP12_SQL}
+#: Words of `documents` are those between ASCII blanks, in lower case from A to Z; a table of shingles by document, then links by the sizes of intersections.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS s FROM w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 3, 1) END)) AS u(i)),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+reached(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
+"""
+#: Strings of 50 bytes as digests of their hex, each with the smallest document that has it; what they cover, and what is left, piece by piece.
+OP5_SQL = """
+WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, 400 * p AS o, substr(h, 800 * p + 1, 898) AS c FROM t, unnest(range((n + 399) // 400)) AS u(p)),
+w AS (SELECT doc_id, o + i AS i, md5_number(substr(c, 2 * i + 1, 100)) AS s FROM c, unnest(range(greatest(least(400, length(c) // 2 - 49), 0))) AS u(i)),
+first AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+bad AS (SELECT doc_id, i FROM w JOIN first USING (s) WHERE doc_id > least),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM bad)) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM runs GROUP BY 1),
+kept AS (SELECT t.doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(len(a) + 1), lambda k: h[2 * (CASE WHEN k = 0 THEN 0 ELSE z[k] END) + 1 : 2 * (CASE WHEN k = len(a) THEN n ELSE a[k + 1] END)]), '') END AS h FROM t LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM kept
+"""
+#: Windows of ten words (or a shorter item's own) as texts, met by the windows of as many words of the documents.
+OP8_SQL = r"""
+WITH low AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT CAST(item_id AS BIGINT) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+sought AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS s FROM item, unnest(range(greatest(len(w) - 9, 1))) AS u(i) WHERE len(w) > 0),
+had AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM low, (SELECT DISTINCT n FROM sought) k, unnest(range(greatest(len(w) - n + 1, 0))) AS u(i)),
+met AS (SELECT doc_id, i, n, item_id FROM had JOIN sought USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM met, unnest(range(n)) AS u(j) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_trie": OP12_SQL}
