@@ -4,8 +4,10 @@ Some operators must know, for millions of short keys of each document, what the
 (some MB of text) sends each of its distinct keys once, packed and sorted, to the bucket that owns the key's hash range;
 the bucket answers in the order of the keys; and the answers of all buckets come back to the chunk. A key that a third
 of all documents hold reaches its bucket once from each chunk, like any other, so no key makes a hot task. There are PER_PARTITION
-buckets for each shuffle partition of the session, whatever the number of chunks: messages grow in proportion to the
-corpus, and a bucket's share of the keys is set by spark.sql.shuffle.partitions, as that of any shuffle.
+buckets for each shuffle partition of the session. A chunk sends a message to each bucket for which it has a key, so there are chunks times buckets
+messages at most, and never more than keys. With partitions held fixed, messages grow in proportion to the corpus; where partitions
+grow along with it, they grow faster, towards one message a key, and lose what packing saves. A bucket's share of the keys is set by
+spark.sql.shuffle.partitions, as that of any shuffle.
 
 The chunks are a table in the shared folder, bucketed by chunk, so that answers join them without moving texts again.
 """

@@ -8,7 +8,7 @@ The model is fitted on at most SAMPLE labelled documents, the first by hash amon
 sample is a bound of the fit, and scoring covers every document.
 
 Defined cases: a null or empty text has the bins of the empty text and its score; equal texts have equal scores;
-without labels of both kinds all scores are PRIOR; repeated labels of a document count as their largest; repeated rows
+a very long text is one sparse vector of its different words; without labels of both kinds all scores are PRIOR; repeated labels of a document count as their largest; repeated rows
 give repeated rows; an empty table gives an empty table; other columns play no part.
 """
 

@@ -11,7 +11,7 @@ texts, are stored once in the shared folder; the percentile is exact, over score
 grows with the different scores only.
 
 Defined cases: a null text has no words; a document without words has score null and fails the base rules; equal
-scores have equal verdicts; repeated rows count and return as often as they stand; without trusted documents the ratio
+scores have equal verdicts; a text of any length is scored whole, in its own row; repeated rows count and return as often as they stand; without trusted documents the ratio
 is 0 for all and only the base rules decide; an empty table gives an empty table; other columns play no part.
 """
 

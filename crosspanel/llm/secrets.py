@@ -7,7 +7,7 @@ bare base64 may go over lines; a legacy encrypted key has whole cipher blocks),
 header is JSON that names an algorithm.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows; an empty table gives an empty
-table; other columns of the input play no part; whole texts are searched, however long. Offsets are code points, the end exclusive.
+table; other columns of the input play no part; whole texts are searched, however long; spans that start together go by kind. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations

@@ -18,6 +18,22 @@ def test_op4_pairwise_identity():
     assert abs(z - want) < 1e-3 * max(1, abs(want))
 
 
+def test_op4_scores_of_a_table_by_all_pairs(spark, sf_dir):
+    """Bias, linear terms and every pair of features, one after the other."""
+    docs = documents(spark).select("doc_id", "text").where("length(text) < 3000 or text is null").union(data(spark, sf_dir).select("doc_id", "text").where("n_chars < 500"))
+    m = fm.train(data(spark, sf_dir), data(spark, sf_dir, "labels"))
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = sorted((r["doc_id"], r["score"]) for r in rows(fm.classify(docs, m)))
+    want = []
+    for i, t in texts:
+        index, value = fm.vector(t)
+        f = m.factors[index].astype(float) * value[:, None].astype(float)
+        pairs = sum(float(f[a] @ f[b]) for a in range(len(f)) for b in range(a + 1, len(f)))
+        want.append((i, 1 / (1 + np.exp(-(m.bias + float(m.linear[index].astype(float) @ value.astype(float)) + pairs)))))
+    assert m.fitted and len(got) == len(want) > 30
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, sorted(want)))
+
+
 def test_op4_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in rows(fm.train_and_classify(data(spark, d), data(spark, d, "labels")))}

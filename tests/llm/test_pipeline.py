@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crosspanel.llm import bpe, decontaminate, fm_quality, secrets
@@ -36,8 +37,10 @@ def test_pipeline(spark):
 
 def test_pipeline_stages_keep_columns_and_nulls(spark):
     d = "/root/testdata/sf0.001"
-    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0)], data(spark, d).schema)
-    docs = data(spark, d).unionByName(odd)
+    long = " ".join(f"{w}{k}" for k in range(30_000) for w in ("walk", "stone", "green"))
+    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (10**9 + 2, long, "en", "s", 1), (10**9 + 2, long, "en", "s", 1), (None, long, "en", "s", 1)], data(spark, d).schema)
+    clashing = [F.lit(k).alias(n) for k, n in enumerate(("gone_id", "kept", "hits", "items", "score", "component_id", "n_words", "chunk", "id", "quality"))]
+    docs = data(spark, d).unionByName(odd).select("*", *clashing)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
         stage(spark, docs, d).count()

@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.orc  # noqa: F401
 import pytest
+from pyspark.sql import functions as F
 
 from crosspanel.llm import bpe, decontaminate, html_text, quality_rules, queries, secrets, token_orc
 from tests.llm.helpers import AWKWARD, documents
@@ -131,6 +132,51 @@ def test_op3_features(spark, sf_dir):
             assert not (r["kept"] and r["base_failed"])
 
 
+def brute_verdicts(docs, trusted):
+    """llr and verdict of each (doc_id, text) by the rule of the docstring, one word after the other."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    number = lambda x, seed: xxhash.xxh64((x % (1 << 64)).to_bytes(8, "little"), seed=seed % (1 << 64)).intdigest()
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORDS.findall(text or "")]
+        pairs = [signed(number(b, number(a, 42))) for a, b in zip([0, *h], h)]
+        return [x % quality_rules.BUCKETS for x in h], [x % quality_rules.BUCKETS for x in pairs]
+
+    made = [(i, t, *buckets(t)) for i, t in docs]
+    raw, target = Counter(), Counter()
+    for i, _, words, pairs in made:
+        raw.update(words + pairs)
+        if i in trusted:
+            target.update(words + pairs)
+    n = quality_rules.BUCKETS
+    total = lambda c: sum(c.values()) + n
+    ratio = [round(np.log((target[b] + 1) / total(target)) - np.log((raw[b] + 1) / total(raw)), 6) if target else 0.0 for b in range(n)]
+    scores = [sum(ratio[b] for b in words + pairs) / (2 * len(words)) if words else None for _, _, words, pairs in made]
+    known = [round(s, 6) for (i, *_), s in zip(made, scores) if i in trusted and s is not None]
+    low = np.quantile(known, quality_rules.PERCENTILE) if known else 0.0
+    return scores, low
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_op3_scores_and_threshold_by_brute_force(spark, sf_dir, labelled):
+    labels = data(spark, sf_dir, "labels").unionByName(spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 1, 0)], data(spark, sf_dir, "labels").schema)).where(str(labelled))
+    docs = data(spark, sf_dir).select("doc_id", "text").unionByName(documents(spark).select(F.expr("doc_id + 100000 as doc_id"), "text"))
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    scores, low = brute_verdicts(texts, trusted)
+    got = {}
+    for r in rows(quality_rules.report(docs, labels)):
+        got[r["doc_id"]] = r
+    assert len(got) == len(dict(texts))
+    for (i, _), s in zip(texts, scores):
+        r = got[i]
+        assert (r["llr"] is None) == (s is None) and (s is None or abs(r["llr"] - s) < 2e-6), i
+        if s is None or abs(s - low) > 4e-6:
+            assert bool(r["kept"]) == (not r["base_failed"] and s >= low), i
+
+
 def test_op3_verdicts(spark):
     labels = {r.doc_id: r.quality for r in data(spark, "/root/testdata/sf0.01", "labels").collect()}
     got = [r for r in rows(queries.op3_quality_rules(spark, "/root/testdata/sf0.01")) if not r["base_failed"] and r["doc_id"] in labels]
