@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; the last returns the encoding of each document left.
+Near-duplicates are told by shingles of five words here, where no contract asks for four.
+
+Defined cases: rows with a null text stay as they are but for the classifier, which scores them as the empty text; rows without a doc_id stay in
+all stages; repeated rows stay as often as they stand (they share their id, so none is another's copy); empty and very long texts pass
+through like others; an empty table gives an empty table; columns besides those of documents go along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
