@@ -15,10 +15,22 @@ from pyspark.sql.window import Window
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+#: Bytes of a table that is dealt out anew, if it has fewer files than the session has cores: so few that moving them costs less than idle cores.
+SMALL_TABLE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. A small one in few files, whose row groups are too few for all cores, is dealt to all of them; larger ones are read as they stand."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 @functools.lru_cache(maxsize=8)
 def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")

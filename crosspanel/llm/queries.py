@@ -6,51 +6,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from crosspanel.llm import bpe, conversation_trie, decontaminate, fm_quality, html_text, near_dup, ngram_lm, quality_rules, secrets, sharding, spelling, suffix_dedup, token_orc
-from crosspanel.llm.common import table
+from crosspanel.llm.common import table, texts
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_orc.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.round_trip(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_dup.near_duplicates(texts(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.report(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_quality.train_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return fm_quality.train_and_classify(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return suffix_dedup.remove_repeats(texts(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(texts(spark, sf_dir, "documents"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(texts(spark, sf_dir, "pages"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return bpe.encode_and_decode(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(texts(spark, sf_dir, "documents"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.variants(table(spark, sf_dir, "documents"))
+    return spelling.variants(texts(spark, sf_dir, "documents"))
 
 
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assigned(table(spark, sf_dir, "documents"), shards=24)
+    return sharding.assigned(texts(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_orc, op2_near_dup, op3_quality_rules, op4_fm_quality, op5_suffix_dedup, op6_ngram_lm, op7_html_text, op8_decontaminate, op9_bpe, op10_secrets, op11_spelling_variants, op12_conversation_trie, op13_sharding)}
