@@ -102,12 +102,18 @@ def best_round(losses: list[float], patience: int = PATIENCE) -> int:
     return best + 1
 
 
+def in_order(x: DataFrame, keys: tuple[str, ...] = ("date", "code")) -> DataFrame:
+    """Rows dealt by their keys and sorted, so that what is drawn at random in a fit depends on the rows alone and not on how their files lie."""
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
 def boosted(train: DataFrame, check: DataFrame, features: list[str], label: str, rounds: int = ROUNDS) -> Ensemble:
-    """Fitted on `train`; the number of trees is chosen by the log loss on `check`. Missing features must be filled before."""
+    """Fitted on `train` (of date and code, the features and the label); the number of trees is chosen by the log loss on `check`. Missing features must be filled before."""
     vector = VectorAssembler(inputCols=features, outputCol="features_")
     kept = lambda x: vector.transform(x.select(*features, F.col(label).cast("double").alias("label_")))
     booster = GBTClassifier(featuresCol="features_", labelCol="label_", maxIter=rounds, maxDepth=DEPTH, stepSize=RATE, subsamplingRate=SHARE, minInstancesPerNode=LEAF, seed=SEED)
-    model = booster.fit(kept(train))
+    model = booster.fit(kept(in_order(train)))
     losses = [float(x) for x in model.evaluateEachIteration(kept(check))]
     path = files.new_path(train.sparkSession, "trees")
     model.write().save(path)

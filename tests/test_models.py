@@ -97,7 +97,7 @@ def test_trees_find_what_no_line_can(spark, ensemble):
 def test_scores_are_those_of_the_library(spark):
     x = planted(spark, 600)
     e = trees.boosted(x, x, ["a", "b", "c"], "y", rounds=6)
-    vector = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(x)
+    vector = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(trees.in_order(x))
     model = GBTClassifier(featuresCol="f", labelCol="y", maxIter=6, maxDepth=trees.DEPTH, stepSize=trees.RATE, subsamplingRate=trees.SHARE, minInstancesPerNode=trees.LEAF, seed=trees.SEED).fit(vector)
     got = model.transform(vector).withColumn("own", e.probability()).select("own", vector_to_array("probability")[1].alias("p")).collect()
     assert e.rounds == 6 and all(abs(r.own - r.p) < 1e-9 for r in got)
