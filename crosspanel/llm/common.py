@@ -52,6 +52,29 @@ def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFr
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 
+#: A key is hot if it has more rows than its share, one part in SHARES for each shuffle partition, and more than LEAST_HOT.
+SHARES, LEAST_HOT = 4, 1000
+
+
+def hot_keys(rows: DataFrame, key: str, total: int | None = None, each: str | None = None) -> DataFrame | None:
+    """The hot keys of `rows` and `_salts`, the number of shares each of them has; None if there are none. Counts are combined before they move. As every hot key has more than a share of all rows, there are fewer than SHARES times the shuffle partitions of them, whatever the table, so that they may be broadcast. `rows` is a stored table, or `total` tells its rows; `each` is a column of counts, if `rows` has been counted."""
+    parts = SHARES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(LEAST_HOT, -(-(rows.count() if total is None else total) // parts))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")) if each is None else rows.select(key, F.col(each).alias("_n"))
+    hot = stored(counts.where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
+    """Inner join of `rows` with `facts`, which has one row a key. The rows of a hot key are dealt by the hash of `by` to as many tasks as it has shares, and its row of `facts` goes to each of them."""
+    if hot is None:
+        return rows.join(facts, key)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    right = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def ranked(df: DataFrame, by: list[str], order: list[str], label: str) -> DataFrame:
     """`df` with position, from 0 in each group `by` in the order of `order`. Rows are sorted in ranges over all tasks, so a group that is a large part of the table is many tasks' work; a range is numbered by itself, and the rows of its group in earlier ranges are added. Groups are not null."""
     own = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by, *order, "_row").withColumn("_range", F.spark_partition_id())

@@ -12,7 +12,8 @@ sets meet only its pivot, the set that agrees with most others over all bands. B
 group still holds more than one component, the shingles that no other member of such groups has bound what two members
 can have in common. So do the differences between members and their pivot: two members differ at least in these, less what
 other members share of them. Only pairs outside the group's largest component whose bounds reach the limit are tested,
-so no link is left out. Groups are joined on their pivot, which Spark splits where it is skewed, and are never collected.
+so no link is left out. Groups are never collected. Where a band, a pivot, a label or one side of the pairs has more than its share of
+the rows of a join, those rows are dealt to several tasks (`common.met`).
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; a text of fewer
 words than a shingle has one shingle; equal texts always link; repeated rows give repeated rows; null ids are left out
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.common import arrow_rows, bounded_batches, stored, texts_of
+from crosspanel.llm.common import arrow_rows, bounded_batches, hot_keys, met, stored, texts_of
 
 SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 128, 4
@@ -181,10 +182,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: int) -> Da
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose likeliest similarity is not far below the limit and whose sizes allow a link."""
+    """The pairs whose likeliest similarity is not far below the limit and whose sizes allow a link. `pairs` is a stored table."""
     a = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     b = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    joined = pairs.join(b, "b").join(a, "a").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    joined = met(met(pairs, b, "b", hot_keys(pairs, "b"), "a"), a, "a", hot_keys(pairs, "a"), "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
 
     def run(batches):
         for t in batches:
@@ -198,7 +199,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by their full sets."""
+    """The pairs that link, by their full sets. `pairs` is a stored table."""
 
     def run(batches):
         for t in batches:
@@ -210,7 +211,8 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    joined = met(met(pairs, b, "b", hot_keys(pairs, "b"), "a"), a, "a", hot_keys(pairs, "a"), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -231,10 +233,11 @@ def _by_hub(labelled: DataFrame) -> DataFrame:
     """Groups whose pivots are linked become one, under the pivot with most members."""
     homes = labelled.where("id = pivot").select("pivot", F.col("label").alias("home"))
     hubs = labelled.groupBy("pivot").agg(F.count("*").alias("k")).join(homes, "pivot").groupBy("home").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("hub"))
-    return labelled.join(homes, "pivot").join(hubs, "home").select(F.col("hub").alias("pivot"), "id", "label").distinct()
+    hub_of = homes.join(hubs, "home").select("pivot", "hub")
+    return met(labelled, hub_of, "pivot", hot_keys(labelled, "pivot"), "id").select(F.col("hub").alias("pivot"), "id", "label").distinct()
 
 
-def _from_pivots(sets: DataFrame, able: DataFrame) -> DataFrame:
+def _from_pivots(sets: DataFrame, able: DataFrame, hot: DataFrame | None) -> DataFrame:
     """`able` with d (hashes that only one of the member and its pivot has) and s (those of them that are so for another member of the group too)."""
 
     def run(batches):
@@ -243,7 +246,8 @@ def _from_pivots(sets: DataFrame, able: DataFrame) -> DataFrame:
             apart = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(x, p)]
             yield arrow_rows({"pivot": t.column(0), "id": t.column(1), "h": apart}, {"pivot": pa.int64(), "id": pa.int64(), "h": pa.list_(pa.int64())})
 
-    both = able.select("pivot", "id").join(sets.select("id", F.col("shingles").alias("x")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    own = able.select("pivot", "id").join(sets.select("id", F.col("shingles").alias("x")), "id")
+    both = met(own, sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot", hot, "id")
     rows = both.select("pivot", "id", "x", "p").mapInArrow(run, "pivot long, id long, h array<long>").select("pivot", "id", F.explode("h").alias("h"))
     owners = rows.groupBy("pivot", "h").agg(F.min("id").alias("id"), F.count("*").alias("k"))
     alone = owners.where("k = 1").groupBy("pivot", "id").agg(F.count("*").alias("alone"))
@@ -257,11 +261,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id and label, the smallest id reachable over the links: labels spread to neighbours and then jump to their label's label."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    hot = hot_keys(both, "b")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = met(both, labels.select(F.col("id").alias("b"), "label"), "b", hot, "a").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        spread = stored(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), "spread")
+        # a label is an id with links, so it has a label of its own
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = stored(spread.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
+        new = stored(met(spread, jump, "label", hot_keys(spread, "label"), "id").select("id", "old", F.least("label", "further").alias("label")), "labels")
         labels = new.select("id", "label")
         if new.where("old != label").isEmpty():
             break
@@ -270,18 +276,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     rows = _bands_of(nodes)
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(rows.join(sizes, "band").select("band", "id", "n", "n_shingles"), "members")
+    sizes = stored(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    hot = hot_keys(sizes, "band", nodes.count() * (REGISTERS // ROWS), each="n")
+    members = stored(met(rows, sizes, "band", hot, "id").select("band", "id", "n", "n_shingles"), "members")
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
     gathered = small.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("id", "n_shingles"))).alias("ids"))  # SMALL_BUCKET ids at most
     fits = f"y -> 100 * x.n_shingles >= {percent} * y.n_shingles and 100 * y.n_shingles >= {percent} * x.n_shingles"
     pairs = gathered.select(F.explode(F.expr(f"flatten(transform(ids, (x, i) -> transform(filter(slice(ids, i + 2, size(ids)), {fits}), y -> struct(x.id as a, y.id as b))))")).alias("p")).select("p.a", "p.b")
     ranked = large.join(large.groupBy("id").agg(F.sum("n").alias("degree")), "id")
     pivots = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
-    groups = stored(large.join(pivots, "band").select("pivot", "id").distinct(), "groups")
+    groups = stored(met(large, pivots, "band", hot, "id").select("pivot", "id").distinct(), "groups")
     stars = groups.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
 
-    some = stored(_estimated(pairs.union(stars).distinct(), nodes, percent), "pairs")
+    some = stored(_estimated(stored(pairs.union(stars).distinct(), "candidates"), nodes, percent), "pairs")
     wanted = some.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
     sets = stored(_sets(docs, wanted, nodes, size), "sets")
     links = stored(_confirmed(sets, some, percent), "confirmed")
@@ -289,7 +296,8 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     labelled = _by_hub(stored(groups.join(components(groups.select("id").distinct(), links), "id"), "labelled"))
     labelled = stored(labelled, "labelled")
     split = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("pivot")
-    open_ = stored(labelled.join(split, "pivot").select("pivot", "id", "label"), "open")
+    hot = hot_keys(labelled, "pivot")
+    open_ = stored(met(labelled, split, "pivot", hot, "id").select("pivot", "id", "label"), "open")
     if open_.isEmpty():
         return links
     # a member links with another only if what others have too is large enough a part of it
@@ -298,8 +306,8 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     counts = open_.groupBy("pivot", "label").agg(F.count("*").alias("k"))
     most = counts.groupBy("pivot").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
     # and two members differ in all in which both differ from the pivot, but for what they have in common there
-    able = stored(_from_pivots(sets, stored(able, "able")), "able")
-    rest = able.join(most, "pivot").where("label != most").select("pivot", F.col("id").alias("other"), F.col("label").alias("its"), *(F.col(c).alias(c + "2") for c in "nmds"))
+    able = stored(_from_pivots(sets, stored(able, "able"), hot), "able")
+    rest = met(able, most, "pivot", hot, "id").where("label != most").select("pivot", F.col("id").alias("other"), F.col("label").alias("its"), *(F.col(c).alias(c + "2") for c in "nmds"))
     common, apart = F.least("m", "m2"), F.col("d") + F.col("d2") - 2 * F.least("s", "s2")
     n = F.col("n") + F.col("n2")
     within = (100 * common >= percent * (n - common)) & ((100 + percent) * apart <= (100 - percent) * n)
@@ -308,7 +316,7 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     able = able.withColumn("size_band", step)
     rest = rest.withColumn("band2", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.log(F.col("n2").cast("double")) / math.log(100 / percent) + 1e-9) + k)))
     pairs = able.join(rest, (able["pivot"] == rest["pivot"]) & (F.col("size_band") == F.col("band2")) & (F.col("label") != F.col("its")) & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    more = stored(_estimated(pairs.distinct(), nodes, percent), "pairs")
+    more = stored(_estimated(stored(pairs.distinct(), "candidates"), nodes, percent), "pairs")
     return links.union(stored(_confirmed(sets, more, percent), "confirmed"))
 
 

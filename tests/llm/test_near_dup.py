@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from crosspanel.llm import near_dup
+from pyspark.sql import functions as F
+
+from crosspanel.llm import common, near_dup
 from tests.llm.helpers import documents
 from tests.llm.test_simple_ops import WORDS, data, rows
 
@@ -61,6 +63,32 @@ def test_op2_large_bucket(spark, monkeypatch):
     check(spark, spark.createDataFrame(made, "doc_id long, text string"))
 
 
+def test_op2_hot_keys_are_dealt(spark, monkeypatch):
+    """The same groups where every band, pivot, label and side of a pair of a few rows counts as hot: results are those of brute force."""
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    monkeypatch.setattr(common, "SHARES", 10**6)
+    dealt = []
+    plain = common.hot_keys
+    monkeypatch.setattr(near_dup, "hot_keys", lambda *a, **k: dealt.append((a[1], plain(*a, **k))) or dealt[-1][1])
+    test_op2_large_bucket(spark, monkeypatch)
+    assert {"band", "a", "b", "pivot", "label"} <= {key for key, hot in dealt if hot is not None}
+
+
+def test_met_spreads_a_hot_key(spark):
+    """A key with a third of the rows: as plain a join, in parts of at most a few shares; hot keys are fewer than the shares."""
+    rows = spark.range(30000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.max("id").alias("top"))
+    hot = common.hot_keys(rows, "k")
+    share = 30000 / (common.SHARES * 4)
+    assert [(r.k, r._salts) for r in hot.collect()] == [(-1, -(-10000 // int(share + 1)))]
+    for h in (hot, None):
+        got = common.met(rows, facts, "k", h, "id")
+        assert got.columns == ["k", "id", "top"] and got.exceptAll(rows.join(facts, "k")).isEmpty() and got.count() == 30000
+    salt = F.pmod(F.xxhash64("id"), F.lit(hot.first()._salts))
+    assert rows.where("k = -1").groupBy(salt).count().agg(F.max("count")).first()[0] < 1.2 * share
+    assert common.hot_keys(rows.where("k > 0"), "k") is None and common.hot_keys(rows.limit(0), "k") is None
+
+
 def test_op2_one_id_on_several_texts(spark):
     """Whatever the order of the rows, each row links as its own text."""
     z, w = " ".join(f"z{k}" for k in range(60)), " ".join(f"w{k}" for k in range(60))
