@@ -53,7 +53,7 @@ def stored(df: DataFrame, label: str, fmt: str = "parquet", **options) -> DataFr
 
 
 #: A key is hot if it has more rows than its share, one part in SHARES for each shuffle partition, and more than LEAST_HOT.
-SHARES, LEAST_HOT = 4, 1000
+SHARES, LEAST_HOT = 4, 256
 
 
 def hot_keys(rows: DataFrame, key: str, total: int | None = None, each: str | None = None) -> DataFrame | None:

@@ -285,6 +285,8 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFr
     pairs = gathered.select(F.explode(F.expr(f"flatten(transform(ids, (x, i) -> transform(filter(slice(ids, i + 2, size(ids)), {fits}), y -> struct(x.id as a, y.id as b))))")).alias("p")).select("p.a", "p.b")
     ranked = large.join(large.groupBy("id").agg(F.sum("n").alias("degree")), "id")
     pivots = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    crowded = sizes.where(F.col("n") > SMALL_BUCKET)
+    hot = hot_keys(crowded, "band", crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], each="n")  # of the rows of large bands alone
     groups = stored(met(large, pivots, "band", hot, "id").select("pivot", "id").distinct(), "groups")
     stars = groups.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
 
