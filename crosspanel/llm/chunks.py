@@ -84,13 +84,12 @@ def chunked(docs: DataFrame, label: str, chunk_bytes: int) -> DataFrame:
         waiting, held = [], 0
         for b in batches:
             cuts, held = cuts_of([len(t.as_buffer() or b"") for t in b.column(1)], chunk_bytes, held)
-            for begin, end in zip([0, *cuts], [*cuts, None]):
-                if begin or begin in cuts:
+            for begin, end in zip([0, *cuts], [*cuts, b.num_rows]):
+                if end > begin:
+                    waiting.append(b.slice(begin, end - begin))
+                if end < b.num_rows:  # a cut, maybe before the batch's first row
                     yield packed(waiting)
                     waiting, at = [], at + 1
-                piece = b.slice(begin, end - begin if end is not None else None)
-                if piece.num_rows:
-                    waiting.append(piece)
         if waiting:
             yield packed(waiting)
 

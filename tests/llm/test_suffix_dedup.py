@@ -3,7 +3,8 @@
 import hashlib
 import random
 
-from crosspanel.llm import suffix_dedup
+from crosspanel.llm import chunks, suffix_dedup
+from crosspanel.llm.common import BATCH_ROWS
 from tests.llm.helpers import documents
 from tests.llm.test_simple_ops import data, rows
 
@@ -51,3 +52,11 @@ def test_op5_random_overlaps(spark):
         made.append((rng.randrange(10**6), text))
     want = check(spark.createDataFrame(made, "doc_id long, text string").repartition(5))
     assert sum(w[2] for w in want) > 1000
+
+
+def test_chunk_begins_with_a_batch(spark):
+    made = [(i, "ab") for i in range(BATCH_ROWS)] + [(BATCH_ROWS, "x" * 1000)] + [(BATCH_ROWS + 1 + i, "cd") for i in range(BATCH_ROWS)]
+    table = chunks.chunked(spark.createDataFrame(made, "doc_id long, text string").coalesce(1), "test_chunks", 2 * BATCH_ROWS + 500)
+    got = [list(zip(*chunks.texts_in(r.texts))) for r in table.orderBy("chunk").collect()]
+    assert [len(g) for g in got] == [BATCH_ROWS, 1 + 750, 250]
+    assert [(i, t.decode()) for g in got for i, t in g] == made
