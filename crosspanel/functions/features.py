@@ -58,15 +58,15 @@ def rolling(d: int) -> dict[str, Column]:
     }
 
 
+def rolled(panel: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """The dense panel with the features that `rolling` defines, in numpy blocks: f"{feature}{window}"."""
+    return wide.rolling(panel, windows, FAMILY, f.TINY)
+
+
 def matrix(panel: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """date, code and all features as 32-bit numbers, of the rows that have a bar; none is infinite. Features of the windows' order come from one sort a code, the others from Spark's windows."""
-    made = candles()
-    for d in windows:
-        by_sum = {f"{k}{d}": e for k, e in rolling(d).items() if k not in wide.ORDERED}
-        by_order = {f"{k}{d}": F.col(f"{k}{d}") / F.col("close") if k in ("qtlu", "qtld") else F.col(f"{k}{d}") for k in wide.ORDERED}
-        made |= by_sum | by_order
-    x = wide.order_statistics(prepared(panel), windows)
-    out = x.select("date", "code", "close", *(e.cast("double").alias(k) for k, e in made.items())).where("close is not null").drop("close")
+    """date, code and all features as 32-bit numbers, of the rows that have a bar; none is infinite."""
+    made = candles() | {k: F.col(k) for k in names(windows) if k not in SHAPES}
+    out = rolled(panel, windows).where("close is not null").select("date", "code", *(e.cast("double").alias(k) for k, e in made.items()))
     return wide.finite(out, list(made))
 
 

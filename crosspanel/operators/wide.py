@@ -1,6 +1,7 @@
 """Work on many features at once: whole windows of a code, whole days of names, as numpy blocks inside Spark's groups.
 
 A code has a row a date and a date a row a name, so a group is never larger than the calendar or the list of names.
+Codes pass through a task in batches.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,36 +19,140 @@ from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 ORDERED = ("qtlu", "qtld", "rank", "imax", "imin", "imxd")
 
 
+def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make) -> DataFrame:
+    """`x` with the columns `made`, which `make` fills from batches of whole keys: its arguments are the columns by name, missing values NaN, and each row's place in its key. Keys are sorted in their
+    partitions and pass through a task in batches, so a task holds a batch and the rest of one key."""
+    names = x.columns
+    schema = StructType([*x.schema.fields, *(StructField(n, DoubleType()) for n in made)])
+
+    def filled(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        place = np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
+        column = lambda n: t[n].cast(pa.float64()).to_numpy()
+        out = make(column, place)
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in t.columns), *(pa.array(out[n], pa.float64(), from_pandas=True) for n in made)], names=[*names, *made])
+
+    def run(batches):
+        rest = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*rest, b])
+            keys = np.array(t[by].to_pylist(), object)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1])
+            whole = int(cuts[-1]) + 1 if len(cuts) else 0
+            if whole:
+                yield filled(t.slice(0, whole), keys[:whole])
+            rest = t.slice(whole).combine_chunks().to_batches()
+        if rest:
+            t = pa.Table.from_batches(rest)
+            yield filled(t, np.array(t[by].to_pylist(), object))
+
+    return x.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def _before(v: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    out = np.full(len(v), np.nan)
+    out[k:] = v[: len(v) - k] if k < len(v) else out[k:]
+    out[place < k] = np.nan
+    return out
+
+
+def _folded(v: np.ndarray, d: int, op) -> np.ndarray:
+    """op over all windows of d values, put together from windows of 1, 2, 4 ... values: no difference of large sums is taken, and a NaN reaches only the windows that hold it."""
+    n, out, at, power, span = len(v) - d + 1, None, 0, v, 1
+    while True:
+        if d & span:
+            piece = power[at : at + n]
+            out, at = piece if out is None else op(out, piece), at + span
+        if 2 * span > d:
+            return out
+        power, span = op(power[: len(power) - span], power[span:]), 2 * span
+
+
+def _placed(values: np.ndarray, place: np.ndarray, d: int) -> np.ndarray:
+    """Values of windows at their last rows; NaN where a window would reach into another key."""
+    out = np.full(len(place), np.nan)
+    out[d - 1 :] = values
+    out[place < d - 1] = np.nan
+    return out
+
+
+def _ordered(close, high, low, place: np.ndarray, d: int) -> dict[str, np.ndarray]:
+    if len(place) < d:
+        return {k: np.full(len(place), np.nan) for k in ORDERED}
+    put = lambda x: _placed(x, place, d)
+    v, last = sliding_window_view(close, d), close[d - 1 :, None]
+    ranked, out = np.sort(v, 1), {}
+    gap = np.isnan(ranked[:, -1])  # NaN is last
+    for k, q in (("qtlu", 0.8), ("qtld", 0.2)):
+        at = q * (d - 1)
+        below = int(at)
+        got = ranked[:, below] + (at - below) * (ranked[:, min(below + 1, d - 1)] - ranked[:, below])
+        out[k] = put(np.where(gap, np.nan, got))
+    out["rank"] = put(np.where(gap, np.nan, (np.count_nonzero(v < last, 1) + (np.count_nonzero(v == last, 1) + 1) / 2) / d))
+    high, low = np.where(np.isnan(high), np.inf, high), np.where(np.isnan(low), -np.inf, low)
+    out["imax"] = put(sliding_window_view(high, d).argmax(1) / d)
+    out["imin"] = put(sliding_window_view(low, d).argmin(1) / d)
+    return out | {"imxd": out["imax"] - out["imin"]}
+
+
 def order_statistics(panel: DataFrame, windows: Sequence[int], by: str = "code", order: str = "t") -> DataFrame:
     """`panel` with six features a window that depend on the order of the window's values: its 0.8 and 0.2 quantiles and the place of today's value (of closes; null unless all are there), and how
     far into the window its highest high and lowest low stand (first ones; a gap counts as one). The rows of a code are sorted once for all windows and features."""
-    names = [f"{k}{d}" for d in windows for k in ORDERED]
 
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order)
-        close, high, low = (x[c].to_numpy(float) for c in ("close", "high", "low"))
-        high, low = np.where(np.isnan(high), np.inf, high), np.where(np.isnan(low), -np.inf, low)
+    def make(column, place):
+        close, high, low = column("close"), column("high"), column("low")
+        return {f"{k}{d}": v for d in windows for k, v in _ordered(close, high, low, place, d).items()}
+
+    return _by_key(panel, by, order, [f"{k}{d}" for d in windows for k in ORDERED], make)
+
+
+def rolling(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, by: str = "code", order: str = "t") -> DataFrame:
+    """`panel` (dense: a row for each calendar row) with the features `family` of each window, as `features.rolling` defines them: f"{feature}{window}". All windows of a batch of codes are numpy blocks."""
+
+    def make(column, place):
+        c, high, low, v = (column(n) for n in ("close", "high", "low", "volume"))
+        v = np.where(v > 0, v, np.nan)
+        c1, v1 = _before(c, place, 1), _before(v, place, 1)
+        ratio = lambda a, b: a / np.where(np.abs(b) > tiny, b, np.nan)
+        rel, lv = ratio(c, c1), np.log(v + 1)
+        lvc, wv = np.log(ratio(v, v1) + 1), np.abs(rel - 1) * v
         made = {}
         for d in windows:
-            out = np.full((len(ORDERED), len(x)), np.nan)
-            if len(x) >= d:
-                v, last = sliding_window_view(close, d), close[d - 1 :, None]
-                ranked, whole = np.sort(v, 1), ~np.isnan(v).any(1)
-                for k, q in enumerate((0.8, 0.2)):
-                    at = q * (d - 1)
-                    below = int(at)
-                    out[k, d - 1 :] = ranked[:, below] + (at - below) * (ranked[:, min(below + 1, d - 1)] - ranked[:, below])
-                out[2, d - 1 :] = ((v < last).sum(1) + ((v == last).sum(1) + 1) / 2) / d
-                out[:3, d - 1 :][:, ~whole] = np.nan
-                out[3, d - 1 :] = sliding_window_view(high, d).argmax(1) / d
-                out[4, d - 1 :] = sliding_window_view(low, d).argmin(1) / d
-                out[5] = out[3] - out[4]
-            made |= {f"{k}{d}": row for k, row in zip(ORDERED, out)}
-        return pd.concat([x, pd.DataFrame(made, index=x.index)], axis=1)
-
-    schema = StructType([*panel.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    made = panel.groupBy(by).applyInPandas(one, schema)
-    return made.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
+            if len(place) < d:
+                made |= {f"{k}{d}": np.full(len(place), np.nan) for k in family}
+                continue
+            put = lambda x, d=d: _placed(x, place, d)
+            total = lambda x, d=d: _folded(x, d, np.add)
+            mean = lambda x, d=d: _folded(x, d, np.add) / d
+            off = lambda x, d=d: sliding_window_view(x, d) - mean(x, d)[:, None]
+            spread = lambda a: np.einsum("ij,ij->i", a, a)
+            std = lambda x, d=d: np.sqrt(spread(off(x, d)) / (d - 1))
+
+            def corr(x, y):
+                mx, my = mean(x), mean(y)
+                va, vb = mean(x * x) - mx * mx, mean(y * y) - my * my
+                return put((mean(x * y) - mx * my) / np.sqrt(np.maximum(va * vb, tiny)))
+
+            around, steps = off(c), np.arange(d) - (d - 1) / 2
+            squares, slope = spread(around), around @ steps / (steps @ steps)
+            ma, top, bottom = put(mean(c)), put(_folded(high, d, np.maximum)), put(_folded(low, d, np.minimum))
+            su, sd, vu, vd = (put(total(np.maximum(x, 0))) for x in (c - c1, c1 - c, v - v1, v1 - v))
+            sa, va = su + sd + tiny, vu + vd + tiny
+            up, down = put(mean((c > c1).astype(float))), put(mean((c < c1).astype(float)))
+            out = _ordered(c, high, low, place, d)
+            out |= {
+                "roc": _before(c, place, d) / c, "ma": ma / c, "std": put(np.sqrt(squares / (d - 1))) / c, "beta": put(slope) / c, "rsqr": put(1 - (squares - slope**2 * (d * (d * d - 1) / 12)) / (squares + tiny)),
+                "resi": (c - (ma + put(slope) * ((d - 1) / 2))) / c, "max": top / c, "min": bottom / c, "qtlu": out["qtlu"] / c, "qtld": out["qtld"] / c, "rsv": (c - bottom) / (top - bottom + tiny),
+                "corr": corr(c, lv), "cord": corr(rel, lvc), "cntp": up, "cntn": down, "cntd": up - down, "sump": su / sa, "sumn": sd / sa, "sumd": (su - sd) / sa,
+                "vma": put(mean(v)) / (v + tiny), "vstd": put(std(v)) / (v + tiny), "wvma": put(std(wv)) / (put(mean(wv)) + tiny), "vsump": vu / va, "vsumn": vd / va, "vsumd": (vu - vd) / va,
+            }
+            made |= {f"{k}{d}": out[k] for k in family}
+        return made
+
+    return _by_key(panel, by, order, [f"{k}{d}" for d in windows for k in family], make)
 
 
 def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str = "code") -> DataFrame:

@@ -27,8 +27,7 @@ def w24_candles(spark, d):
 
 def rolling_query(d):
     def run(spark, sf_dir):
-        x = ft.prepared(p.dense_bars(spark, sf_dir))
-        return x.select("date", "code", *(R4(e).alias(k) for k, e in ft.rolling(d).items()))
+        return ft.rolled(p.dense_bars(spark, sf_dir), (d,)).select("date", "code", *(R4(F.col(f"{k}{d}")).alias(k) for k in ft.FAMILY))
 
     return run
 

@@ -79,3 +79,25 @@ def test_names_are_those_of_the_matrix(spark, sf_dir):
     x = spark.createDataFrame([(1, float("inf")), (2, float("nan")), (3, 2.0), (4, None)], "code int, v double")
     assert [r.v for r in wide.finite(x, ["v"]).orderBy("code").collect()] == [None, None, 2.0, None]
     assert made.agg(F.count("*")).first()[0] > 0
+
+
+def test_rolled_is_what_windows_make(spark, sf_dir):
+    """Blocks of codes against Spark's windows, with gaps, days without volume and codes shorter than a window."""
+    from crosspanel.sources import panel as p
+
+    x = p.dense_bars(spark, sf_dir).where("code % 3 > 0 or t < 17")
+    x = x.withColumns({"volume": F.when(F.col("t") % 41 != 0, F.col("volume")).otherwise(F.col("volume") * 0)})
+    for d in (5, 30):
+        want = ft.prepared(x).select("code", "t", *(F.round(e.cast("double"), 7).alias(f"{k}{d}") for k, e in ft.rolling(d).items())).orderBy("code", "t").toPandas()
+        got = ft.rolled(x, (d,)).orderBy("code", "t").toPandas()
+        assert [f"{k}{d}" for k in ft.FAMILY] == list(want.columns[2:])
+        for c in want.columns:
+            assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), atol=2e-7, rtol=1e-7, equal_nan=True), c
+
+
+def test_rolled_holds_a_batch_and_the_rest_of_a_code(spark):
+    """No plan of the rolling features has a window of Spark's or a group in Python, whose cost grew with rows times window."""
+    x, _ = panel(spark)
+    x = x.withColumns({"open": F.col("close"), "volume": F.col("close"), "vwap": F.col("close"), "date": F.col("t")})
+    plan = ft.matrix(x)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "FlatMapGroups" not in plan
