@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,17 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def json_number(c: Column) -> Column:
+    """The text of a number of at most six decimals in its shortest form, as 0.00012 and 1.2e-05: an exponent only below 0.0001. Spark's own text has one below 0.001 and other digits; null where `c` is no finite number."""
+    exact = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).cast("decimal(38,6)")
+    plain = F.regexp_replace(exact.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    plain = F.when(exact == 0, "0.0").otherwise(plain)
+    millionths = F.abs(exact * 1_000_000).cast("int")
+    ones, tens = F.floor(millionths / 10).cast("string"), (millionths % 10).cast("string")
+    short = F.when(millionths < 10, F.concat(tens, F.lit("e-06"))).otherwise(F.concat(ones, F.when(tens != "0", F.concat(F.lit("."), tens)).otherwise(""), F.lit("e-05")))
+    return F.when((exact != 0) & (F.abs(exact) < 0.0001), F.concat(F.when(exact < 0, "-").otherwise(""), short)).otherwise(plain)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Appends rows to a log of JSON lines."""
     without_nan(df).write.mode("append").json(path)

@@ -3,6 +3,9 @@
 import datetime as dt
 import math
 
+import duckdb
+from pyspark.sql import functions as F
+
 from crosspanel.sources import files
 
 
@@ -28,3 +31,24 @@ def test_log_appends_and_has_no_nan(spark):
     files.append_log(spark.createDataFrame([(1, math.nan), (2, 0.5)], schema), path)
     files.append_log(spark.createDataFrame([(3, math.inf), (4, None)], schema), path)
     assert sorted(tuple(r) for r in files.read_log(spark, path, schema).collect()) == [(1, None), (2, 0.5), (3, None), (4, None)]
+
+
+def test_json_numbers_are_shortest(spark):
+    values = [0.0, -0.0, 1.0, -1.5, 0.1, 0.005123, 0.002, 0.001, 0.00095, 0.000123, -0.0001, 0.000099, 1.2e-05, -1e-05, 2e-06, -9e-06, 12345678.25, 1e7, math.nan, math.inf, None]
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(files.json_number(F.col("v")).alias("s")).collect()]
+    want = [None if v is None or not math.isfinite(v) else duckdb.execute("SELECT CAST(CAST(? AS DOUBLE) + 0.0 AS VARCHAR)", [v + 0.0]).fetchone()[0] for v in values]
+    assert got == want
+
+
+def test_small_means_are_as_in_sql(spark, tmp_path):
+    from crosspanel import registry
+
+    closes = {0: (1000.0, 1001.0), 1: (1000.0, 1000.1), 2: (1000.0, 999.98), 3: (1.0, 2.0), 4: (7.0, 7.0), 5: (3.0, 1.0)}
+    rows = [(dt.datetime(1998, 1, 5 + 7 * w), c, 10 * c + w, 1, x, 1.0) for c, both in closes.items() for w, x in enumerate(both)]
+    names = "l_shipdate timestamp, l_suppkey long, l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.code, r.summary) for r in registry.QUERIES["s12_json_means"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE_SQL["s12_json_means"]).fetchall())
+    assert got[0][1] == '{"weeks":1,"mean":0.0005}' and got[1][1] == '{"weeks":1,"mean":5e-05}'
