@@ -109,6 +109,19 @@ def order_statistics(panel: DataFrame, windows: Sequence[int], by: str = "code",
     return _by_key(panel, by, order, [f"{k}{d}" for d in windows for k in ORDERED], make)
 
 
+def framed(panel: DataFrame, column: str, d: int, own, name: str = "v", by: str = "code", order: str = "t") -> DataFrame:
+    """`panel` with `name`, an own function of the last d values of `column`: `own` gets a block of windows, one a row, and gives a value for each. Null where a window lacks a value."""
+
+    def make(values, place):
+        x = values(column)
+        if len(x) < d:
+            return {name: np.full(len(x), np.nan)}
+        block = sliding_window_view(x, d)
+        return {name: _placed(np.where(np.isnan(block).any(1), np.nan, own(block)), place, d)}
+
+    return _by_key(panel, by, order, [name], make)
+
+
 def rolling(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, by: str = "code", order: str = "t") -> DataFrame:
     """`panel` (dense: a row for each calendar row) with the features `family` of each window, as `features.rolling` defines them: f"{feature}{window}". All windows of a batch of codes are numpy blocks."""
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.operators import models as m
+from crosspanel.operators import wide
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans.book_queries import AHEAD, R6, r6
 from crosspanel.plans.factor_queries import LAGS, WITH, filled, w
@@ -131,15 +131,9 @@ def d1_ema(spark, d):
 
 
 def d2_window_function(spark, d):
-    """An own function over a frame of five weeks: here the span of the values, in Arrow batches."""
-
-    @F.pandas_udf("double")
-    def span(v: pd.Series) -> float:
-        return float(v.max() - v.min())
-
-    x = p.dense_bars(spark, d)
-    frame = f.by_code(5)
-    return x.select("date", "code", R6(F.when(F.count("close").over(frame) == 5, span("close").over(frame))).alias("v"))
+    """An own function over a frame of five weeks: here the span of the values, for a block of windows at a time."""
+    x = wide.framed(p.dense_bars(spark, d), "close", 5, lambda block: block.max(1) - block.min(1))
+    return x.select("date", "code", R6(F.col("v")).alias("v"))
 
 
 def d4_many_factors(spark, d):

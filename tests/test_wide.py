@@ -101,3 +101,20 @@ def test_rolled_holds_a_batch_and_the_rest_of_a_code(spark):
     x = x.withColumns({"open": F.col("close"), "volume": F.col("close"), "vwap": F.col("close"), "date": F.col("t")})
     plan = ft.matrix(x)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan and "FlatMapGroups" not in plan
+
+
+def test_own_function_gets_blocks_of_windows(spark):
+    x, rows = panel(spark, codes=30)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def span(block):
+        sizes.add(1)
+        return block.max(1) - block.min(1)
+
+    got = {(r["code"], r["t"]): r.v for r in wide.framed(x, "close", 3, span).collect()}
+    calls = sizes.value
+    for c, t, *_ in rows:
+        past = [r[2] for r in rows if r[0] == c and t - 3 < r[1] <= t]
+        want = max(past) - min(past) if len(past) == 3 and None not in past else None
+        assert got[c, t] == want
+    assert 0 < calls <= 8  # at most two for a partition, not one for each of 1,200 rows
