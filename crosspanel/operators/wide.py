@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
@@ -168,20 +168,42 @@ def rolling(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tin
     return _by_key(panel, by, order, [f"{k}{d}" for d in windows for k in family], make)
 
 
-def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str = "code") -> DataFrame:
-    """by, key and for each feature the average rank among the day's values over their number, less one half; null where the feature is. A day is ranked in one go, for all features."""
-    features = list(features)
+def _average_ranks(v: np.ndarray) -> np.ndarray:
+    """The rank of each value among those that are there, ties in the middle; NaN where it is NaN."""
+    order = np.argsort(v, kind="stable")  # NaN is last
+    n = len(v) - np.count_nonzero(np.isnan(v))
+    s = v[order[:n]]
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    size = np.diff(np.append(begin, n))
+    out = np.full(len(v), np.nan)
+    out[order[:n]] = np.repeat(begin + (size + 1) / 2, size)
+    return out
 
-    def one(day: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([day[[by, key]], (day[features].rank(pct=True) - 0.5)], axis=1)
 
-    kinds = dict(x.dtypes)
-    made = x.select(by, key, *features).groupBy(by).applyInPandas(one, f"{by} {kinds[by]}, {key} {kinds[key]}, " + ", ".join(f"`{f}` double" for f in features))
-    return made.select(by, key, *(F.nanvl(f, F.lit(None).cast("double")).alias(f) for f in features))
+def _numbers(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].cast(pa.float64()).to_numpy()
+
+
+def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str = "code", keep: Sequence[str] = ()) -> DataFrame:
+    """by, key, the columns `keep` and for each feature the average rank among the day's values over their number, less one half; null where the feature is. A day is ranked in one go, one column of
+    numbers at a time."""
+    features, kept = list(features), [by, key, *keep]
+
+    def one(t: pa.Table) -> pa.Table:
+        made = []
+        for f in features:
+            rank = _average_ranks(_numbers(t, f))
+            made.append(pa.array(rank / np.count_nonzero(~np.isnan(rank)) - 0.5, from_pandas=True))
+        return pa.table([*(t[n] for n in kept), *made], names=[*kept, *features])
+
+    x = x.select(*kept, *features)
+    return x.groupBy(by).applyInArrow(one, StructType([*(x.schema[n] for n in kept), *(StructField(f, DoubleType()) for f in features)]))
 
 
-def _ranks(v: np.ndarray) -> np.ndarray:
-    return pd.DataFrame(v).rank().to_numpy()
+def rounded(c: Column, digits: int) -> Column:
+    """`c` and a billionth, rounded as SQL's round does, by a product and a quotient: Spark's own goes by the decimal text of each number. For numbers that are finite, and no tie once the billionth is added."""
+    scale = 10.0**digits
+    return F.rint((c.cast("double") + 1e-9) * scale) / scale + 0.0
 
 
 def day_coefficients(x: DataFrame, features: Sequence[str], target: str, least: int, by: str = "date") -> DataFrame:
@@ -199,12 +221,15 @@ def day_coefficients(x: DataFrame, features: Sequence[str], target: str, least:
             n, some = int(names.sum()), np.flatnonzero(which.ravel() == k)
             if n < least:
                 continue
-            a = _ranks(v[names][:, some])
-            b = _ranks(r[names][:, None])[:, 0]
-            a, b = a - a.mean(0), b - b.mean()
-            with np.errstate(invalid="ignore", divide="ignore"):
-                c = (a * b[:, None]).sum(0) / np.sqrt((a**2).sum(0) * (b**2).sum())
-            out += [(features[f], n, float(q)) for f, q in zip(some, c) if np.isfinite(q)]
+            b = _average_ranks(r[names])
+            b -= b.mean()
+            for f in some:
+                a = _average_ranks(v[names, f])
+                a -= a.mean()
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    q = float((a * b).sum() / np.sqrt((a**2).sum() * (b**2).sum()))
+                if np.isfinite(q):
+                    out.append((features[f], n, q))
         return pd.DataFrame(out, columns=["feature", "n", "ic"]).assign(**{by: day[by].iloc[0] if len(day) else None})[[by, "feature", "n", "ic"]]
 
     return x.select(by, target, *features).groupBy(by).applyInPandas(one, f"{by} {dict(x.dtypes)[by]}, feature string, n long, ic double")

@@ -11,7 +11,7 @@ from crosspanel.plans import book_queries as bk
 from crosspanel.plans import research_queries as rq
 from crosspanel.plans.book_queries import AHEAD, R6, r6
 from crosspanel.plans.factor_queries import WITH
-from crosspanel.plans.panel_queries import CANDLES, PREPARED, R4, r4, rolling_exprs
+from crosspanel.plans.panel_queries import CANDLES, PREPARED, r4, rolling_exprs
 from crosspanel.plans.research_queries import RANKED, corr_sql
 from crosspanel.sources import files
 from crosspanel.sources import panel as p
@@ -29,11 +29,11 @@ def matrix(spark, d) -> DataFrame:
 
 
 def w38_all_features(spark, d):
-    return ft.matrix(p.dense_bars(spark, d)).select("date", "code", *(R4(F.col(c)).alias(c) for c in NAMES))
+    return ft.matrix(p.dense_bars(spark, d)).select("date", "code", *(wide.rounded(F.col(c), 4).alias(c) for c in NAMES))
 
 
 def w39_all_feature_ranks(spark, d):
-    return wide.day_ranks(matrix(spark, d), NAMES).select("date", "code", *(R6(F.col(c)).alias(c) for c in NAMES))
+    return wide.day_ranks(matrix(spark, d), NAMES).select("date", "code", *(wide.rounded(F.col(c), 6).alias(c) for c in NAMES))
 
 
 def a19_all_features(spark, d):

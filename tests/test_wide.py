@@ -118,3 +118,20 @@ def test_own_function_gets_blocks_of_windows(spark):
         want = max(past) - min(past) if len(past) == 3 and None not in past else None
         assert got[c, t] == want
     assert 0 < calls <= 8  # at most two for a partition, not one for each of 1,200 rows
+
+
+def test_rounded_is_the_round_of_sql(spark, sf_dir):
+    """As DuckDB rounds; the wide queries go by no decimal text of each number."""
+    import duckdb
+
+    from crosspanel.plans import wide_queries as wq
+
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-7, 7) for _ in range(3000)] + [0.0, -0.0, 0.5, -0.12345, 1.00005, -2.5, 8388607.5]
+    x = pd.DataFrame({"id": range(len(values)), "v": np.array(values, np.float32)})
+    got = spark.createDataFrame(x).orderBy("id").select(wide.rounded(F.col("v"), 4).alias("a"), wide.rounded(F.col("v"), 6).alias("b")).toPandas()
+    want = duckdb.sql("SELECT round(CAST(v AS DOUBLE) + 1e-9, 4) + 0.0 AS a, round(CAST(v AS DOUBLE) + 1e-9, 6) + 0.0 AS b FROM x ORDER BY id").df()
+    assert (got == want).all().all()
+    for query in (wq.w38_all_features, wq.w39_all_feature_ranks):
+        assert " round(" not in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in wide.day_ranks(table(spark)[0], ["a"])._jdf.queryExecution().executedPlan().toString()
