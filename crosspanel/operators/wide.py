@@ -14,7 +14,8 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 ORDERED = ("qtlu", "qtld", "rank", "imax", "imin", "imxd")
 
@@ -200,6 +201,56 @@ def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str
     return x.groupBy(by).applyInArrow(one, StructType([*(x.schema[n] for n in kept), *(StructField(f, DoubleType()) for f in features)]))
 
 
+def day_places(x: DataFrame, value: str, by: str = "date", key: str = "code") -> DataFrame:
+    """`x` with the day's p (the average rank of `value` over their number), position (from 1, the largest value first, equal ones by key) and n (the day's rows)."""
+    schema = StructType([*x.schema.fields, StructField("p", DoubleType()), StructField("position", IntegerType()), StructField("n", LongType())])
+
+    def one(t: pa.Table) -> pa.Table:
+        v = _numbers(t, value)
+        rank = _average_ranks(v)
+        position = np.empty(len(v), np.int32)
+        position[np.lexsort((t[key].to_numpy(), -v))] = np.arange(1, len(v) + 1)
+        p = pa.array(rank / np.count_nonzero(~np.isnan(rank)), from_pandas=True)
+        return pa.table([*t.columns, p, pa.array(position), pa.array(np.full(len(v), len(v)))], names=schema.names)
+
+    return x.groupBy(by).applyInArrow(one, schema)
+
+
+def paired_ranks(x: DataFrame, features: Sequence[str], target: str, least: int, by: str = "date", key: str = "code") -> DataFrame:
+    """by, key, factor, the target, rx and rw (average ranks of the feature and of the target among the day's names that have both) and n, the number of such names: a row for each feature and name,
+    where there are `least`."""
+    features = list(features)
+    kept = [x.schema[n] for n in (by, key)]
+    numbers = [StructField(n, DoubleType()) for n in (target, "rx", "rw")]
+    schema = StructType([*kept, StructField("factor", StringType()), *numbers, StructField("n", LongType())])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
+
+    def one(t: pa.Table) -> pa.Table:
+        r, parts = _numbers(t, target), []
+        for f in features:
+            v = _numbers(t, f)
+            both = np.flatnonzero(~np.isnan(v) & ~np.isnan(r))
+            n = len(both)
+            if n >= least:
+                made = (r[both], _average_ranks(v[both]), _average_ranks(r[both]), np.full(n, n))
+                parts.append(pa.table([*(t[k.name].take(pa.array(both)) for k in kept), pa.repeat(f, n), *map(pa.array, made)], names=list(kinds)))
+        return pa.concat_tables(parts) if parts else pa.schema(kinds.items()).empty_table()
+
+    return x.select(by, key, target, *features).groupBy(by).applyInArrow(one, schema)
+
+
+def ranks_within(x: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`x` with `columns` replaced by their average ranks among the rows of `by`."""
+    schema = StructType([StructField(f.name, DoubleType()) if f.name in set(columns) else f for f in x.schema])
+
+    def one(t: pa.Table) -> pa.Table:
+        for c in columns:
+            t = t.set_column(t.schema.get_field_index(c), c, pa.array(_average_ranks(_numbers(t, c)), from_pandas=True))
+        return t
+
+    return x.groupBy(*by).applyInArrow(one, schema)
+
+
 def rounded(c: Column, digits: int) -> Column:
     """`c` and a billionth, rounded as SQL's round does, by a product and a quotient: Spark's own goes by the decimal text of each number. For numbers that are finite, and no tie once the billionth is added."""
     scale = 10.0**digits
@@ -235,27 +286,49 @@ def day_coefficients(x: DataFrame, features: Sequence[str], target: str, least:
     return x.select(by, target, *features).groupBy(by).applyInPandas(one, f"{by} {dict(x.dtypes)[by]}, feature string, n long, ic double")
 
 
+def _correlations(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column of `a` with each of `b` the number of rows that have both, and their correlation there; NaN where one is constant. They are six products of the matrices."""
+    ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    n = ma.T @ mb
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sx, sy = a.T @ mb / n, ma.T @ b / n
+        cov = a.T @ b / n - sx * sy
+        va, vb = (a**2).T @ mb / n - sx**2, ma.T @ b**2 / n - sy**2
+        return n, np.where((va > 1e-9) & (vb > 1e-9), cov / np.sqrt(va * vb), np.nan)
+
+
+def _correlated(day, by: str, left: list[str], right: list[str], n: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    i, j = np.nonzero(np.isfinite(c))
+    return pd.DataFrame({by: day, "one": np.array(left)[i], "other": np.array(right)[j], "n": n[i, j].astype(int), "c": c[i, j]})
+
+
 def day_correlations(x: DataFrame, left: Sequence[str], right: Sequence[str], by: str = "date") -> DataFrame:
-    """by, one, other, n and c: on each day the correlation of each column of `left` with each of `right` over the n names that have both; none where one is constant. A day's sums, squares and products
-    are six products of its matrices, so no row is made for a pair and a name."""
+    """by, one, other, n and c: on each day the correlation of each column of `left` with each of `right` over the n names that have both; none where one is constant. No row is made for a pair and a name."""
     left, right = list(left), list(right)
 
     def one(day: pd.DataFrame) -> pd.DataFrame:
-        a, b = day[left].to_numpy(float), day[right].to_numpy(float)
-        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-        a, b = np.nan_to_num(a), np.nan_to_num(b)
-        n = ma.T @ mb
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sx, sy = a.T @ mb / n, ma.T @ b / n
-            cov = a.T @ b / n - sx * sy
-            va, vb = (a**2).T @ mb / n - sx**2, ma.T @ b**2 / n - sy**2
-            c = np.where((va > 1e-9) & (vb > 1e-9), cov / np.sqrt(va * vb), np.nan)
-        i, j = np.nonzero(np.isfinite(c))
-        return pd.DataFrame({by: day[by].iloc[0], "one": np.array(left)[i], "other": np.array(right)[j], "n": n[i, j].astype(int), "c": c[i, j]})
+        return _correlated(day[by].iloc[0], by, left, right, *_correlations(day[left].to_numpy(float), day[right].to_numpy(float)))
 
     return x.select(by, *dict.fromkeys([*left, *right])).groupBy(by).applyInPandas(one, f"{by} {dict(x.dtypes)[by]}, one string, other string, n long, c double")
 
 
+def factor_correlations(x: DataFrame, names: Sequence[str], value: str = "rx", by: str = "date", key: str = "code", factor: str = "factor") -> DataFrame:
+    """`day_correlations` of all pairs of the factors `names`, where `x` has a row for each factor and name: a day's rows are laid side by side where it is, so no pivot moves them before."""
+    names = list(names)
+
+    def one(t: pa.Table) -> pa.Table:
+        codes, row = np.unique(t[key].to_numpy(), return_inverse=True)
+        kinds = t[factor].combine_chunks().dictionary_encode()
+        place = np.array([names.index(n) for n in kinds.dictionary.to_pylist()], int)
+        m = np.full((len(codes), len(names)), np.nan)
+        m[row, place[kinds.indices.to_numpy()]] = _numbers(t, value)
+        return pa.Table.from_pandas(_correlated(t[by][0].as_py(), by, names, names, *_correlations(m, m)), schema, preserve_index=False)
+
+    schema = pa.schema([(by, to_arrow_type(x.schema[by].dataType)), ("one", pa.string()), ("other", pa.string()), ("n", pa.int64()), ("c", pa.float64())])
+    return x.where(F.col(factor).isin(names)).select(by, key, factor, value).groupBy(by).applyInArrow(one, f"{by} {dict(x.dtypes)[by]}, one string, other string, n long, c double")
+
+
 def finite(x: DataFrame, features: Sequence[str]) -> DataFrame:
     """`x` with its features as 32-bit numbers, those that are none or infinite null."""
     good = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).cast(FloatType()).alias(c)

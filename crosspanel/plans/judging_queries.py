@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crosspanel.functions import factors as f
 from crosspanel.functions import features as ft
 from crosspanel.operators import scoring as s
+from crosspanel.operators import wide
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans import research_queries as rq
 from crosspanel.plans.book_queries import AHEAD, R6, r6
@@ -184,8 +185,7 @@ def markets(spark, d) -> DataFrame:
     """By factor and market (odd and even codes, each ranked on its own) the mean coefficient and its t."""
     x = rq.ranked(spark, d).withColumn("market", F.col("code") % 2)
     day = ("market", "date", "factor")
-    rank = lambda c: F.rank().over(Window.partitionBy(*day).orderBy(c)) + (F.count("*").over(Window.partitionBy(*day, c)) - 1) / 2
-    ic = x.select(*day, rank("rx").alias("rx"), rank("rw").alias("rw")).groupBy(*day).agg(F.count("*").alias("k"), rq.corr("rx", "rw").alias("ic")).where(F.col("k") >= rq.LEAST_NAMES)
+    ic = wide.ranks_within(x.select(*day, "rx", "rw"), day, ("rx", "rw")).groupBy(*day).agg(F.count("*").alias("k"), rq.corr("rx", "rw").alias("ic")).where(F.col("k") >= rq.LEAST_NAMES)
     m, sd, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
     return ic.groupBy("factor", "market").agg(m.alias("ic"), (m / sd * F.sqrt(n)).alias("t"))
 

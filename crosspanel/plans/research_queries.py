@@ -30,10 +30,7 @@ def ranked(spark, d) -> DataFrame:
     """date, code, factor, fwd, rx and rw (ranks of factor and forward return among the names that have both) and n (such names)."""
     c, ahead = F.col("close"), lambda k: F.lead("open", k).over(f.by_code())
     x = p.dense_bars(spark, d).select("date", "code", c.alias("level"), F.col("volume").cast("double").alias("size"), (c / f.ref(c, 3)).alias("move"), (F.col("high") / F.col("low")).alias("range"), (ahead(6) / ahead(1) - 1).alias("fwd"))
-    long = x.unpivot(["date", "code", "fwd"], ["level", "size", "move", "range"], "factor", "x").where("x is not null and fwd is not null")
-    day = ("date", "factor")
-    rank = lambda e: F.rank().over(Window.partitionBy(*day).orderBy(e)) + (F.count("*").over(Window.partitionBy(*day, e)) - 1) / 2
-    return long.select("date", "code", "factor", "fwd", rank("x").alias("rx"), rank("fwd").alias("rw"), F.count("*").over(Window.partitionBy(*day)).alias("n")).where(F.col("n") >= LEAST_NAMES)
+    return wide.paired_ranks(x, ["level", "size", "move", "range"], "fwd", LEAST_NAMES)
 
 
 def judged(x: DataFrame) -> DataFrame:
@@ -54,8 +51,7 @@ def closest(x: DataFrame, judge: DataFrame) -> DataFrame:
     """For each factor the stronger one (by |t|) whose ranks are most like its own, by the mean correlation over dates."""
     t = judge.select(F.col("factor").alias("one"), F.abs("t").alias("t"))
     names = sorted(r.factor for r in judge.select("factor").collect())  # a row for each factor
-    ranks = x.groupBy("date", "code").pivot("factor", names).agg(F.first("rx"))
-    days = wide.day_correlations(ranks, names, names).where(F.col("n") >= LEAST_NAMES)
+    days = wide.factor_correlations(x, names).where(F.col("n") >= LEAST_NAMES)
     each = days.groupBy("one", "other").agg(F.abs(F.avg("c")).alias("c"))
     stronger = t.select(F.col("one").alias("other"), F.col("t").alias("u"))
     each = each.join(t, "one").join(stronger, "other").where("u > t").select(F.col("one").alias("factor"), "other", "c")
@@ -84,8 +80,7 @@ def a25_transfer(spark, d):
     """Coefficients of the same factors in two markets, here odd and even codes, each ranked on its own."""
     x = ranked(spark, d).withColumn("market", F.col("code") % 2)
     day = ("market", "date", "factor")
-    rank = lambda c: F.rank().over(Window.partitionBy(*day).orderBy(c)) + (F.count("*").over(Window.partitionBy(*day, c)) - 1) / 2
-    ic = x.select(*day, rank("rx").alias("rx"), rank("rw").alias("rw")).groupBy(*day).agg(F.count("*").alias("k"), corr("rx", "rw").alias("ic")).where(F.col("k") >= LEAST_NAMES)
+    ic = wide.ranks_within(x.select(*day, "rx", "rw"), day, ("rx", "rw")).groupBy(*day).agg(F.count("*").alias("k"), corr("rx", "rw").alias("ic")).where(F.col("k") >= LEAST_NAMES)
     m, s, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
     each = ic.groupBy("factor", "market").agg(m.alias("ic"), (m / s * F.sqrt(n)).alias("t"))
     of = lambda c, k: F.max(F.when(F.col("market") == k, F.col(c)))

@@ -136,3 +136,31 @@ def test_rounded_is_the_round_of_sql(spark, sf_dir):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan()
         assert "rint(" in plan.toString().lower() and " round(" not in plan.expressions().mkString(" ").lower()
     assert "FlatMapGroupsInArrow" in wide.day_ranks(table(spark)[0], ["a"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_day_ranks_of_names_by_brute_force(spark):
+    """Ranks of names that have both values, places, ranks in groups and correlations of factors, against pandas; ties and gaps among them. None of them is a window of Spark's, which held its rows once for each order."""
+    x, rows = table(spark)
+    both = wide.paired_ranks(x, ["a", "b"], "r", 25)
+    got = {(r.date, r.code, r.factor): (r.r, r.rx, r.rw, r.n) for r in both.collect()}
+    want = {}
+    for day, g in rows.groupby("date"):
+        for f in ("a", "b"):
+            s = g[["code", f, "r"]].dropna()
+            if len(s) >= 25:
+                want |= {(day, c, f): (r, rx, rw, len(s)) for c, r, rx, rw in zip(s["code"], s["r"], s[f].rank(), s["r"].rank())}
+    assert got == want and 0 < len(want)
+    again = wide.ranks_within(both.select("date", "factor", (F.col("code") % 2).alias("market"), "code", "rx"), ["market", "date", "factor"], ["rx"])
+    w = pd.DataFrame([(*k, v[1]) for k, v in want.items()], columns=["date", "code", "factor", "rx"])
+    w["rx"] = w.groupby([w["code"] % 2, "date", "factor"])["rx"].rank()
+    assert {(r.date, r.code, r.factor): r.rx for r in again.collect()} == {(d, c, f): v for d, c, f, v in w.itertuples(index=False)}
+    pairs = {(r.date, r.one, r.other): (r.n, round(r.c, 9)) for r in wide.factor_correlations(both, ["a", "b"]).collect()}
+    wide_ranks = both.groupBy("date", "code").pivot("factor", ["a", "b"]).agg(F.first("rx"))
+    assert pairs == {(r.date, r.one, r.other): (r.n, round(r.c, 9)) for r in wide.day_correlations(wide_ranks, ["a", "b"], ["a", "b"]).collect()} and pairs
+    places = {(r.date, r.code): (r.p, r.position, r.n) for r in wide.day_places(x.select("date", "code", "a"), "a").collect()}
+    for day, g in rows.groupby("date"):
+        g = g.assign(p=g["a"].rank(pct=True)).sort_values(["a", "code"], ascending=[False, True])
+        for k, (c, p) in enumerate(zip(g["code"], g["p"]), 1):
+            assert places[day, c] == (None if pd.isna(p) else p, k, len(g))
+    for made in (both, again, wide.day_places(x, "a"), wide.factor_correlations(both, ["a", "b"])):
+        assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
