@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
+from crosspanel.operators import wide
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans import health_queries as hq
 from crosspanel.plans.book_queries import R6, WEEKS, r6
@@ -92,8 +93,7 @@ def u4_completeness(spark, d):
 
 def ranked_book(spark, d) -> DataFrame:
     """variant top: date, code, p, position, in_book, r, and the week's number of names n."""
-    day = Window.partitionBy("date")
-    x = p.bars(spark, d).select("date", "code", f.cs_rank(F.col("value")).alias("p"), F.row_number().over(day.orderBy(F.desc("value"), "code")).alias("position"), F.count("*").over(day).alias("n"))
+    x = wide.day_places(p.bars(spark, d).select("date", "code", "value"), "value").select("date", "code", "p", "position", "n")
     return x.withColumn("in_book", F.col("position") <= bk.SLOTS).join(bk.ahead(spark, d), ["date", "code"], "left")
 
 
@@ -102,16 +102,27 @@ def t6_ranked_list(spark, d):
     return ranked_book(spark, d).select("date", "code", "position", "in_book", R6(F.col("p")).alias("p"))
 
 
+#: What a centred rank of each column adds.
+WEIGHTS = {"value": 1.0, "volume": 0.5, "high": -0.4, "low": 0.3, "close": -0.2, "open": 0.1}
+
+
+def side_by_side(spark, d) -> DataFrame:
+    """date, code and for each feature its contribution: centred ranks times fixed weights."""
+    x = wide.day_ranks(p.bars(spark, d), list(WEIGHTS))
+    return x.select("date", "code", *(R6(F.col(c) * w).alias(c) for c, w in WEIGHTS.items()))
+
+
 def contributions(spark, d) -> DataFrame:
-    """date, code, feature and contribution: centred ranks times fixed weights."""
-    x = p.bars(spark, d).select("date", "code", *(R6((f.cs_rank(F.col(c)) - 0.5) * w).alias(c) for c, w in (("value", 1.0), ("volume", 0.5), ("high", -0.4), ("low", 0.3), ("close", -0.2), ("open", 0.1))))
-    return x.unpivot(["date", "code"], ["value", "volume", "high", "low", "close", "open"], "feature", "contribution")
+    """date, code, feature and contribution."""
+    return side_by_side(spark, d).unpivot(["date", "code"], list(WEIGHTS), "feature", "contribution")
 
 
 def t5_top_reasons(spark, d):
-    """The five features that move each code of a week most."""
-    rank = F.row_number().over(Window.partitionBy("date", "code").orderBy(F.desc(F.abs("contribution")), "feature"))
-    return contributions(spark, d).withColumn("k", rank).where("k <= 5")
+    """The five features that move each code of a week most. They stand in one row, so they are put in order there."""
+    one = lambda c: F.struct(F.coalesce(-F.abs(c), F.lit(1.0)).alias("order"), F.lit(c).alias("feature"), F.col(c).alias("contribution"))
+    first = F.slice(F.sort_array(F.array(*map(one, WEIGHTS))), 1, 5)
+    x = side_by_side(spark, d).select("date", "code", F.posexplode(first).alias("k", "one"))
+    return x.select("date", "code", "one.feature", "one.contribution", (F.col("k") + 1).alias("k"))
 
 
 def sector_effects(x: DataFrame) -> DataFrame:
@@ -147,8 +158,7 @@ def postmortem(spark, d) -> DataFrame:
     x = ranked_book(spark, d)
     some = x.where("r is not null")
     day = Window.partitionBy("date")
-    rank = lambda c: F.rank().over(day.orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2
-    ic = some.select("date", rank("p").alias("a"), rank("r").alias("c")).groupBy("date").agg(F.corr("a", "c").alias("rank_ic"))
+    ic = wide.day_coefficients(some, ["p"], "r", 1).select("date", F.col("ic").alias("rank_ic"))
     mean = lambda e: F.avg(F.when(e, F.col("r")))
     sums = x.groupBy("date").agg(mean(F.col("in_book")).alias("book"), F.avg("r").alias("equal"), F.count("r").alias("names"), F.count_if("in_book").alias("size"), (mean(F.col("position") <= bk.SLOTS) - mean(F.col("position") > F.col("n") - bk.SLOTS)).alias("top_less_bottom"))
     picks = some.where("in_book").withColumns({"up": F.row_number().over(day.orderBy(F.desc("r"), "code")), "down": F.row_number().over(day.orderBy("r", "code"))})
@@ -158,7 +168,7 @@ def postmortem(spark, d) -> DataFrame:
     used = why.groupBy("date", "feature").agg(F.sum(F.abs("contribution")).alias("size"), F.count_if(F.col("contribution") > 0).alias("stocks"), F.avg(F.when(F.col("contribution") > 0, F.col("r"))).alias("favoured"))
     used = used.withColumn("k", F.row_number().over(day.orderBy(F.desc(F.round("size", 6)), "feature"))).where("k <= 3")
     reasons = used.groupBy("date").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "feature", "stocks"))), lambda s: F.concat_ws(":", s["feature"], s["stocks"].cast("string"))), ",").alias("reasons"), F.max_by("favoured", -F.col("k")).alias("favoured_return"))
-    made = sums.where(F.col("names") >= LEAST_NAMES).join(ic, "date").join(best, "date", "left").join(reasons, "date", "left").join(bk.market(spark, d), "date", "left")
+    made = sums.where(F.col("names") >= LEAST_NAMES).join(ic, "date", "left").withColumn("rank_ic", F.coalesce("rank_ic", F.lit(float("nan")))).join(best, "date", "left").join(reasons, "date", "left").join(bk.market(spark, d), "date", "left")
     return made.where("book is not null and bench is not null")
 
 
