@@ -127,7 +127,8 @@ def a47_model_reasons(spark, d):
 
 
 def d1_ema(spark, d):
-    return p.dense_bars(spark, d).select("date", "code", (F.round(f.factor(("EMA", "close", 6)).cast("double") + 1e-9, 4) + 0.0).alias("v"))
+    x = wide.ema(p.dense_bars(spark, d).select("date", "code", "t", "close"), "close", 6)
+    return x.select("date", "code", (F.round(F.col("v") + 1e-9, 4) + 0.0).alias("v"))
 
 
 def d2_window_function(spark, d):

@@ -164,3 +164,17 @@ def test_day_ranks_of_names_by_brute_force(spark):
             assert places[day, c] == (None if pd.isna(p) else p, k, len(g))
     for made in (both, again, wide.day_places(x, "a"), wide.factor_correlations(both, ["a", "b"])):
         assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("d", [1, 6])
+def test_ema_is_what_the_window_folds(spark, d):
+    """Against the fold of factors.ema, with gaps; the plan folds no frame for each row."""
+    from crosspanel.functions import factors as f
+
+    x, rows = panel(spark, codes=5, weeks=60)
+    want = {(r["code"], r["t"]): r.v for r in x.select("code", "t", f.ema(F.col("close"), d).alias("v")).collect()}
+    made = wide.ema(x, "close", d)
+    got = {(r["code"], r["t"]): r.v for r in made.collect()}
+    assert set(got) == set(want) and len(got) == len(rows)
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
