@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +59,16 @@ def zipped_days(spark, d) -> DataFrame:
         names = raw.NEW if new else raw.OLD
         x = x.drop(columns="date").rename(columns=names).assign(**{names["date"]: "01-JAN-1900"})
         if new:
-            others = x.assign(Sgmt="FO")
-            x = x.assign(Sgmt="CM", FinInstrmTp="STK")
-            x = x.__class__.from_records([*x.to_dict("records"), *others.assign(FinInstrmTp="STK").to_dict("records")])
+            others = x.assign(Sgmt="FO", FinInstrmTp="STK")
+            x = pd.concat([x.assign(Sgmt="CM", FinInstrmTp="STK"), others], ignore_index=True)
         if n % 3 == 0:
             x.columns = [f" {c.upper()} " for c in x.columns]
         if n % 101 == 5:
             x = x.drop(columns=[c for c in x.columns if c.strip().upper() == names["close"].upper()])
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(zipfile.ZipInfo("readme.txt" if n % 31 == 7 else "day.CSV"), x.to_csv(index=False))
+            with z.open(zipfile.ZipInfo("readme.txt" if n % 31 == 7 else "day.CSV"), "w") as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
+                x.to_csv(text, index=False, chunksize=10_000)
         content = out.getvalue()
         return x.__class__([(f"{day:%Y}/{day:%Y%m%d}.csv.zip", content[: len(content) // 2] if n % 97 == 13 else content)], columns=["path", "content"])
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +50,22 @@ MARKS = {"segment": "Sgmt", "instrument": "FinInstrmTp"}
 NUMBERS = tuple(k for k in OLD if k not in ("date", *TEXTS))
 
 
-def _day_columns(content: bytes) -> dict[str, list[str | None]]:
-    """The fields of one zipped day as texts. Columns are found by any of their names, whatever blanks and capitals; ValueError says why there are none."""
+#: Rows of a day's file that are taken apart at a time.
+PIECE = 10_000
+
+
+def _day_pieces(content: bytes) -> Iterator[dict[str, list]]:
+    """The fields of one zipped day as texts, PIECE rows at a time. Columns are found by any of their names, whatever blanks and capitals; ValueError, before any piece, says why there are none."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             inside = [n for n in z.namelist() if n.lower().endswith(".csv")]
             if not inside:
                 raise ValueError("no CSV inside")
-            table = list(csv.reader(io.StringIO(z.read(inside[0]).decode("utf-8-sig", "replace")), skipinitialspace=True))
+            text = z.read(inside[0])
     except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
         raise ValueError("no archive") from e
-    header = {name.strip().lower(): k for k, name in reversed(list(enumerate(table[0] if table else [])))}
+    table = csv.reader(io.TextIOWrapper(io.BytesIO(text), "utf-8-sig", "replace", newline="\n"), skipinitialspace=True)
+    header = {name.strip().lower(): k for k, name in reversed(list(enumerate(next(table, []))))}
     places = {}
     for field in (*TEXTS, *NUMBERS):
         known = [header[n.lower()] for n in (OLD[field], NEW[field]) if n.lower() in header]
@@ -66,9 +73,11 @@ def _day_columns(content: bytes) -> dict[str, list[str | None]]:
             raise ValueError(f"no column for {field}")
         places[field] = known[0] if known else None
     places |= {field: header.get(n.lower()) for field, n in MARKS.items()}
+    marked = any(places[k] is not None for k in MARKS)
     cell = lambda row, k: row[k].strip() or None if k is not None and k < len(row) else None
-    rows = [r for r in table[1:] if r]
-    return {field: [cell(r, k) for r in rows] for field, k in places.items()} | {"marked": [m for m in [any(places[k] is not None for k in MARKS)] for _ in rows]}
+    while some := list(itertools.islice(table, PIECE)):
+        rows = [r for r in some if r]
+        yield {field: [cell(r, k) for r in rows] for field, k in places.items()} | {"marked": [marked] * len(rows)}
 
 
 def zipped_day_files(found: DataFrame) -> DataFrame:
@@ -76,6 +85,9 @@ def zipped_day_files(found: DataFrame) -> DataFrame:
     row, could not be read. Each file is a task's work by itself, and its header is matched by itself."""
     kinds = {"file": pa.string(), "day": pa.string(), "error": pa.string(), "marked": pa.bool_()} | {k: pa.string() for k in (*MARKS, *TEXTS, *NUMBERS)}
 
+    def batch(columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))
+
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
@@ -84,12 +96,11 @@ def zipped_day_files(found: DataFrame) -> DataFrame:
                 try:
                     if not (len(day) == 8 and day.isdigit()):
                         raise ValueError("no day in the name")
-                    columns = _day_columns(content.as_py() or b"")
-                    n = len(columns["symbol"])
-                    columns |= {"file": [file] * n, "day": [day] * n, "error": [None] * n}
+                    for columns in _day_pieces(content.as_py() or b""):
+                        n = len(columns["symbol"])
+                        yield batch(columns | {"file": [file] * n, "day": [day] * n, "error": [None] * n})
                 except ValueError as e:
-                    columns = {k: [None] for k in kinds} | {"file": [file], "day": [day], "error": [str(e)]}
-                yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))
+                    yield batch({k: [None] for k in kinds} | {"file": [file], "day": [day], "error": [str(e)]})
 
     return found.mapInArrow(run, ", ".join(f"{k} {'boolean' if t == pa.bool_() else 'string'}" for k, t in kinds.items()))
 

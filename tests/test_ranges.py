@@ -116,3 +116,26 @@ def test_binary_series_from_files(spark):
     files.write_binary(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary"), base)
     got = [(r.path.split("/")[-2], r.at, r.value) for r in raw.binary_series(files.read_binary(spark, base, "*.bin")).orderBy("at").collect()]
     assert got == [("7", 3, 1.5), ("7", 4, None), ("7", 5, 2.5)]
+
+
+def test_zipped_day_is_taken_apart_in_pieces(monkeypatch):
+    """Never all rows of a day at once, whose lists of texts took most of a worker's memory; empty lines go, and a bad header is told before any piece."""
+    import io
+    import zipfile
+
+    from crosspanel.sources import raw
+
+    def packed(text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("day.csv", text)
+        return out.getvalue()
+
+    monkeypatch.setattr(raw, "PIECE", 3)
+    names = [raw.OLD[k] for k in (*raw.TEXTS, *raw.NUMBERS)]
+    lines = [",".join(names), *(",".join([f"S{k}", *"x" * (len(names) - 1)]) + ("\n" if k == 4 else "") for k in range(10))]
+    pieces = list(raw._day_pieces(packed("\n".join(lines))))
+    assert [s for p in pieces for s in p["symbol"]] == [f"S{k}" for k in range(10)]
+    assert len(pieces) == 4 and all(len(p["symbol"]) <= 3 and set(map(len, p.values())) == {len(p["symbol"])} for p in pieces)
+    with pytest.raises(ValueError, match="no column for close"):
+        next(raw._day_pieces(packed("\n".join(lines).replace("CLOSE", "OTHER", 1))))
