@@ -34,8 +34,9 @@ def feature_table(spark, d) -> DataFrame:
     x = p.dense_bars(spark, d).select("date", "code", "t", c.alias("level"), F.col("volume").alias("size"), (c / f.ref(c, 3)).alias("move"), (F.col("high") / F.col("low")).alias("range"), F.lead("date", 1).over(f.by_code()).alias("known")).where("level is not null")
     level = p.benchmark(p.bars(spark, d)).withColumn("series", F.lit("all"))
     market = level.select("date", (F.col("level") / F.lag("level", 4).over(Window.partitionBy("series").orderBy("date")) - 1).alias("mkt_ret4"))
-    ranks = [F.coalesce(f.cs_rank(F.round(k, 9)) - 0.5, F.lit(0.0)).alias(k) for k in FEATURES[:4]]
-    return x.select("date", "code", "t", "known", *(F.col(k).cast("double").alias(k) for k in FEATURES[:4])).select("date", "code", "t", "known", *ranks).join(F.broadcast(market), "date", "left")  # a row for each date
+    near = x.select("date", "code", "t", "known", *(F.round(F.col(k).cast("double"), 9).alias(k) for k in FEATURES[:4]))
+    ranks = wide.day_ranks(near, FEATURES[:4], keep=("t", "known")).select("date", "code", "t", "known", *(F.coalesce(k, F.lit(0.0)).alias(k) for k in FEATURES[:4]))
+    return ranks.join(F.broadcast(market), "date", "left")  # a row for each date
 
 
 def rows(spark, d) -> DataFrame:
