@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.operators import books as b
+from crosspanel.operators import wide
 from crosspanel.plans.factor_queries import LAGS, WITH
 from crosspanel.plans.panel_queries import BUY, SELL, SLOTS
 from crosspanel.plans.research_queries import drawn_start
@@ -27,7 +28,7 @@ def r6(e: str) -> str:
 
 def books(spark, d) -> DataFrame:
     """variant, date and code: the ten codes of the most value, and those of them whose rank of the day is sure enough."""
-    x = p.bars(spark, d).select("date", "code", f.cs_rank(F.col("value")).alias("p"), F.row_number().over(Window.partitionBy("date").orderBy(F.desc("value"), "code")).alias("k")).where(F.col("k") <= SLOTS)
+    x = wide.day_places(p.bars(spark, d).select("date", "code", "value"), "value").where(F.col("position") <= SLOTS)
     return x.select(F.lit("top").alias("variant"), "date", "code").union(x.where(F.col("p") >= SURE).select(F.lit("sure"), "date", "code"))
 
 

@@ -178,3 +178,12 @@ def test_ema_is_what_the_window_folds(spark, d):
     assert set(got) == set(want) and len(got) == len(rows)
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
     assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_of_books_and_models_hold_no_windows_of_a_day(spark, sf_dir):
+    """The books' places and the model table's ranks: a window by date held a day's rows once for each order."""
+    from crosspanel.plans import book_queries, model_queries
+
+    for made in (book_queries.books(spark, sf_dir), model_queries.feature_table(spark, sf_dir)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert " rank(" not in plan and "row_number(" not in plan
