@@ -20,11 +20,11 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, Stri
 ORDERED = ("qtlu", "qtld", "rank", "imax", "imin", "imxd")
 
 
-def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make) -> DataFrame:
-    """`x` with the columns `made`, which `make` fills from batches of whole keys: its arguments are the columns by name, missing values NaN, and each row's place in its key. Keys are sorted in their
+def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make, keep: Sequence[str] | None = None) -> DataFrame:
+    """`x` (of its columns only `keep`, if given) with the columns `made`, which `make` fills from batches of whole keys: its arguments are the columns by name, missing values NaN, and each row's place in its key. Keys are sorted in their
     partitions and pass through a task in batches, so a task holds a batch and the rest of one key."""
-    names = x.columns
-    schema = StructType([*x.schema.fields, *(StructField(n, DoubleType()) for n in made)])
+    names = x.columns if keep is None else list(keep)
+    schema = StructType([*(x.schema[n] for n in names), *(StructField(n, DoubleType()) for n in made)])
 
     def filled(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -32,7 +32,7 @@ def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make) -> Dat
         place = np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
         column = lambda n: t[n].cast(pa.float64()).to_numpy()
         out = make(column, place)
-        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in t.columns), *(pa.array(out[n], pa.float64(), from_pandas=True) for n in made)], names=[*names, *made])
+        return pa.RecordBatch.from_arrays([*(t[n].chunk(0) for n in names), *(pa.array(out[n], pa.float64(), from_pandas=True) for n in made)], names=[*names, *made])
 
     def run(batches):
         rest = []
@@ -134,52 +134,116 @@ def ema(panel: DataFrame, column: str, d: int, name: str = "v", by: str = "code"
     return _by_key(panel, by, order, [name], make)
 
 
+def _rolling(c, high, low, v, c1, v1, t, place: np.ndarray, windows: Sequence[int], family: Sequence[str], tiny: float) -> dict[str, np.ndarray]:
+    """The features of each window of rows; c1 and v1 are what the row before had, t the rows' places on the calendar (None: one after the other)."""
+    ratio = lambda a, b: a / np.where(np.abs(b) > tiny, b, np.nan)
+    rel, lv = ratio(c, c1), np.log(v + 1)
+    lvc, wv = np.log(ratio(v, v1) + 1), np.abs(rel - 1) * v
+    made = {}
+    for d in windows:
+        if len(place) < d:
+            made |= {f"{k}{d}": np.full(len(place), np.nan) for k in family}
+            continue
+        put = lambda x, d=d: _placed(x, place, d)
+        total = lambda x, d=d: _folded(x, d, np.add)
+        mean = lambda x, d=d: _folded(x, d, np.add) / d
+        off = lambda x, d=d: sliding_window_view(x, d) - mean(x, d)[:, None]
+        spread = lambda a: np.einsum("ij,ij->i", a, a)
+        std = lambda x, d=d: np.sqrt(spread(off(x, d)) / (d - 1))
+
+        def corr(x, y):
+            mx, my = mean(x), mean(y)
+            va, vb = mean(x * x) - mx * mx, mean(y * y) - my * my
+            return put((mean(x * y) - mx * my) / np.sqrt(np.maximum(va * vb, tiny)))
+
+        def slopes(around, d=d):
+            if t is None:
+                steps = np.arange(d) - (d - 1) / 2
+                return around @ steps / (steps @ steps)
+            steps = off(t)
+            return np.einsum("ij,ij->i", around, steps) / spread(steps)
+
+        around = off(c)
+        squares, slope = spread(around), slopes(around)
+        ma, top, bottom = put(mean(c)), put(_folded(high, d, np.maximum)), put(_folded(low, d, np.minimum))
+        su, sd, vu, vd = (put(total(np.maximum(x, 0))) for x in (c - c1, c1 - c, v - v1, v1 - v))
+        sa, va = su + sd + tiny, vu + vd + tiny
+        up, down = put(mean((c > c1).astype(float))), put(mean((c < c1).astype(float)))
+        out = _ordered(c, high, low, place, d)
+        out |= {
+            "roc": _before(c, place, d) / c, "ma": ma / c, "std": put(np.sqrt(squares / (d - 1))) / c, "beta": put(slope) / c, "rsqr": put(1 - (squares - slope**2 * (d * (d * d - 1) / 12)) / (squares + tiny)),
+            "resi": (c - (ma + put(slope) * ((d - 1) / 2))) / c, "max": top / c, "min": bottom / c, "qtlu": out["qtlu"] / c, "qtld": out["qtld"] / c, "rsv": (c - bottom) / (top - bottom + tiny),
+            "corr": corr(c, lv), "cord": corr(rel, lvc), "cntp": up, "cntn": down, "cntd": up - down, "sump": su / sa, "sumn": sd / sa, "sumd": (su - sd) / sa,
+            "vma": put(mean(v)) / (v + tiny), "vstd": put(std(v)) / (v + tiny), "wvma": put(std(wv)) / (put(mean(wv)) + tiny), "vsump": vu / va, "vsumn": vd / va, "vsumd": (vu - vd) / va,
+        }
+        made |= {f"{k}{d}": out[k] for k in family}
+    return made
+
+
 def rolling(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, by: str = "code", order: str = "t") -> DataFrame:
     """`panel` (dense: a row for each calendar row) with the features `family` of each window, as `features.rolling` defines them: f"{feature}{window}". All windows of a batch of codes are numpy blocks."""
 
     def make(column, place):
         c, high, low, v = (column(n) for n in ("close", "high", "low", "volume"))
         v = np.where(v > 0, v, np.nan)
-        c1, v1 = _before(c, place, 1), _before(v, place, 1)
-        ratio = lambda a, b: a / np.where(np.abs(b) > tiny, b, np.nan)
-        rel, lv = ratio(c, c1), np.log(v + 1)
-        lvc, wv = np.log(ratio(v, v1) + 1), np.abs(rel - 1) * v
-        made = {}
-        for d in windows:
-            if len(place) < d:
-                made |= {f"{k}{d}": np.full(len(place), np.nan) for k in family}
-                continue
-            put = lambda x, d=d: _placed(x, place, d)
-            total = lambda x, d=d: _folded(x, d, np.add)
-            mean = lambda x, d=d: _folded(x, d, np.add) / d
-            off = lambda x, d=d: sliding_window_view(x, d) - mean(x, d)[:, None]
-            spread = lambda a: np.einsum("ij,ij->i", a, a)
-            std = lambda x, d=d: np.sqrt(spread(off(x, d)) / (d - 1))
-
-            def corr(x, y):
-                mx, my = mean(x), mean(y)
-                va, vb = mean(x * x) - mx * mx, mean(y * y) - my * my
-                return put((mean(x * y) - mx * my) / np.sqrt(np.maximum(va * vb, tiny)))
-
-            around, steps = off(c), np.arange(d) - (d - 1) / 2
-            squares, slope = spread(around), around @ steps / (steps @ steps)
-            ma, top, bottom = put(mean(c)), put(_folded(high, d, np.maximum)), put(_folded(low, d, np.minimum))
-            su, sd, vu, vd = (put(total(np.maximum(x, 0))) for x in (c - c1, c1 - c, v - v1, v1 - v))
-            sa, va = su + sd + tiny, vu + vd + tiny
-            up, down = put(mean((c > c1).astype(float))), put(mean((c < c1).astype(float)))
-            out = _ordered(c, high, low, place, d)
-            out |= {
-                "roc": _before(c, place, d) / c, "ma": ma / c, "std": put(np.sqrt(squares / (d - 1))) / c, "beta": put(slope) / c, "rsqr": put(1 - (squares - slope**2 * (d * (d * d - 1) / 12)) / (squares + tiny)),
-                "resi": (c - (ma + put(slope) * ((d - 1) / 2))) / c, "max": top / c, "min": bottom / c, "qtlu": out["qtlu"] / c, "qtld": out["qtld"] / c, "rsv": (c - bottom) / (top - bottom + tiny),
-                "corr": corr(c, lv), "cord": corr(rel, lvc), "cntp": up, "cntn": down, "cntd": up - down, "sump": su / sa, "sumn": sd / sa, "sumd": (su - sd) / sa,
-                "vma": put(mean(v)) / (v + tiny), "vstd": put(std(v)) / (v + tiny), "wvma": put(std(wv)) / (put(mean(wv)) + tiny), "vsump": vu / va, "vsumn": vd / va, "vsumd": (vu - vd) / va,
-            }
-            made |= {f"{k}{d}": out[k] for k in family}
-        return made
+        return _rolling(c, high, low, v, _before(c, place, 1), _before(v, place, 1), None, place, windows, family, tiny)
 
     return _by_key(panel, by, order, [f"{k}{d}" for d in windows for k in family], make)
 
 
+def _nearest(v: np.ndarray, digits: int) -> np.ndarray:
+    """`v` rounded, halves away from zero, by a product and a quotient."""
+    y = v * 10.0**digits
+    r = np.rint(y)
+    with np.errstate(invalid="ignore"):
+        return np.where(np.abs(y - r) == 0.5, y + np.copysign(0.5, y), r) / 10.0**digits
+
+
+def rolling_rows(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, keep: Sequence[str], also: Sequence[str], digits: int, by: str = "code", order: str = "t") -> DataFrame:
+    """The columns `keep` of `panel` (any rows, `order` their places on the calendar), and rounded the columns `also` and the features `family` over the last rows that have a close, however far apart; a
+    change is one from the calendar row before, missing where that is. As `features.rolling` over the rows of a prepared dense panel that have a close; null on others."""
+    names = [f"{k}{d}" for d in windows for k in family]
+
+    def make(column, place):
+        c, high, low, v, t = (column(n) for n in ("close", "high", "low", "volume", order))
+        v = np.where(v > 0, v, np.nan)
+        near = _before(t, place, 1) == t - 1
+        c1, v1 = (np.where(near, _before(x, place, 1), np.nan) for x in (c, v))
+        there = ~np.isnan(c)
+        key = np.cumsum(place == 0)[there]
+        begin = np.flatnonzero(np.diff(key, prepend=0))
+        among = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
+        made = _rolling(*(x[there] for x in (c, high, low, v, c1, v1, t)), among, windows, family, tiny)
+        out = {k: _nearest(column(k), digits) for k in also} | {k: np.full(len(c), np.nan) for k in names}
+        for k in names:
+            out[k][there] = _nearest(made[k], digits)
+        return out
+
+    return _by_key(panel, by, order, [*also, *names], make, keep)
+
+
+def totals(x: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, n, mean and most of the columns `features` as 32-bit numbers, over values that are not infinite; none of a feature without values. A batch gives a row a feature, so no row is made for a
+    feature and a name."""
+    features = list(features)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for f in features:
+                v = b.column(b.schema.get_field_index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                v = v[~np.isnan(v)]
+                some = v[np.isfinite(v)].astype(np.float32).astype(float)
+                if len(v):
+                    rows.append((f, len(some), some.sum() if len(some) else None, some.max() if len(some) else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=["feature", "n", "total", "most"])
+
+    parts = x.select(*features).mapInArrow(run, "feature string, n long, total double, most double")
+    n = F.sum("n")
+    return parts.groupBy("feature").agg(n.alias("n"), F.when(n > 0, F.sum("total") / n).alias("mean"), F.max("most").alias("most"))
+
+
 def _average_ranks(v: np.ndarray) -> np.ndarray:
     """The rank of each value among those that are there, ties in the middle; NaN where it is NaN."""
     order = np.argsort(v, kind="stable")  # NaN is last

@@ -81,12 +81,19 @@ def a18_producers(spark, d):
     )
 
 
+KNOWN = [*ft.SHAPES, *(f"{k}5" for k in ft.FAMILY)]
+
+
+def known_matrix(spark, d) -> DataFrame:
+    """date, code, the same-day shapes and the five-week family of the bars, as the blueprint's library makes them: a window is of a code's last five bars."""
+    x = p.bars(spark, d).where("date is not null and code is not null").withColumn("t", F.datediff("date", F.lit("1970-01-05").cast("date")) / 7)
+    x = x.select("date", "code", "t", "high", "low", "close", "volume", *(e.alias(k) for k, e in ft.candles().items()))
+    return wide.rolling_rows(x, (5,), ft.FAMILY, f.TINY, ("date", "code", "close"), ft.SHAPES, 9).where("close is not null").select("date", "code", *KNOWN)
+
+
 def known_features(spark, d) -> DataFrame:
-    """date, code, feature and x: the same-day shapes and the five-week family, as the blueprint's library makes them."""
-    x = ft.prepared(p.dense_bars(spark, d))
-    made = ft.candles() | {f"{k}5": e for k, e in ft.rolling(5).items()}
-    wide = x.where("close is not null").select("date", "code", *(F.round(e, 9).alias(k) for k, e in made.items()))
-    return wide.unpivot(["date", "code"], list(made), "feature", "x").where("x is not null and not isnan(x)")
+    """date, code, feature and x: the known matrix by feature."""
+    return known_matrix(spark, d).unpivot(["date", "code"], KNOWN, "feature", "x").where("x is not null")
 
 
 def ranked_features(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -344,8 +351,7 @@ def t1_monthly_universe(spark, d):
 
 def w38_feature_matrix(spark, d):
     """The shapes and the five-week family of members as 32-bit numbers, none infinite; shown by feature."""
-    x = known_features(spark, d).withColumn("x", F.when(F.abs("x") < float("inf"), F.col("x").cast("float")))
-    return x.groupBy("feature").agg(F.count("x").alias("n"), F.round(F.avg(F.col("x").cast("double")), 3).alias("mean"), F.round(F.max("x").cast("double"), 1).alias("most"))
+    return wide.totals(known_matrix(spark, d), KNOWN).select("feature", "n", F.round("mean", 3).alias("mean"), F.round("most", 1).alias("most"))
 
 
 def w39_all_ranks(spark, d):

@@ -103,6 +103,43 @@ def test_rolled_holds_a_batch_and_the_rest_of_a_code(spark):
     assert "MapInArrow" in plan and "Window" not in plan and "FlatMapGroups" not in plan
 
 
+def test_rows_with_a_close_are_what_windows_make(spark, sf_dir):
+    """Windows of a code's last bars, with weeks missing, rows without a close and weeks without volume, against Spark's windows over the rows of the dense panel that have a close."""
+    from crosspanel.functions import factors as f
+    from crosspanel.sources import panel as p
+
+    x = p.dense_bars(spark, sf_dir).where("code % 3 > 0 or t < 17")
+    gap = lambda c, k: F.when(F.col("t") % k != 0, F.col(c))
+    x = x.withColumns({"volume": F.coalesce(gap("volume", 41), F.col("volume") * 0), **{c: gap(c, 29) for c in ("high", "low", "close")}}).localCheckpoint()
+    for d in (5, 30):
+        want = ft.prepared(x).where("close is not null").select("code", "t", *(F.round(e.cast("double"), 9).alias(f"{k}{d}") for k, e in ft.rolling(d).items())).orderBy("code", "t").toPandas()
+        rows = wide.rolling_rows(x.where("volume is not null"), (d,), ft.FAMILY, f.TINY, ("code", "t", "close"), ("high",), 9)
+        assert rows.where(f"close is null and (ma{d} is not null or cntp{d} is not null)").count() == 0 < rows.where("close is null").count()
+        got = rows.where("close is not null").orderBy("code", "t").toPandas()
+        assert len(got) == len(want) > 0
+        for c in want.columns:
+            assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), atol=2e-7, rtol=1e-7, equal_nan=True), c
+
+
+def test_totals_by_feature(spark):
+    inf, nan = float("inf"), float("nan")
+    x = spark.createDataFrame([(1.0, inf, None, 0.1), (nan, inf, nan, -inf), (-4.0, None, None, 0.7)], "a double, b double, c double, d double")
+    got = {r.feature: tuple(r)[1:] for r in wide.totals(x, ["a", "b", "c", "d"]).collect()}
+    d = [float(np.float32(v)) for v in (0.1, 0.7)]
+    assert got == {"a": (2, -1.5, 1.0), "b": (0, None, None), "d": (2, sum(d) / 2, d[1])}
+    assert wide.totals(x.limit(0), ["a"]).count() == 0
+    assert list(wide._nearest(np.array([0.5, -0.5, 1.5, 2.5, 0.49, -1.2, inf]), 0)) == [1.0, -1.0, 2.0, 3.0, 0.0, -1.0, inf]
+
+
+def test_feature_matrix_makes_no_row_for_a_feature_and_a_name(spark, sf_dir):
+    """Spark's windows over each feature and a row for each of them and each bar were most of the time."""
+    from crosspanel.plans import judging_queries as jq
+
+    plan = jq.w38_feature_matrix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "Expand" not in plan
+    assert "Window" not in jq.known_features(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_own_function_gets_blocks_of_windows(spark):
     x, rows = panel(spark, codes=30)
     sizes = spark.sparkContext.accumulator(0)
