@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +28,19 @@ def prepared(panel: DataFrame) -> DataFrame:
     return x.withColumns({"up": _rise(c, c1), "dn": _rise(c1, c), "vup": _rise(v, v1), "vdn": _rise(v1, v), "rel": f.safe_div(c, c1), "lv": F.log(v + 1), "lvc": F.log(f.safe_div(v, v1) + 1), "wv": F.abs(f.safe_div(c, c1) - 1) * v, "cup": up.cast("double"), "cdn": down.cast("double")})
 
 
-def candles() -> dict[str, Column]:
-    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    top, bottom, span = F.greatest(o, c), F.least(o, c), h - lo + f.TINY
+def shapes(o, h, lo, c, vwap, greatest, least) -> dict:
+    """The shapes of columns or of arrays."""
+    top, bottom, span = greatest(o, c), least(o, c), h - lo + f.TINY
     return {
         "kmid": (c - o) / o, "klen": (h - lo) / o, "kmid2": (c - o) / span, "kup": (h - top) / o, "kup2": (h - top) / span, "klow": (bottom - lo) / o, "klow2": (bottom - lo) / span, "ksft": (2 * c - h - lo) / o, "ksft2": (2 * c - h - lo) / span,
-        "open0": o / c, "high0": h / c, "low0": lo / c, "vwap0": F.col("vwap") / c,
+        "open0": o / c, "high0": h / c, "low0": lo / c, "vwap0": vwap / c,
     }
 
 
+def candles() -> dict[str, Column]:
+    return shapes(*(F.col(x) for x in PRICES), F.greatest, F.least)
+
+
 def _place(x: Column, d: int, gap: float, extreme) -> Column:
     """Rows from the start of the window to its first extreme; a gap counts as one."""
     seen = F.collect_list(F.coalesce(x, F.lit(gap))).over(f.by_code(d))
@@ -70,11 +75,23 @@ def matrix(panel: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     return wide.finite(out, list(made))
 
 
+def bar_features(weeks: int, windows: tuple[int, ...] = WINDOWS):
+    """For `blocks.by_day`: the features of `matrix` as arrays, from a batch of bars of whole codes on a calendar of so many weeks."""
+
+    def make(column, place):
+        with np.errstate(all="ignore"):
+            yield from shapes(*(column(x) for x in PRICES), np.fmax, np.fmin).items()
+            yield from wide.rolling_bars(column, place, weeks, windows, FAMILY, f.TINY)
+
+    return make
+
+
 def names(windows: tuple[int, ...] = WINDOWS) -> list[str]:
     """The features of `matrix` in order."""
     return [*SHAPES, *(f"{k}{d}" for d in windows for k in (*(n for n in FAMILY if n not in wide.ORDERED), *wide.ORDERED))]
 
 
+PRICES = ("open", "high", "low", "close", "vwap")
 #: The shapes of a day, and the 29 features of a window.
 SHAPES = tuple("kmid klen kmid2 kup kup2 klow klow2 ksft ksft2 open0 high0 low0 vwap0".split())
 FAMILY = tuple(

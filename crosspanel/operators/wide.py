@@ -6,7 +6,7 @@ Codes pass through a task in batches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,36 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, Stri
 ORDERED = ("qtlu", "qtld", "rank", "imax", "imin", "imxd")
 
 
+def column_of(t: pa.Table):
+    """The numbers of a column of `t` by its name, missing ones NaN."""
+    return lambda n: t[n].cast(pa.float64()).to_numpy()
+
+
+def place_of(keys: np.ndarray) -> np.ndarray:
+    """Each row's place in its key, whose rows stand together."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
+
+
+def whole_keys(batches, by: str, least: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole keys, which stand together in `batches`, of `least` rows or more but for the last, and the keys of their rows."""
+    rest, rows = [], 0
+    for b in batches:
+        rest, rows = [*rest, b], rows + b.num_rows
+        if rows < least or not b.num_rows:
+            continue
+        t = pa.Table.from_batches(rest)
+        keys = np.array(t[by].to_pylist(), object)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1])
+        whole = int(cuts[-1]) + 1 if len(cuts) else 0
+        if whole:
+            yield t.slice(0, whole), keys[:whole]
+        rest, rows = t.slice(whole).combine_chunks().to_batches(), len(t) - whole
+    if rows:
+        t = pa.Table.from_batches(rest)
+        yield t, np.array(t[by].to_pylist(), object)
+
+
 def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make, keep: Sequence[str] | None = None) -> DataFrame:
     """`x` (of its columns only `keep`, if given) with the columns `made`, which `make` fills from batches of whole keys: its arguments are the columns by name, missing values NaN, and each row's place in its key. Keys are sorted in their
     partitions and pass through a task in batches, so a task holds a batch and the rest of one key."""
@@ -28,27 +58,12 @@ def _by_key(x: DataFrame, by: str, order: str, made: Sequence[str], make, keep:
 
     def filled(t: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
         t = t.combine_chunks()
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        place = np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
-        column = lambda n: t[n].cast(pa.float64()).to_numpy()
-        out = make(column, place)
+        out = make(column_of(t), place_of(keys))
         return pa.RecordBatch.from_arrays([*(t[n].chunk(0) for n in names), *(pa.array(out[n], pa.float64(), from_pandas=True) for n in made)], names=[*names, *made])
 
     def run(batches):
-        rest = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([*rest, b])
-            keys = np.array(t[by].to_pylist(), object)
-            cuts = np.flatnonzero(keys[1:] != keys[:-1])
-            whole = int(cuts[-1]) + 1 if len(cuts) else 0
-            if whole:
-                yield filled(t.slice(0, whole), keys[:whole])
-            rest = t.slice(whole).combine_chunks().to_batches()
-        if rest:
-            t = pa.Table.from_batches(rest)
-            yield filled(t, np.array(t[by].to_pylist(), object))
+        for t, keys in whole_keys(batches, by):
+            yield filled(t, keys)
 
     return x.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
@@ -199,9 +214,26 @@ def _nearest(v: np.ndarray, digits: int) -> np.ndarray:
         return np.where(np.abs(y - r) == 0.5, y + np.copysign(0.5, y), r) / 10.0**digits
 
 
-def rolling_rows(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, keep: Sequence[str], also: Sequence[str], digits: int, by: str = "code", order: str = "t") -> DataFrame:
-    """The columns `keep` of `panel` (any rows, `order` their places on the calendar), and rounded the columns `also` and the features `family` over the last rows that have a close, however far apart; a
-    change is one from the calendar row before, missing where that is. As `features.rolling` over the rows of a prepared dense panel that have a close; null on others."""
+def rolling_bars(column, place: np.ndarray, weeks: int, windows: Sequence[int], family: Sequence[str], tiny: float, order: str = "t") -> Iterator[tuple[str, np.ndarray]]:
+    """What `rolling` makes of the rows that are there, where the weeks that lack one are no rows: `order` is a row's week, from 1, of so many. One window at a time, so no more is held."""
+    spot = (np.cumsum(place == 0) - 1) * weeks + column(order).astype(int) - 1
+    among = np.tile(np.arange(weeks), np.count_nonzero(place == 0))
+
+    def dense(v):
+        out = np.full(len(among), np.nan)
+        out[spot] = v
+        return out
+
+    c, high, low, v = (dense(column(n)) for n in ("close", "high", "low", "volume"))
+    v = np.where(v > 0, v, np.nan)
+    c1, v1 = _before(c, among, 1), _before(v, among, 1)
+    for d in windows:
+        for k, x in _rolling(c, high, low, v, c1, v1, None, among, (d,), family, tiny).items():
+            yield k, x[spot]
+
+
+def last_rows(windows: Sequence[int], family: Sequence[str], tiny: float, also: Sequence[str], digits: int, order: str = "t"):
+    """What `rolling_rows` fills a batch of whole keys with."""
     names = [f"{k}{d}" for d in windows for k in family]
 
     def make(column, place):
@@ -219,7 +251,14 @@ def rolling_rows(panel: DataFrame, windows: Sequence[int], family: Sequence[str]
             out[k][there] = _nearest(made[k], digits)
         return out
 
-    return _by_key(panel, by, order, [*also, *names], make, keep)
+    return make
+
+
+def rolling_rows(panel: DataFrame, windows: Sequence[int], family: Sequence[str], tiny: float, keep: Sequence[str], also: Sequence[str], digits: int, by: str = "code", order: str = "t") -> DataFrame:
+    """The columns `keep` of `panel` (any rows, `order` their places on the calendar), and rounded the columns `also` and the features `family` over the last rows that have a close, however far apart; a
+    change is one from the calendar row before, missing where that is. As `features.rolling` over the rows of a prepared dense panel that have a close; null on others."""
+    names = [f"{k}{d}" for d in windows for k in family]
+    return _by_key(panel, by, order, [*also, *names], last_rows(windows, family, tiny, also, digits, order), keep)
 
 
 def totals(x: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -39,6 +39,14 @@ def ahead(spark, d) -> DataFrame:
     return x.select("date", "code", (F.lead("smooth").over(f.by_code()) / F.col("smooth") - 1).alias("r"))
 
 
+def with_ahead(bars: DataFrame) -> DataFrame:
+    """Bars with t of their week and r, as `ahead`; weeks without a bar have no row."""
+    week = f.by_code()
+    x = bars.withColumn("smooth", F.when(F.col("close").isNotNull(), F.avg("close").over(week.rangeBetween(-7, 0))))
+    following = F.when(F.lead("t").over(week) == F.col("t") + 1, F.lead("smooth").over(week))
+    return x.withColumn("r", following / F.col("smooth") - 1)
+
+
 def market(spark, d) -> DataFrame:
     """date and bench, the return of the benchmark to the next date; one series under a key."""
     x = p.benchmark(p.bars(spark, d)).withColumn("series", F.lit("all"))

@@ -19,6 +19,7 @@ from crosspanel.sources import panel as p
 T_SIGNAL, COPY, STABLE, STAR_T, STAR_NET, STAR_HIT, T_STRONG = 2.0, 0.7, 0.6, 3.0, 0.03, 0.55, 3.0
 LEAST_WEEKS, LEAST_NAMES, TOP, WEEKS = 52, 5, 0.8, 52
 REPLAYS, BLOCK, BLOCKS = 500, 4, 13
+FACTORS = ["level", "size", "move", "range"]
 
 
 def corr(a: str, b: str):
@@ -30,7 +31,14 @@ def ranked(spark, d) -> DataFrame:
     """date, code, factor, fwd, rx and rw (ranks of factor and forward return among the names that have both) and n (such names)."""
     c, ahead = F.col("close"), lambda k: F.lead("open", k).over(f.by_code())
     x = p.dense_bars(spark, d).select("date", "code", c.alias("level"), F.col("volume").cast("double").alias("size"), (c / f.ref(c, 3)).alias("move"), (F.col("high") / F.col("low")).alias("range"), (ahead(6) / ahead(1) - 1).alias("fwd"))
-    return wide.paired_ranks(x, ["level", "size", "move", "range"], "fwd", LEAST_NAMES)
+    return wide.paired_ranks(x, FACTORS, "fwd", LEAST_NAMES)
+
+
+def with_factors(bars: DataFrame) -> DataFrame:
+    """Bars with t of their week and the columns that `ranked` ranks: what other weeks had is looked up by their number, as weeks without a bar have no row."""
+    c, week = F.col("close"), Window.partitionBy("code").orderBy("t")
+    at = lambda name, k: F.first(name).over(week.rangeBetween(k, k))
+    return bars.withColumns({"level": c, "size": F.col("volume").cast("double"), "move": c / at("close", -3), "range": F.col("high") / F.col("low"), "fwd": at("open", 6) / at("open", 1) - 1})
 
 
 def judged(x: DataFrame) -> DataFrame:

@@ -6,26 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import features as ft
-from crosspanel.operators import wide
+from crosspanel.operators import blocks, wide
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans import research_queries as rq
 from crosspanel.plans.book_queries import AHEAD, R6, r6
 from crosspanel.plans.factor_queries import WITH
 from crosspanel.plans.panel_queries import CANDLES, PREPARED, r4, rolling_exprs
 from crosspanel.plans.research_queries import RANKED, corr_sql
-from crosspanel.sources import files
 from crosspanel.sources import panel as p
 
 NAMES = ft.names()
-FACTORS = ["level", "size", "move", "range"]
 
 
-def matrix(spark, d) -> DataFrame:
-    """The matrix, written once."""
-    path = files.new_path(spark, "matrix")
-    made = ft.matrix(p.dense_bars(spark, d))
-    made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+def day_blocks(spark, d, more=lambda x: x, also=()) -> DataFrame:
+    """The matrix in blocks of days, with the columns `also` that `more` adds to the bars of a code."""
+    first, last = p.calendar(spark, d)
+    return blocks.of_days(more(p.code_bars(spark, d, first)), ft.bar_features(p.weeks(first, last)), NAMES, also)
 
 
 def w38_all_features(spark, d):
@@ -33,13 +29,13 @@ def w38_all_features(spark, d):
 
 
 def w39_all_feature_ranks(spark, d):
-    return wide.day_ranks(matrix(spark, d), NAMES).select("date", "code", *(wide.rounded(F.col(c), 6).alias(c) for c in NAMES))
+    return blocks.ranks(day_blocks(spark, d), NAMES).select("date", "code", *(wide.rounded(F.col(c), 6).alias(c) for c in NAMES))
 
 
 def a19_all_features(spark, d):
     """Over all features: the best by its mean coefficient, the median strength, and the mean of the ten strongest."""
-    x = matrix(spark, d).join(bk.ahead(spark, d).where("r is not null"), ["date", "code"])
-    ic = wide.day_coefficients(x, NAMES, "r", rq.LEAST_NAMES).groupBy("feature").agg(F.round(F.abs(F.avg("ic")), 9).alias("ic"))
+    x = day_blocks(spark, d, bk.with_ahead, ["r"])
+    ic = blocks.coefficients(x, NAMES, "r", rq.LEAST_NAMES).groupBy("feature").agg(F.round(F.abs(F.avg("ic")), 9).alias("ic"))
     k = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("ic"), "feature"))  # one row for each feature
     best = F.avg(F.when(F.col("k") <= 10, F.col("ic")))
     return ic.withColumn("k", k).agg(F.count("*").alias("features"), F.min_by("feature", "k").alias("best"), R6(F.max("ic")).alias("best_ic"), R6(F.percentile("ic", 0.5)).alias("median_ic"), R6(best).alias("top10_ic"))
@@ -47,12 +43,9 @@ def a19_all_features(spark, d):
 
 def j13_closest_of_all(spark, d):
     """For each factor the feature among all 158 whose ranks are most like its own, by the mean correlation over dates."""
-    factors = rq.ranked(spark, d).groupBy("date", "code").pivot("factor", FACTORS).agg(F.first("rx"))
-    factors = factors.select("date", "code", *(F.col(c).alias(f"factor_{c}") for c in FACTORS))
-    both = factors.join(wide.day_ranks(matrix(spark, d), NAMES), ["date", "code"])
-    each = wide.day_correlations(both, [f"factor_{c}" for c in FACTORS], NAMES).groupBy("one", "other").agg(F.round(F.abs(F.avg("c")), 6).alias("c"))
-    best = each.groupBy("one").agg(F.max("c").alias("max_corr"), F.max_by("other", F.struct("c", "other")).alias("closest"))
-    return best.select(F.substring_index("one", "_", -1).alias("factor"), "max_corr", "closest")
+    x = day_blocks(spark, d, rq.with_factors, [*rq.FACTORS, "fwd"])
+    each = blocks.correlations(x, rq.FACTORS, "fwd", NAMES, rq.LEAST_NAMES).groupBy("one", "other").agg(F.round(F.abs(F.avg("c")), 6).alias("c"))
+    return each.groupBy(F.col("one").alias("factor")).agg(F.max("c").alias("max_corr"), F.max_by("other", F.struct("c", "other")).alias("closest"))
 
 
 CALLS = (w38_all_features, w39_all_feature_ranks, a19_all_features, j13_closest_of_all)

@@ -21,10 +21,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars: date, code, open, high, low, close, volume, value, vwap."""
-    columns = ("l_shipdate", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    x = dealt(read(spark, sf_dir, "lineitem").select(*columns)).withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
+COLUMNS = ("l_shipdate", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+
+
+def _bars(lines: DataFrame) -> DataFrame:
+    x = lines.withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     made = x.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.col("l_suppkey").alias("code")).agg(
         F.min_by("px", order).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", order).alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("value")
@@ -32,6 +33,28 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("vwap", F.col("value") / F.col("volume"))
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars: date, code, open, high, low, close, volume, value, vwap."""
+    return _bars(dealt(read(spark, sf_dir, "lineitem").select(*COLUMNS)))
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> tuple:
+    """The first and the last week of the raw table; None if it has no row."""
+    week = lambda c: F.to_date(F.date_trunc("week", c))
+    return tuple(read(spark, sf_dir, "lineitem").agg(week(F.min("l_shipdate")), week(F.max("l_shipdate"))).first())
+
+
+def weeks(first, last) -> int:
+    return (last - first).days // 7 + 1 if first is not None else 0
+
+
+def code_bars(spark: SparkSession, sf_dir: str, first) -> DataFrame:
+    """The bars with t, the number of their week from 1; weeks without a bar have no row. Raw rows of a code meet in one task, so neither the bars nor windows of a code need another shuffle."""
+    lines = read(spark, sf_dir, "lineitem").select(*COLUMNS).where("l_suppkey is not null and l_shipdate is not null")
+    t = F.floor(F.datediff("date", F.lit(first)) / 7).cast("int") + 1
+    return _bars(lines.repartition("l_suppkey")).withColumn("t", t)
+
+
 def dense(panel: DataFrame, codes: DataFrame, first, last) -> DataFrame:
     """All weeks from first to last for all codes, with t, the number of the week from 1; weeks without a bar have nulls."""
     if first is None:
@@ -43,10 +66,8 @@ def dense(panel: DataFrame, codes: DataFrame, first, last) -> DataFrame:
 
 def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense panel. Its calendar and its codes come from one column each of the raw table, not from the bars."""
-    x = read(spark, sf_dir, "lineitem")
-    week = lambda c: F.to_date(F.date_trunc("week", c))
-    first, last = x.agg(week(F.min("l_shipdate")), week(F.max("l_shipdate"))).first()
-    return dense(bars(spark, sf_dir), x.select(F.col("l_suppkey").alias("code")).distinct(), first, last)
+    codes = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code")).distinct()
+    return dense(bars(spark, sf_dir), codes, *calendar(spark, sf_dir))
 
 
 def benchmark(panel: DataFrame) -> DataFrame:
