@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import factors as f
 from crosspanel.functions import features as ft
 from crosspanel.operators import scoring as s
-from crosspanel.operators import wide
+from crosspanel.operators import blocks, wide
 from crosspanel.plans import book_queries as bk
 from crosspanel.plans import research_queries as rq
 from crosspanel.plans.book_queries import AHEAD, R6, r6
@@ -84,10 +85,13 @@ def a18_producers(spark, d):
 KNOWN = [*ft.SHAPES, *(f"{k}5" for k in ft.FAMILY)]
 
 
+def known_bars(x: DataFrame) -> DataFrame:
+    return x.select("date", "code", "t", "high", "low", "close", "volume", *(e.alias(k) for k, e in ft.candles().items()))
+
+
 def known_matrix(spark, d) -> DataFrame:
     """date, code, the same-day shapes and the five-week family of the bars, as the blueprint's library makes them: a window is of a code's last five bars."""
-    x = p.bars(spark, d).where("date is not null and code is not null").withColumn("t", F.datediff("date", F.lit("1970-01-05").cast("date")) / 7)
-    x = x.select("date", "code", "t", "high", "low", "close", "volume", *(e.alias(k) for k, e in ft.candles().items()))
+    x = known_bars(p.bars(spark, d).where("date is not null and code is not null").withColumn("t", F.datediff("date", F.lit("1970-01-05").cast("date")) / 7))
     return wide.rolling_rows(x, (5,), ft.FAMILY, f.TINY, ("date", "code", "close"), ft.SHAPES, 9).where("close is not null").select("date", "code", *KNOWN)
 
 
@@ -355,12 +359,11 @@ def w38_feature_matrix(spark, d):
 
 
 def w39_all_ranks(spark, d):
-    """Centred ranks of every shape and five-week feature by date, by one window over all; shown by feature."""
-    x = known_features(spark, d)
-    day = Window.partitionBy("date", "feature")
-    rank = F.rank().over(day.orderBy("x")) + (F.count("*").over(Window.partitionBy("date", "feature", "x")) - 1) / 2
-    y = x.select("feature", "date", "code", (rank / F.count("*").over(day) - 0.5).alias("v"))
-    return y.groupBy("feature").agg(F.count("*").alias("n"), R6(F.avg(F.col("v") * (F.col("code") % 7))).alias("check"), R6(F.max("v")).alias("most"))
+    """Centred ranks of every shape and five-week feature by date, a day in one go; shown by feature."""
+    x = known_bars(p.code_bars(spark, d, p.calendar(spark, d)[0]))
+    days = blocks.of_days(x, wide.last_rows((5,), ft.FAMILY, f.TINY, ft.SHAPES, 9), KNOWN, kind=np.float64)
+    y = blocks.rank_totals(days, KNOWN, lambda codes: np.fmod(codes, 7), np.float64)
+    return y.groupBy("feature").agg(F.sum("n").alias("n"), R6(F.sum("total") / F.sum("n")).alias("check"), R6(F.max("most")).alias("most"))
 
 
 def w45_dispersion(spark, d):
