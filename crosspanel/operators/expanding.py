@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +37,32 @@ def expanding_counts(x: DataFrame, by: list[str], order: str, value: str) -> Dat
 def average_rank() -> Column:
     """The share of a row's value among those up to it, ties in the middle."""
     return (F.col("below") + (F.col("equal") + 1) / 2) / F.col("n")
+
+
+#: Rows of which all values are counted; of more only those near a percentile, by as much on both sides as a sketch of SKETCH buckets may err, ten times over.
+FEW_ROWS, SKETCH, NEAR = 100_000, 10_000, 0.001
+
+
+def percentiles(x: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row with the exact percentiles p0, p1 ... of `column`, as F.percentile gives them (null if there is no value). That holds each different value and its number in one task; here a sketch tells where
+    the percentiles lie, and only the values there are told apart. `x` is read twice."""
+    v, known = F.col(column), x.where(F.col(column).isNotNull())
+    near = F.percentile_approx(column, [min(max(s + e, 0.0), 1.0) for s in shares for e in (-NEAR, NEAR)], SKETCH)
+    bounds = known.agg(F.count("*").alias("rows_"), near.alias("near_"))
+    within = lambda k: v.between(F.col("near_")[2 * k], F.col("near_")[2 * k + 1])
+    kept, zone = F.col("rows_") <= FEW_ROWS, F.lit(0)
+    for k in range(len(shares)):
+        kept, zone = kept | within(k), zone + (v > F.col("near_")[2 * k + 1]).cast("int") + (v >= F.col("near_")[2 * k]).cast("int")
+    groups = known.select(column).join(F.broadcast(bounds), how="cross").groupBy(F.when(kept, v).alias("v_"), zone.alias("zone_")).agg(F.count("*").alias("n_"), F.min(v).alias("at_"), F.max("rows_").alias("rows_"))
+    upto = F.sum("n_").over(Window.partitionBy(F.lit(1)).orderBy("at_"))  # few values
+    placed = groups.withColumn("upto_", upto)
+    spots, out = [], []
+    for k, s in enumerate(shares):
+        for name, at in (("low", F.floor), ("high", F.ceil)):
+            beyond = F.when(F.col("upto_") > at(F.lit(float(s)) * (F.col("rows_") - 1)), F.col("upto_"))
+            spots.append(F.min_by(F.struct("v_"), beyond)["v_"].alias(f"{name}{k}"))
+        low, high, place = F.col(f"low{k}"), F.col(f"high{k}"), F.lit(float(s)) * F.col("last_")
+        lost = F.raise_error(F.lit("a percentile lies where its sketch says it does not")).cast("double")
+        between = F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+        out.append(F.when(F.col("last_").isNotNull(), F.when(low.isNull() | high.isNull(), lost).otherwise(between)).alias(f"p{k}"))
+    return placed.agg((F.max("rows_") - 1).alias("last_"), *spots).select(*out)

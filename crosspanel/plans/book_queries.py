@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from crosspanel.functions import factors as f
 from crosspanel.operators import books as b
 from crosspanel.operators import wide
+from crosspanel.operators.expanding import percentiles
 from crosspanel.plans.factor_queries import LAGS, WITH
 from crosspanel.plans.panel_queries import BUY, SELL, SLOTS
 from crosspanel.plans.research_queries import drawn_start
+from crosspanel.sources import files
 from crosspanel.sources import panel as p
 
 SURE = 0.95
@@ -235,8 +237,11 @@ def a39_replays(spark, d):
 
 def a40_return_histogram(spark, d):
     """Thirty bins of equal width between the 0.5th and the 99.5th percentile of the weekly returns of all codes; values beyond are clipped."""
-    x = ahead(spark, d).where("r is not null")
-    edges = x.agg(F.percentile("r", 0.005).alias("lo"), F.percentile("r", 0.995).alias("hi"))
+    path = files.new_path(spark, "returns")
+    made = with_ahead(p.code_bars(spark, d, p.calendar(spark, d)[0])).where("r is not null").select("r")
+    made.write.parquet(path)  # one number a bar, read three times
+    x = spark.read.schema(made.schema).parquet(path)
+    edges = percentiles(x, "r", (0.005, 0.995)).toDF("lo", "hi")
     x = x.join(F.broadcast(edges), how="cross").where("hi > lo")  # one row
     place = F.floor((F.greatest("lo", F.least("hi", "r")) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 30))
     return x.groupBy((F.least(place, F.lit(29)) + 1).cast("int").alias("bin")).agg(F.count("*").alias("n"))
