@@ -19,17 +19,26 @@ BEGIN, END = "1996-01-01", "1999-12-31"
 FIELDS = ["close", "volume"]
 
 
-def days(spark, d) -> DataFrame:
-    """A row for each day and supplier as an exchange would publish it."""
-    x = p.read(spark, d, "lineitem").withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
+def day_numbers(spark, d) -> DataFrame:
+    """date, code and the numbers of a row for each day and supplier: raw rows of a code meet in one shuffle, which its days and the day before need as well."""
+    x = p.read(spark, d, "lineitem").select(*p.COLUMNS).repartition("l_suppkey").withColumn("px", F.col("l_extendedprice") / F.col("l_quantity"))
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    x = x.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("code")).agg(
+    x = x.groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("date")).agg(
         F.min_by("px", order).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", order).alias("close"), F.sum("l_quantity").cast("long").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("value")
     )
-    before = F.lag("close").over(Window.partitionBy("code").orderBy("date"))
+    return x.withColumn("prevclose", F.lag("close").over(Window.partitionBy("code").orderBy("date")))
+
+
+def named(x: DataFrame) -> DataFrame:
+    """The rows of `day_numbers` as an exchange would publish them."""
     series = F.when(F.col("code") % 10 == 3, "BE").when(F.col("code") % 10 == 7, "GS").otherwise("EQ")
     isin = F.concat(F.when(F.col("code") % 8 == 5, "INF").otherwise("INE"), F.lpad(F.col("code").cast("string"), 6, "0"))
-    return x.select("date", F.concat(F.lit("S"), F.col("code").cast("string")).alias("symbol"), isin.alias("isin"), series.alias("series"), "open", "high", "low", "close", before.alias("prevclose"), "volume", "value")
+    return x.select("date", F.concat(F.lit("S"), F.col("code").cast("string")).alias("symbol"), isin.alias("isin"), series.alias("series"), "open", "high", "low", "close", "prevclose", "volume", "value")
+
+
+def days(spark, d) -> DataFrame:
+    """A row for each day and supplier as an exchange would publish it."""
+    return named(day_numbers(spark, d))
 
 
 def written_days(spark, d) -> tuple[str, str]:
@@ -51,7 +60,7 @@ def zipped_days(spark, d) -> DataFrame:
     import zipfile
 
     texts = {"series": F.concat(F.lit(" "), "series", F.lit(" ")), "prevclose": F.coalesce(F.col("prevclose").cast("string"), F.lit("-"))}
-    rows = days(spark, d).withColumns(texts)
+    rows = named(day_numbers(spark, d).repartition("date").sortWithinPartitions("date", "code")).withColumns(texts)  # numbers move, not the texts made of them
 
     def pack(key, x):
         day = key[0]
@@ -60,14 +69,16 @@ def zipped_days(spark, d) -> DataFrame:
         x = x.drop(columns="date").rename(columns=names).assign(**{names["date"]: "01-JAN-1900"})
         if new:
             others = x.assign(Sgmt="FO", FinInstrmTp="STK")
-            x = pd.concat([x.assign(Sgmt="CM", FinInstrmTp="STK"), others], ignore_index=True)
+            x = pd.concat([x.assign(Sgmt="CM", FinInstrmTp="STK"), others]).sort_index(kind="stable")  # like rows side by side, as deflate looks back 32 KB
         if n % 3 == 0:
             x.columns = [f" {c.upper()} " for c in x.columns]
         if n % 101 == 5:
             x = x.drop(columns=[c for c in x.columns if c.strip().upper() == names["close"].upper()])
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            with z.open(zipfile.ZipInfo("readme.txt" if n % 31 == 7 else "day.CSV"), "w") as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
+            name = zipfile.ZipInfo("readme.txt" if n % 31 == 7 else "day.CSV")
+            name.compress_type = z.compression  # its own default is none
+            with z.open(name, "w") as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
                 x.to_csv(text, index=False, chunksize=10_000)
         content = out.getvalue()
         return x.__class__([(f"{day:%Y}/{day:%Y%m%d}.csv.zip", content[: len(content) // 2] if n % 97 == 13 else content)], columns=["path", "content"])
