@@ -11,6 +11,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosspanel.operators import wide
 from crosspanel.operators.trees import Ensemble, boosted
 from crosspanel.sources import files
 
@@ -63,8 +64,8 @@ def walk_forward(x: DataFrame, features: list[str], label: str, years: list[int]
     """Predictions year by year: fitted, stopped and calibrated on what was known before the test year. A year without enough rows is passed over; None if all are."""
     out = None
     for year, model, check, rows in yearly_models(x, features, label, years):
-        a, b = platt(week_percentile(scored(model, check)), label)
-        made = week_percentile(scored(model, rows)).withColumn("p", 1 / (1 + F.exp(-(a + b * F.col("rank"))))).select("date", "code", F.lit(year).alias("year"), "p_raw", "rank", "p")
+        a, b = platt(week_percentile(scored(model, check).select("date", "code", label, "p_raw")), label)
+        made = week_percentile(scored(model, rows).select("date", "code", "p_raw")).withColumn("p", 1 / (1 + F.exp(-(a + b * F.col("rank"))))).select("date", "code", F.lit(year).alias("year"), "p_raw", "rank", "p")
         out = made if out is None else out.union(made)
     return out
 
@@ -79,10 +80,8 @@ def importance(model: Ensemble, spark: SparkSession, group: dict[str, str]) -> D
 
 
 def week_percentile(x: DataFrame, score: str = "p_raw") -> DataFrame:
-    """`x` with rank: the average rank of the score on its date over their number, less one half."""
-    day = Window.partitionBy("date")
-    rank = F.rank().over(day.orderBy(score)) + (F.count("*").over(Window.partitionBy("date", score)) - 1) / 2
-    return x.withColumn("rank", rank / F.count("*").over(day) - 0.5)
+    """`x`, whose columns all move, with rank: the average rank of the score on its date over their number, less one half."""
+    return wide.day_ranks(x.withColumn("rank", F.col(score)), ["rank"], keep=[c for c in x.columns if c not in ("date", "code")])
 
 
 def platt(x: DataFrame, label: str, score: str = "rank") -> tuple[float, float]:

@@ -299,20 +299,27 @@ def _numbers(t: pa.Table, name: str) -> np.ndarray:
     return t[name].cast(pa.float64()).to_numpy()
 
 
-def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str = "code", keep: Sequence[str] = ()) -> DataFrame:
-    """by, key, the columns `keep` and for each feature the average rank among the day's values over their number, less one half; null where the feature is. A day is ranked in one go, one column of
-    numbers at a time."""
-    features, kept = list(features), [by, key, *keep]
+def _median(v: np.ndarray) -> float:
+    v = np.sort(v[~np.isnan(v)])
+    return 0.5 * v[(len(v) - 1) // 2] + 0.5 * v[len(v) // 2] if len(v) else np.nan
+
+
+def day_ranks(x: DataFrame, features: Sequence[str], by: str = "date", key: str = "code", keep: Sequence[str] = (), middle: Sequence[str] = ()) -> DataFrame:
+    """by, key, the columns `keep` and for each feature the average rank among the day's values over their number, less one half; null where the feature is. Of each column of `keep` in `middle` the
+    day's median comes along, as f"{column}_median". A day is ranked in one go, one column of numbers at a time."""
+    features, kept, middle = list(features), [by, key, *keep], list(middle)
 
     def one(t: pa.Table) -> pa.Table:
         made = []
         for f in features:
             rank = _average_ranks(_numbers(t, f))
             made.append(pa.array(rank / np.count_nonzero(~np.isnan(rank)) - 0.5, from_pandas=True))
-        return pa.table([*(t[n] for n in kept), *made], names=[*kept, *features])
+        made += [pa.array(np.full(len(t), _median(_numbers(t, n))), from_pandas=True) for n in middle]
+        return pa.table([*(t[n] for n in kept), *made], names=names)
 
     x = x.select(*kept, *features)
-    return x.groupBy(by).applyInArrow(one, StructType([*(x.schema[n] for n in kept), *(StructField(f, DoubleType()) for f in features)]))
+    names = [*kept, *features, *(f"{n}_median" for n in middle)]
+    return x.groupBy(by).applyInArrow(one, StructType([*(x.schema[n] for n in kept), *(StructField(n, DoubleType()) for n in names[len(kept) :])]))
 
 
 def day_places(x: DataFrame, value: str, by: str = "date", key: str = "code") -> DataFrame:

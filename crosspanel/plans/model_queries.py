@@ -40,7 +40,21 @@ def feature_table(spark, d) -> DataFrame:
 
 
 def rows(spark, d) -> DataFrame:
-    return feature_table(spark, d).join(labelled(spark, d).select("date", "code", "y", "y_rank", "excess"), ["date", "code"], "left")
+    """`feature_table` with y, y_rank and excess of `labelled` where they are known, from one table of bars of whole codes and one pass over each day."""
+    first, last = p.calendar(spark, d)
+    c, week = F.col("close"), Window.partitionBy("code").orderBy("t")
+    x = bk.with_ahead(p.code_bars(spark, d, first)).withColumn("move", c / F.first("close").over(week.rangeBetween(-3, -3)))
+    known = F.when(F.col("t") < p.weeks(first, last), F.date_add("date", 7)).alias("known")
+    x = x.where("close is not null").select("date", "code", "t", known, c.alias("level"), F.col("volume").alias("size"), "move", (F.col("high") / F.col("low")).alias("range"), "r")
+    level = F.col("level")
+    all_dates = Window.partitionBy("series").orderBy("date")
+    market = p.benchmark(p.bars(spark, d)).withColumn("series", F.lit("all")).select("date", (level / F.lag("level", 4).over(all_dates) - 1).alias("mkt_ret4"), (F.lead("level").over(all_dates) / level - 1).alias("bench"))
+    near = x.join(F.broadcast(market), "date", "left")  # a row for each date
+    keep = ["date", "code", "t", "known"]
+    near = near.select(*keep, *(F.round(F.col(k).cast("double"), 9).alias(k) for k in FEATURES[:4]), "mkt_ret4", (F.col("r") - F.col("bench")).alias("excess"))
+    made = wide.day_ranks(near, FEATURES[:4], keep=("t", "known", "mkt_ret4", "excess"), middle=["excess"])
+    labels = (F.col("excess") > 0).cast("double").alias("y"), (F.col("excess") > F.col("excess_median")).cast("double").alias("y_rank")
+    return made.select(*keep, *(F.coalesce(k, F.lit(0.0)).alias(k) for k in FEATURES[:4]), "mkt_ret4", *labels, "excess")
 
 
 def m1_targets(spark, d):
@@ -60,7 +74,8 @@ def m8_baseline_scores(spark, d):
 
 def m3_walk_forward(spark, d):
     """Predictions of all years that can be tested, each from trees that saw only labels known before; no rows where no year has enough."""
-    out = m.walk_forward(rows(spark, d), FEATURES, "y_rank", m.years_of(p.bars(spark, d).select("date")))
+    weeks = p.read(spark, d, "lineitem").select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))  # those of the bars
+    out = m.walk_forward(rows(spark, d), FEATURES, "y_rank", m.years_of(weeks))
     return out if out is not None else spark.createDataFrame([], "date date, code long, year int, p_raw double, rank double, p double")
 
 
